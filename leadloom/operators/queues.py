@@ -287,7 +287,8 @@ def sweep_replay(
     stopped_before = F.max(F.col("stop").isNotNull()).over(
         by_sweep.rowsBetween(Window.unboundedPreceding, -1)
     )
-    return run.where(~F.coalesce(stopped_before, F.lit(False))).groupBy("sweep_id").agg(
+    run = run.withColumn("over", F.coalesce(stopped_before, F.lit(False)))
+    return run.where(~F.col("over")).groupBy("sweep_id").agg(
         F.count("*").alias("attempts"),
         F.max("total_new").alias("total_new"),
         F.count_if("skipped").alias("skipped"),
