@@ -63,12 +63,10 @@ def domain_root(c: Column | str) -> Column:
     host = F.regexp_replace(
         url_host(with_scheme(F.lower(col(c)))), rf"^(?:(?:{drop})\.)+(?=[^.]+\.[^.]+)", ""
     )
-    labels = F.split(host, r"\.")
-    compound = host.rlike(r"\.(?:" + "|".join(map(re.escape, rules.COMPOUND_TLDS)) + ")$")
-    keep = F.when(compound, 3).otherwise(2)
-    return F.when(
-        F.size(labels) > keep, F.array_join(F.slice(labels, -keep, keep), ".")
-    ).otherwise(host)
+    compound = "|".join(map(re.escape, rules.COMPOUND_TLDS))
+    return F.coalesce(
+        first_group(host, rf"([^.]+\.(?:{compound}))$"), first_group(host, r"([^.]+\.[^.]+)$"), host
+    )
 
 
 def digits_and_plus(c: Column | str) -> Column:
@@ -77,14 +75,11 @@ def digits_and_plus(c: Column | str) -> Column:
 
 def phone_e164(c: Column | str) -> Column:
     """International phone number; numbers without a country are taken as UK ones."""
-    d = digits_and_plus(c)
-    n = F.length(d)
-    return (
-        F.when(d.startswith("+"), F.when(n >= 8, d))
-        .when(d.startswith("44"), F.concat(F.lit("+"), d))
-        .when(d.startswith("0"), F.concat(F.lit("+44"), F.substring(d, 2, 1 << 30)))
-        .when(n >= 10, F.concat(F.lit("+44"), d))
-    )
+    d = F.regexp_replace(digits_and_plus(c), r"^\+.{0,6}$", "")
+    d = F.regexp_replace(d, "^44", "+44")
+    d = F.regexp_replace(d, "^0", "+44")
+    d = F.regexp_replace(d, r"^(?=\d.{9})", "+44")
+    return first_group(d, r"^\+.*$", 0)
 
 
 def phone_e164_site(c: Column | str, site: Column | str) -> Column:
@@ -126,13 +121,11 @@ def outward_of_postcode(c: Column | str) -> Column:
 
 def norm_email(c: Column | str) -> Column:
     """Inbox key: the tag goes, and for Gmail also the dots."""
-    x = F.lower(strip(c))
-    ok = x.rlike(r"^[^\s\u00A0\uFEFF@]+@[^\s\u00A0\uFEFF@]+\.[^\s\u00A0\uFEFF@]+$")
-    local = F.split_part(F.split_part(x, F.lit("@"), F.lit(1)), F.lit("+"), F.lit(1))
-    domain = F.split_part(x, F.lit("@"), F.lit(2))
-    domain = F.when(domain == "googlemail.com", "gmail.com").otherwise(domain)
-    local = F.when(domain == "gmail.com", F.replace(local, F.lit("."), F.lit(""))).otherwise(local)
-    return F.when(ok & (local != ""), F.concat(local, F.lit("@"), domain))
+    x = F.regexp_replace(F.lower(strip(c)), r"^([^@+]*)\+[^\s ﻿@]*@", "$1@")
+    x = F.regexp_replace(x, r"@googlemail\.com$", "@gmail.com")
+    x = F.regexp_replace(x, r"\.(?=[^@]*@gmail\.com$)", "")
+    word = r"[^\s ﻿@]+"
+    return first_group(x, rf"^{word}@{word}\.{word}$", 0)
 
 
 def norm_vrn(c: Column | str) -> Column:

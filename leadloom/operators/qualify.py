@@ -105,29 +105,41 @@ def standing_bucket(reason: Column) -> Column:
     return bucket
 
 
-def registry_gate(sic_prefixes: Sequence[str] = (), reject_nominee: bool = True) -> Column:
-    """Reason from the company's own row only, so it runs before any join."""
+def registry_gate(
+    companies: DataFrame, sic_prefixes: Sequence[str] = (), reject_nominee: bool = True
+) -> DataFrame:
+    """Adds ``registry_reason``, from the company's own row only: it runs before any join."""
     gate = (
         F.when(F.col("company_name").isNull(), "profile-missing")
         .when(is_dormant_filer(), "dormant")
-        .when(standing_reason().isNotNull(), standing_bucket(standing_reason()))
-        .when(hard_exclude_reason(sic_prefixes).isNotNull(), "hard-exclude")
+        .when(F.col("_standing").isNotNull(), standing_bucket(F.col("_standing")))
+        .when(F.col("_hard").isNotNull(), "hard-exclude")
     )
     if reject_nominee:
-        gate = gate.when(is_nominee_address(company_address()), "nominee-address")
-    return gate
+        gate = gate.when(is_nominee_address("_address"), "nominee-address")
+    return (
+        companies.withColumns(
+            {
+                "_standing": standing_reason(),
+                "_hard": hard_exclude_reason(sic_prefixes),
+                "_address": company_address(),
+            }
+        )
+        .withColumn("registry_reason", gate)
+        .drop("_standing", "_hard", "_address")
+    )
 
 
 def discovery_gate(
-    scored: DataFrame, subsidiary_policy: str = "flag", floor: int = rules.PRE_SCORE_FLOOR, **kw
+    scored: DataFrame, subsidiary_policy: str = "flag", floor: int = rules.PRE_SCORE_FLOOR
 ) -> DataFrame:
     """Adds ``reject_reason`` and ``is_subsidiary`` to scored companies.
 
-    Expects ``pre_score`` and ``parent_number`` beside the registry columns.
+    Expects ``registry_reason``, ``pre_score`` and ``parent_number``.
     """
     if subsidiary_policy not in ("reject", "flag", "ignore"):
         raise ValueError(subsidiary_policy)
-    own = registry_gate(**kw)
+    own = F.col("registry_reason")
     subsidiary = F.lit(False)
     if subsidiary_policy != "ignore":
         subsidiary = own.isNull() & F.col("parent_number").isNotNull()

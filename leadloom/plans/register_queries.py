@@ -194,9 +194,10 @@ register(
 )
 
 
-def scored(v):
+def scored(v, companies=None):
     wide = signals.company_signals(
-        v.companies_v, v.officers_v, v.filings_v, v.charges_v, v.psc_v, v.accounts_v, AS_OF
+        v.companies_v if companies is None else companies,
+        v.officers_v, v.filings_v, v.charges_v, v.psc_v, v.accounts_v, AS_OF,
     )
     return signals.pre_score(wide, AS_OF)
 
@@ -205,8 +206,9 @@ def gated(v, policy="flag"):
     parents = signals.parent_company(v.companies_v, v.officers_v).select(
         "company_number", "parent_number"
     )
+    companies = qualify.registry_gate(v.companies_v, sic_prefixes=["64", "411"])
     return qualify.discovery_gate(
-        scored(v).join(parents, "company_number", "left"), policy, sic_prefixes=["64", "411"]
+        scored(v, companies).join(parents, "company_number", "left"), policy
     )
 
 
