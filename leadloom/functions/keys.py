@@ -121,10 +121,10 @@ def outward_of_postcode(c: Column | str) -> Column:
 
 def norm_email(c: Column | str) -> Column:
     """Inbox key: the tag goes, and for Gmail also the dots."""
-    x = F.regexp_replace(F.lower(strip(c)), r"^([^@+]*)\+[^\s ﻿@]*@", "$1@")
+    x = F.regexp_replace(F.lower(strip(c)), r"^([^@+]*)\+[^\s\u00A0\uFEFF@]*@", "$1@")
     x = F.regexp_replace(x, r"@googlemail\.com$", "@gmail.com")
     x = F.regexp_replace(x, r"\.(?=[^@]*@gmail\.com$)", "")
-    word = r"[^\s ﻿@]+"
+    word = r"[^\s\u00A0\uFEFF@]+"
     return first_group(x, rf"^{word}@{word}\.{word}$", 0)
 
 

@@ -9,6 +9,7 @@ from leadloom.operators import events, mail, tables
 from leadloom.plans.key_queries import email_sql
 from leadloom.plans.register_queries import quoted
 from leadloom.plans.registry import register
+from leadloom.session import cut_lineage
 from leadloom.sources.views import EVENTS_AS_OF
 
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -89,9 +90,10 @@ register(
 )
 register(
     "suppression_upsert",
-    lambda v: mail.suppress(v.suppression_v, mail.reply_flow(v.messages_v, v.leads_v)).select(
-        "email", "reason", "lead_id"
-    ),
+    # the flow feeds several tables, so it is written once
+    lambda v: mail.suppress(
+        v.suppression_v, cut_lineage(mail.reply_flow(v.messages_v, v.leads_v))
+    ).select("email", "reason", "lead_id"),
     f"""WITH f AS ({FLOW_SQL}), a AS (SELECT lower(email) AS email, reason, NULL AS lead_id, 0 AS batch, created_at, '' AS source FROM @suppression_v@
       UNION ALL SELECT inbox, suppress_as, lead_id, 1, received_at, message_id FROM f WHERE suppress_as IS NOT NULL AND inbox IS NOT NULL)
     SELECT email, CASE WHEN bool_or(reason = 'bounced') THEN 'bounced' ELSE arg_min(reason, (batch, created_at, source)) END AS reason,

@@ -435,6 +435,30 @@ SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain,
 FROM @pages@
 """
 
+VIEWS["site_fill_v"] = """
+SELECT domain, CASE WHEN count(*) % 3 = 0 THEN 'Fill Owner' END AS owner_name,
+  CASE WHEN count(*) % 4 = 0 THEN NULL WHEN count(*) % 2 = 0 THEN 'Info@acme.co.uk' ELSE 'ghost@acme.com' END AS email,
+  CASE WHEN count(*) % 4 < 2 THEN 'A description' END AS description
+FROM @site_pages_v@ GROUP BY domain
+"""
+
+VIEWS["robots_v"] = """
+SELECT page_id AS origin_id, concat('# robots', chr(10), 'User-agent: ',
+  CASE page_id % 3 WHEN 0 THEN '*' WHEN 1 THEN 'BadBot' ELSE 'Googlebot' END, chr(10),
+  CASE page_id % 5 WHEN 0 THEN 'Disallow: /' WHEN 1 THEN 'DISALLOW : /* ' WHEN 2 THEN 'Disallow: /private'
+    WHEN 3 THEN 'Disallow:' ELSE '# Disallow: /' END, chr(10), chr(10),
+  'user-agent: ', CASE page_id % 2 WHEN 0 THEN 'Other' ELSE '*' END, chr(13), chr(10),
+  CASE page_id % 7 WHEN 0 THEN 'disallow: /' ELSE 'allow: /' END) AS body
+FROM @pages@
+"""
+
+VIEWS["sitemaps_v"] = """
+SELECT domain, concat('<urlset><url><loc> https://', domain, '/about-team </loc></url><url><loc>https://', domain,
+  '/blog/1</loc></url><url><loc>https://', domain, '/services</loc></url><url><LOC>https://', domain,
+  '/people/all</LOC></url></urlset>') AS xml
+FROM @site_pages_v@ WHERE page_ord = 0
+"""
+
 _NAME = re.compile(r"@(\w+)@")
 
 
