@@ -344,7 +344,7 @@ def bounce_rate(
     )
     rate = F.when(F.col("contacted") > 0, F.col("bounces") / F.col("contacted")).otherwise(0.0)
     return (
-        bounces.crossJoin(F.broadcast(sent))  # one row each: counts
+        bounces.withColumn("contacted", sent.scalar())
         .withColumn("rate", rate)
         .withColumn("fires", F.col("rate") * 100 > threshold)
     )

@@ -61,12 +61,7 @@ def followup_eligible(
 ) -> DataFrame:
     """Leads due for a follow-up; none while the kill switch is on."""
     switch = event_log.where(is_kill_switch(as_of)).agg(F.count("*").alias("fired"))
-    return (
-        leads.where(is_followup_eligible(as_of, min_days))
-        .crossJoin(F.broadcast(switch))  # one row: a count
-        .where(F.col("fired") == 0)
-        .drop("fired")
-    )
+    return leads.where(is_followup_eligible(as_of, min_days) & (switch.scalar() == 0))
 
 
 def followup_queue(due: DataFrame, as_of: str, batch: int | None = 5) -> DataFrame:

@@ -459,6 +459,55 @@ SELECT domain, concat('<urlset><url><loc> https://', domain, '/about-team </loc>
 FROM @site_pages_v@ WHERE page_ord = 0
 """
 
+VIEWS["payloads_v"] = """
+SELECT concat(' ', lower(company_number), ' ') AS company_number, 'officers' AS resource,
+  concat('{"items":[', string_agg(concat('{"name":"', name, '","officer_role":"', officer_role, '"',
+    CASE WHEN appointed_on IS NULL THEN '' ELSE concat(',"appointed_on":"', cast(appointed_on AS string), '"') END,
+    CASE WHEN resigned_on IS NULL THEN '' ELSE concat(',"resigned_on":"', cast(resigned_on AS string), '"') END,
+    CASE WHEN dob_year IS NULL THEN '' ELSE concat(',"date_of_birth":{"month":', cast(dob_month AS string), ',"year":', cast(dob_year AS string), '}') END,
+    '}'), ','), ']}') AS payload
+FROM @officers_v@ GROUP BY company_number
+UNION ALL
+SELECT company_number, 'filing-history', concat('{"items":[', string_agg(concat('{"category":"', category, '"',
+    CASE WHEN filing_date IS NULL THEN '' ELSE concat(',"date":"', cast(filing_date AS string), '"') END,
+    CASE WHEN document_link IS NULL THEN '' ELSE concat(',"links":{"document_metadata":"', document_link, '"}') END, '}'), ','), ']}')
+FROM @filings_v@ GROUP BY company_number
+UNION ALL
+SELECT company_number, 'charges', concat('{"items":[', string_agg(concat('{"status":"', status, '"',
+    CASE WHEN created_on IS NULL THEN '' ELSE concat(',"created_on":"', cast(created_on AS string), '"') END, '}'), ','), ']}')
+FROM @charges_v@ GROUP BY company_number
+UNION ALL
+SELECT company_number, 'persons-with-significant-control', concat('{"items":[', string_agg(concat('{"name":"', name, '"',
+    CASE WHEN kind IS NULL THEN '' ELSE concat(',"kind":"', kind, '"') END,
+    CASE WHEN ceased_on IS NULL THEN '' ELSE concat(',"ceased_on":"', cast(ceased_on AS string), '"') END, '}'), ','), ']}')
+FROM @psc_v@ GROUP BY company_number
+"""
+
+VIEWS["responses_v"] = """
+SELECT p_partkey AS response_id, concat(CASE WHEN p_partkey % 4 = 0 THEN concat('```json', chr(10)) ELSE '' END,
+  CASE WHEN p_partkey % 9 = 0 THEN 'Here you are: ' ELSE '' END,
+  '[{"businessName":"', p_name, ' ] {','","city":', CASE WHEN p_partkey % 3 = 0 THEN '7' ELSE concat('"', p_type, '"') END,
+  ',"nested":{"a":[1]}},{"businessName":', CASE WHEN p_partkey % 5 = 0 THEN 'null' ELSE concat('"', p_brand, '"') END,
+  ',"website":"https://x', cast(p_partkey AS string), '.com","source":"Web"},{"businessName":"Third","ownerName":"O',
+  CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '"}]' END,
+  CASE WHEN p_partkey % 4 = 0 THEN concat(chr(10), '```') ELSE '' END) AS raw
+FROM @part@
+"""
+
+VIEWS["scrape_cache_v"] = """
+SELECT domain, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'a@b.com' END AS email,
+  CASE WHEN page_id % 2 = 0 THEN 'low' ELSE 'high' END AS confidence,
+  cast('2024-01-31 00:00:00' AS timestamp) - (page_id % 200) * interval '1' hour AS fetched_at
+FROM @site_pages_v@ WHERE page_ord = 0
+"""
+
+VIEWS["regions_v"] = """
+SELECT n_nationkey AS region_id, concat(cast(n_nationkey * 8 - 91 AS string), '.25, ', cast(n_nationkey * 15 - 185 AS string), '.5,',
+  CASE WHEN n_nationkey % 7 = 0 THEN 'wide' ELSE cast(n_nationkey * 2500 + 50 AS string) END,
+  CASE WHEN n_nationkey % 11 = 0 THEN ',extra' ELSE '' END) AS region
+FROM @nation@
+"""
+
 _NAME = re.compile(r"@(\w+)@")
 
 
