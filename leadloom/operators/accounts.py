@@ -102,8 +102,9 @@ def parse_accounts(docs: DataFrame) -> DataFrame:
         figures[f"prior_{metric}"] = F.when(readable & (F.size("_pri") > 0), before)
     d = d.withColumns(figures)
     nothing = (F.coalesce("turnover", F.lit(0)) == 0) & (F.coalesce("employees", F.lit(0)) == 0)
+    given = [c for c in docs.columns if c != "html"]
     return d.select(
-        "company_number", "filing_date", "document_id",
+        *given,
         F.when(readable, F.col("made_up_to")).alias("made_up_to"),
         *figures,
         (F.col("turnover").isNotNull() | F.col("employees").isNotNull()).alias("has_financials"),
@@ -146,12 +147,14 @@ def accounts_to_read(filings: DataFrame, docs: DataFrame, newest: int = 2) -> Da
 
 def latest_accounts(filings: DataFrame, docs: DataFrame) -> DataFrame:
     """Per company, the figures of the newest readable filing that holds some."""
-    to_read = accounts_to_read(filings, docs)
-    parsed = parse_accounts(to_read).join(to_read.select("document_id", "place"), "document_id")
+    parsed = parse_accounts(accounts_to_read(filings, docs)).drop("content_type")
     row = F.struct(*[c for c in parsed.columns if c not in ("company_number", "place")])
+    # A filter on the figures would be moved below their parsing and do it twice, so
+    # documents without figures get no place instead.
+    ranked = F.when(F.col("has_financials"), F.col("place"))
     return (
-        parsed.where(F.col("has_financials"))
-        .groupBy("company_number")
-        .agg(F.min_by(row, "place").alias("r"))
+        parsed.groupBy("company_number")
+        .agg(F.min_by(row, ranked).alias("r"))
+        .where(F.col("r").isNotNull())
         .select("company_number", "r.*")
     )

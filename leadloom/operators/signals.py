@@ -359,7 +359,10 @@ def facts_block(as_of: str) -> Column:
 
 def director_graph(officers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(directors, edges): the latest attributes of each person, and who sits where."""
-    version = F.struct(F.coalesce("appointed_on", F.lit("0001-01-01").cast("date")), KEY, "officer_role")
+    version = F.struct(
+        F.coalesce("appointed_on", F.lit("0001-01-01").cast("date")), KEY, "officer_role",
+        F.coalesce("resigned_on", F.lit("9999-12-31").cast("date")),
+    )
     people = (
         officers.where(F.col("officer_role").isin(rules.BOARD_ROLES))
         .withColumns(

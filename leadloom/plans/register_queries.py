@@ -394,7 +394,7 @@ register(
 )
 PEOPLE_SQL = """SELECT *, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS director,
   coalesce(dob_month, 0) AS m, coalesce(dob_year, 0) AS y,
-  (coalesce(appointed_on, DATE '0001-01-01'), company_number, officer_role) AS ver
+  (coalesce(appointed_on, DATE '0001-01-01'), company_number, officer_role, coalesce(resigned_on, DATE '9999-12-31')) AS ver
   FROM @officers_v@ WHERE officer_role IN ('director', 'llp-member')"""
 register(
     "directors",
