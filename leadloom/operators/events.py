@@ -252,3 +252,20 @@ def failure_breaker(
         F.timestamp_micros("at").cast("timestamp_ntz").alias("opened_at"),
         F.timestamp_micros(F.col("at") + cool).cast("timestamp_ntz").alias("closes_at"),
     )
+
+
+def expired_locks(events: DataFrame, until: Column, minutes: int = 30) -> DataFrame:
+    """Locks that no other event of the lead followed in time, up to a moment."""
+    life = F.expr(f"INTERVAL '{minutes}' MINUTE")
+    w = Window.partitionBy("lead_id").orderBy("ts", "event_id")
+    followed = F.lead("ts").over(w)
+    return (
+        events.withColumn("next_ts", followed)
+        .where(F.col("kind") == "lock")
+        .withColumn("expired_at", F.col("ts") + life)
+        .where(
+            (F.col("next_ts") > F.col("expired_at"))
+            | (F.col("next_ts").isNull() & (F.col("expired_at") < until))
+        )
+        .select("lead_id", F.col("ts").alias("locked_at"), "expired_at")
+    )

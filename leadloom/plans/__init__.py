@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["register_queries", "key_queries", "queue_queries", "resolve_queries", "event_queries", "web_queries", "source_queries"]
+_MODULES = ["register_queries", "key_queries", "queue_queries", "resolve_queries", "event_queries", "web_queries", "source_queries", "stream_queries"]
 
 
 def _load():

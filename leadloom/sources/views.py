@@ -329,6 +329,12 @@ SELECT event_id, concat('svc', cast(user_id % 5 AS string)) AS label, ts,
 FROM @events@
 """
 
+VIEWS["lock_events_v"] = """
+SELECT event_id, ts, lpad(cast(user_id AS string), 8, '0') AS lead_id,
+       CASE WHEN event_type IN ('click', 'view') THEN 'lock' ELSE 'unlock' END AS kind
+FROM @events@
+"""
+
 VIEWS["lead_events_v"] = """
 SELECT event_id, ts, lpad(cast(user_id AS string), 8, '0') AS lead_id,
   CASE WHEN event_id % 13 = 0 THEN 'bounce'
@@ -525,6 +531,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).sql(body, **parts)
 
 
+def stream_view(spark: SparkSession, sf_dir: str, name: str, base: str) -> DataFrame:
+    """A view over one table, read as a stream of the table's file."""
+    prepare(spark)
+    schema = table(spark, sf_dir, base).schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{base}.parquet")
+    source = files.parquet(sf_dir)
+    body = _NAME.sub(r"{\1}", VIEWS[name].replace("{", "{{").replace("}", "}}"))
+    return spark.sql(body, **{base: source})
+
+
 def _needed(name: str, seen: dict[str, str]) -> None:
     if name in VIEWS and name not in seen:
         for part in dict.fromkeys(_NAME.findall(VIEWS[name])):
