@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.functions import rules
-from leadloom.functions.keys import greeting_name, norm_email, phone_e164
+from leadloom.functions.keys import greeting_name, norm_email, norm_vrn, phone_e164
 from leadloom.operators.signals import as_moment
 
 
@@ -290,3 +289,17 @@ def sweep_replay(
         F.max("elapsed_ms").alias("elapsed_ms"),
         F.coalesce(F.max("stop"), F.lit("plan_exhausted")).alias("stop_reason"),
     )
+
+
+def vat_status(leads: DataFrame, vat_register: DataFrame) -> DataFrame:
+    """Registered true, false, or unknown for leads whose VAT number was not checked yet."""
+    known = vat_register.select("vrn").distinct().withColumn("listed", F.lit(True))
+    return (
+        leads.where(F.col("vat_checked_on").isNull())
+        .select("id", norm_vrn("vat_number").alias("vrn"))
+        .join(known, "vrn", "left")
+        .select(
+            "id", "vrn",
+            F.when(F.col("vrn").isNotNull(), F.coalesce("listed", F.lit(False))).alias("registered"),
+        )
+    )

@@ -163,3 +163,10 @@ register(
     WHERE 'Region ' || n_nationkey NOT IN (SELECT region FROM @runs_v@
       WHERE ran_at >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 48 HOUR)""",
 )
+register(
+    "vat_status",
+    lambda v: queues.vat_status(v.leads_v, v.vat_register_v),
+    """SELECT id, d AS vrn, CASE WHEN d IS NOT NULL THEN EXISTS (SELECT 1 FROM @vat_register_v@ r WHERE r.vrn = d) END AS registered
+    FROM (SELECT id, CASE WHEN length(n) IN (9, 12) THEN n END AS d FROM (SELECT id, regexp_replace(vat_number, '[^0-9]', '', 'g') AS n
+      FROM @leads_v@ WHERE vat_checked_on IS NULL))""",
+)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadloom.operators import events
-from leadloom.plans.event_queries import ARROWS, FLOW_SQL, STAMP, stamp, stamp_sql
+from leadloom.plans.event_queries import ARROWS, FLOW_SQL, INTERVALS_SQL, STAMP, stamp, stamp_sql
 from leadloom.plans.registry import ORACLES, register
 from leadloom.sources.views import stream_view
 from leadloom.streaming import flows
@@ -69,6 +69,17 @@ LOCKS_SQL = """SELECT lead_id, {locked} AS locked_at, {expired} AS expired_at FR
   WHERE kind = 'lock' AND (n > ts + INTERVAL 30 MINUTE OR (n IS NULL AND ts + INTERVAL 30 MINUTE < {mark}))""".format(
     locked=stamp_sql("ts"), expired=stamp_sql("ts + INTERVAL 30 MINUTE"), where="{where}", mark="{mark}"
 )
+# the switch reads firings only, so these set its watermark
+register(
+    "kill_switch_stream",
+    lambda v: run_available(flows.kill_switch_stream(streamed(v, "error_log_v", "events"), 3)).select(
+        "turned", *moment("at")
+    ),
+    f"""WITH i AS ({INTERVALS_SQL.replace('24 HOUR', '3 HOUR')}),
+    m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM @error_log_v@ WHERE kill_switch)
+    SELECT 'on' AS turned, {stamp_sql('on_from')} AS "at" FROM i, m WHERE on_from <= mark
+    UNION ALL SELECT 'off', {stamp_sql('on_until')} FROM i, m WHERE on_until < mark""",
+)
 UNTIL = "2024-01-31 00:00:00"
 register(
     "lock_expiry",
