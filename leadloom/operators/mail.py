@@ -64,9 +64,9 @@ def classify_replies(messages: DataFrame) -> DataFrame:
 
 # ---- matching to leads -------------------------------------------------------
 
-_RECENT = F.struct(
-    F.col("last_contacted_at").isNotNull(), F.col("last_contacted_at"), F.col("id")
-)
+def _recency() -> Column:
+    seen = F.col("last_contacted_at")
+    return F.struct(seen.isNotNull(), seen, F.col("id"))
 
 
 def leads_by_email(leads: DataFrame, statuses: list[str] | None = None) -> DataFrame:
@@ -76,7 +76,7 @@ def leads_by_email(leads: DataFrame, statuses: list[str] | None = None) -> DataF
         rows.withColumn("inbox", norm_email("email"))
         .where(F.col("inbox").isNotNull())
         .groupBy("inbox")
-        .agg(F.max_by(F.struct("id", "status"), _RECENT).alias("lead"))
+        .agg(F.max_by(F.struct("id", "status"), _recency()).alias("lead"))
         .select("inbox", F.col("lead.id").alias("lead_id"), F.col("lead.status").alias("lead_status"))
     )
 
@@ -113,7 +113,7 @@ def message_to_lead(sent: DataFrame, leads: DataFrame, followups: DataFrame) ->
     index = (
         direct.unionByName(queued)
         .groupBy("rank", "key")
-        .agg(F.max_by("id", _RECENT).alias("lead_id"))
+        .agg(F.max_by("id", _recency()).alias("lead_id"))
     )
     asked = sent.select(
         "notification_id",
@@ -143,12 +143,17 @@ def relevant_sent_items(sent: DataFrame, client_state: str) -> DataFrame:
 
 
 def reconcile_sent(
-    sent: DataFrame, leads: DataFrame, followups: DataFrame, client_state: str
+    sent: DataFrame,
+    leads: DataFrame,
+    followups: DataFrame,
+    client_state: str,
+    changed: DataFrame | None = None,
 ) -> DataFrame:
     """Status changes and send records for mail that was sent by hand.
 
     Only a lead still waiting changes, and only for its first message, so running this
-    again over the same items changes nothing.
+    again over the same items changes nothing. ``changed`` names leads that an earlier
+    run has changed since ``leads`` was written.
     """
     items = relevant_sent_items(sent, client_state)
     found = message_to_lead(items, leads, followups)
@@ -165,6 +170,8 @@ def reconcile_sent(
     waiting = leads.select(F.col("id").alias("lead_id"), "status").where(
         F.col("status").isin("waiting_concierge", "follow_up_queued")
     )
+    if changed is not None:
+        waiting = waiting.join(changed.select("lead_id"), "lead_id", "left_anti")
     outreach = F.col("status") == "waiting_concierge"
     return first.join(waiting, "lead_id").select(
         "lead_id",

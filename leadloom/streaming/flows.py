@@ -155,18 +155,20 @@ def _exists(df: DataFrame, path: str) -> bool:
 def sent_items_sink(leads: str, followups: str, target: str, client_state: str):
     """A ``foreachBatch`` function that writes the lead changes of each batch.
 
-    Leads changed by an earlier batch are no longer waiting, so they are left out.
+    Leads changed by an earlier batch are no longer waiting and do not change again.
     """
 
     def write(items: DataFrame, batch_id: int) -> None:
         spark, out = items.sparkSession, f"{target}/batch={batch_id}"
         if _exists(items, out):
             return
-        waiting = spark.read.parquet(leads)
-        for earlier in range(batch_id):
-            done = spark.read.parquet(f"{target}/batch={earlier}")
-            waiting = waiting.join(done.select(F.col("lead_id").alias("id")), "id", "left_anti")
-        changes = mail.reconcile_sent(items, waiting, spark.read.parquet(followups), client_state)
+        changed = None
+        if batch_id > 0:
+            before = spark.read.option("basePath", target).parquet(f"{target}/batch=*")
+            changed = before.where(F.col("batch") < batch_id)
+        changes = mail.reconcile_sent(
+            items, spark.read.parquet(leads), spark.read.parquet(followups), client_state, changed
+        )
         write_snapshot(changes, out)
 
     return write
