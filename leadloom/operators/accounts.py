@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import rules
 from leadloom.functions.keys import first_group, strip
+from leadloom.session import spread
 
 # fixed values: document markup
 FACT = r"(?is)<ix:nonFraction\b([^>]*)>(.*?)</ix:nonFraction>"
@@ -81,7 +82,7 @@ def parse_accounts(docs: DataFrame) -> DataFrame:
     Without contexts the first figures count as current. Without a prior-year context
     the prior figures are unknown.
     """
-    d = docs.withColumns({"_facts": _facts(F.col("html")), "_ctx": _contexts(F.col("html"))})
+    d = spread(docs).withColumns({"_facts": _facts(F.col("html")), "_ctx": _contexts(F.col("html"))})
     d = d.withColumn("made_up_to", F.array_max(F.transform("_ctx", lambda c: c.ends)))
     near = F.filter("_ctx", lambda c: F.abs(F.datediff(c.ends, F.col("made_up_to"))) <= NEAR_DAYS)
     d = d.withColumn("_cur", F.transform(near, lambda c: c.id))

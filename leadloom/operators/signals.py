@@ -413,22 +413,23 @@ def parent_company(companies: DataFrame, officers: DataFrame) -> DataFrame:
     first = seats.groupBy("seat", "director").agg(
         F.min(F.struct(age.alias("age"), F.col("company_name").alias("name"))).alias("first")
     )
-    best = (
+    # The parent is the earliest of these firsts, so a director it shares with the company
+    # has that same parent as its first: no second look at the parent's directors.
+    found = (
         seats.join(first, ["seat", "director"])
         .where(F.col("first.age") < age)
         .groupBy(KEY)
-        .agg(F.min("first").alias("parent"))
-        .select(
-            KEY,
-            F.col(f"parent.age.{KEY}").alias("parent_number"),
-            F.col("parent.name").alias("parent_name"),
+        .agg(
+            F.min("first").alias("parent"),
+            F.collect_list(F.struct("first.age", "director")).alias("links"),
         )
     )
-    mine = seats.select(KEY, "director")
-    theirs = seats.select(F.col(KEY).alias("parent_number"), "director")
-    return (
-        best.join(mine, KEY)
-        .join(theirs, ["parent_number", "director"])
-        .groupBy(KEY, "parent_number", "parent_name")
-        .agg(F.array_sort(F.collect_set("director")).alias("shared_directors"))
+    shared = F.transform(
+        F.filter("links", lambda x: x.age == F.col("parent.age")), lambda x: x.director
+    )
+    return found.select(
+        KEY,
+        F.col(f"parent.age.{KEY}").alias("parent_number"),
+        F.col("parent.name").alias("parent_name"),
+        F.array_sort(F.array_distinct(shared)).alias("shared_directors"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import markup, rules
 from leadloom.functions.keys import phone_e164_site, url_host, with_scheme
 from leadloom.functions.text import html_to_text, visible_text
+from leadloom.session import cut_lineage, spread
 
 # fixed values: kinds of hits
 KINDS = [
@@ -114,7 +115,7 @@ def page_hits(
     Text in structured data counts as page text too, as any reader of the markup sees it.
     """
     wanted = set(kinds)
-    df = pages.select("page_id", "domain", "page_ord", "url", "html")
+    df = spread(pages.select("page_id", "domain", "page_ord", "url", "html"))
     arrays: list[Column] = []
     if "text" in sources:
         if "person" in wanted:
@@ -286,8 +287,10 @@ def page_assembly(pages: DataFrame, max_chars: int = 40_000) -> DataFrame:
     head = F.when(
         F.col("page_ord") == 0, F.format_string("--- HOMEPAGE: %s ---\n", F.col("url"))
     ).otherwise(F.format_string("--- PAGE: %s ---\n", F.col("url")))
-    texts = pages.select("domain", "page_ord", F.concat(head, html_to_text("html")).alias("text"))
-    texts = texts.withColumn("size", F.length("text") + 2)
+    read = spread(pages.select("domain", "page_ord", "url", "html"))
+    texts = read.select("domain", "page_ord", F.concat(head, html_to_text("html")).alias("text"))
+    # Written once: the lengths and the texts are read from it, the markup only here.
+    texts = cut_lineage(texts.withColumn("size", F.length("text") + 2))
     ahead = Window.partitionBy("domain").orderBy("page_ord").rowsBetween(Window.unboundedPreceding, -1)
     starts = texts.select("domain", "page_ord", "size").withColumn(
         "start", F.coalesce(F.sum("size").over(ahead), F.lit(0))

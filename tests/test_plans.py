@@ -9,7 +9,7 @@ PYTHON_ALLOWED = {
     "failure_breaker",
 }
 # eager jobs: what is left of their plan is the reading of a written stage
-EAGER = {"dedup_resolve", "dedup_check", "manual_ingest", "new_vs_known", "suppression_upsert"}
+EAGER = {"dedup_resolve", "dedup_check", "manual_ingest", "new_vs_known", "suppression_upsert", "page_assembly"}
 
 
 def plan(spark, sf_dir, name):
