@@ -138,7 +138,10 @@ def kill_switch_intervals(event_log: DataFrame, hours: int = 24) -> DataFrame:
 
 
 def while_switched_on(rows: DataFrame, intervals: DataFrame, ts: str = "ts") -> DataFrame:
-    """Adds ``switched_on``. Intervals meet rows by the days they touch."""
+    """Adds ``switched_on``. Intervals meet rows by the days they touch.
+
+    One row per day the log spans is broadcast, whatever the number of firings.
+    """
     days = intervals.select(
         F.explode(F.sequence(F.to_date("on_from"), F.to_date("on_until"))).alias("day"),
         "on_from", "on_until",
@@ -147,7 +150,7 @@ def while_switched_on(rows: DataFrame, intervals: DataFrame, ts: str = "ts") ->
     inside = F.exists("spans", lambda s: (F.col(ts) >= s.on_from) & (F.col(ts) <= s.on_until))
     return (
         rows.withColumn("day", F.to_date(ts))
-        .join(per_day, "day", "left")
+        .join(F.broadcast(per_day), "day", "left")
         .withColumn("switched_on", F.coalesce(inside, F.lit(False)))
         .drop("day", "spans")
     )

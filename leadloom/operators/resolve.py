@@ -29,6 +29,7 @@ EXACT_LAYERS = [
 LAYER_NAMES = [n for n, _ in EXACT_LAYERS] + ["name_postcode", "fuzzy_trigram"]
 THRESHOLD = (7, 10)  # similarity of at least 0.7, as integers
 ANYWHERE = "*"
+RANK_LIMIT = 65_536  # above the number of trigrams there can be
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -135,7 +136,7 @@ def ranked_grams(*sides: DataFrame) -> DataFrame:
     n = F.size("grams")
     needed = F.floor((n * num + (den - 1)) / den).cast("int")
     return cut_lineage(
-        sets.select("name_key", "grams", F.slice("grams", F.lit(1), n - needed + 1).alias("prefix"))
+        sets.select("name_key", "grams", F.slice("grams", F.lit(1), n - needed + 2).alias("prefix"))
     )
 
 
@@ -143,27 +144,39 @@ def similar_names(probes: DataFrame, index: DataFrame, sets: DataFrame) -> DataF
     """Pairs of different names in one block with trigram similarity of at least 0.7.
 
     Both inputs hold distinct (block, name_key); ``sets`` comes from ``ranked_grams`` over
-    all their names. Two sets this similar must share one of their
-    few rarest members (the prefix), so only names that do are compared. A pair is
-    compared once: at the first member the two prefixes share.
+    all their names. A set of n members needs at least k = ceil(0.7 n) >= 2 of them in
+    common, so two such sets share at least two of their n - k + 2 rarest members (the
+    prefix). Names meet only in a pair of members that both prefixes hold: there are
+    far more pairs than single members, so the groups that meet stay small. Two names
+    are compared once, at the first two members their prefixes share.
     """
 
     def posted(side: DataFrame, tag: str) -> DataFrame:
+        pairs = F.flatten(
+            F.transform(
+                "prefix",
+                lambda g, i: F.transform(
+                    F.slice("prefix", i + 2, F.size("prefix")),
+                    lambda h: g.cast("long") * RANK_LIMIT + h,
+                ),
+            )
+        )
         return side.join(sets, "name_key").select(
             "block",
-            F.explode("prefix").alias("gram"),
+            F.explode(pairs).alias("pair"),
             *(F.col(c).alias(f"{c}_{tag}") for c in ("name_key", "grams", "prefix")),
         )
 
     num, den = THRESHOLD
     na, nb = F.size("grams_a"), F.size("grams_b")
     sized = (nb * den >= na * num) & (na * den >= nb * num)
-    first_shared = F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("gram")
+    common = F.array_intersect("prefix_a", "prefix_b")
+    first_two = F.get(common, F.lit(0)).cast("long") * RANK_LIMIT + F.get(common, F.lit(1))
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
     return (
         posted(probes, "a")
-        .join(posted(index, "b"), ["block", "gram"])
-        .where((F.col("name_key_a") != F.col("name_key_b")) & sized & first_shared)
+        .join(posted(index, "b"), ["block", "pair"])
+        .where((F.col("name_key_a") != F.col("name_key_b")) & sized & (first_two == F.col("pair")))
         .withColumn("shared", shared)
         .withColumn("total", na + nb - F.col("shared"))
         .where(F.col("shared") * den >= F.col("total") * num)

@@ -291,11 +291,29 @@ def page_assembly(pages: DataFrame, max_chars: int = 40_000) -> DataFrame:
     texts = read.select("domain", "page_ord", F.concat(head, html_to_text("html")).alias("text"))
     # Written once: the lengths and the texts are read from it, the markup only here.
     texts = cut_lineage(texts.withColumn("size", F.length("text") + 2))
-    ahead = Window.partitionBy("domain").orderBy("page_ord").rowsBetween(Window.unboundedPreceding, -1)
-    starts = texts.select("domain", "page_ord", "size").withColumn(
-        "start", F.coalesce(F.sum("size").over(ahead), F.lit(0))
+    # Sums of a thousand pages each show which stretch can hold the limit; only pages of
+    # such stretches are ordered one by one, so a huge site needs no huge sort.
+    sizes = texts.select("domain", "page_ord", "size").withColumn(
+        "stretch", F.floor(F.col("page_ord") / 1000)
+    )
+
+    def before(*by: str) -> Column:
+        w = Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("size").over(w), F.lit(0))
+
+    stretches = (
+        sizes.groupBy("domain", "stretch")
+        .agg(F.sum("size").alias("size"))
+        .withColumn("offset", before("domain", "stretch"))
+        .where(F.col("offset") < max_chars)
+        .drop("size")
+    )
+    kept = (
+        sizes.join(stretches, ["domain", "stretch"])
+        .withColumn("start", F.col("offset") + before("domain", "stretch", "page_ord"))
+        .where(F.col("start") < max_chars)
+        .select("domain", "page_ord")
     )
-    kept = starts.where(F.col("start") < max_chars).select("domain", "page_ord")
     return (
         texts.join(kept, ["domain", "page_ord"])
         .groupBy("domain")
