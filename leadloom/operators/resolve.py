@@ -140,45 +140,62 @@ def ranked_grams(*sides: DataFrame) -> DataFrame:
     )
 
 
-def similar_names(probes: DataFrame, index: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different names in one block with trigram similarity of at least 0.7.
-
-    Both inputs hold distinct (block, name_key); ``sets`` comes from ``ranked_grams`` over
-    all their names. A set of n members needs at least k = ceil(0.7 n) >= 2 of them in
-    common, so two such sets share at least two of their n - k + 2 rarest members (the
-    prefix). Names meet only in a pair of members that both prefixes hold: there are
-    far more pairs than single members, so the groups that meet stay small. Two names
-    are compared once, at the first two members their prefixes share.
-    """
-
-    def posted(side: DataFrame, tag: str) -> DataFrame:
-        pairs = F.flatten(
+def _posted(side: DataFrame, sets: DataFrame, together: int) -> DataFrame:
+    """One row per (block, name) and per member, or pair of members, of its prefix."""
+    rows = side.join(sets, "name_key")
+    prefix = F.col("prefix")
+    if together == 1:
+        rows = rows.withColumn("prefix", F.slice("prefix", F.lit(1), F.size("prefix") - 1))
+        keys_ = F.transform(prefix, lambda g: g.cast("long"))
+    else:
+        keys_ = F.flatten(
             F.transform(
-                "prefix",
+                prefix,
                 lambda g, i: F.transform(
-                    F.slice("prefix", i + 2, F.size("prefix")),
+                    F.slice(prefix, i + 2, F.size(prefix)),
                     lambda h: g.cast("long") * RANK_LIMIT + h,
                 ),
             )
         )
-        return side.join(sets, "name_key").select(
-            "block",
-            F.explode(pairs).alias("pair"),
-            *(F.col(c).alias(f"{c}_{tag}") for c in ("name_key", "grams", "prefix")),
-        )
+    return rows.select("block", "name_key", "grams", "prefix", F.explode(keys_).alias("key"))
+
 
+def similar_names(
+    probes: DataFrame, index: DataFrame, sets: DataFrame, hot: int = 20_000
+) -> DataFrame:
+    """Pairs of different names in one block with trigram similarity of at least 0.7.
+
+    Both inputs hold distinct (block, name_key); ``sets`` comes from ``ranked_grams`` over
+    all their names. A set of n members needs at least k = ceil(0.7 n) >= 2 of them in
+    common, so two such sets share at least one of their n - k + 1 rarest members, and
+    at least two of their n - k + 2 rarest (the prefix). Names that share no such member
+    are never compared, and two names are compared once, where their prefixes first meet.
+
+    The largest group that would meet in one member is measured first. If it holds more
+    than ``hot`` names, names meet in pairs of members instead: there are far more of
+    these, so the groups become small. Both ways find the same pairs.
+    """
+    sizes = _posted(index, sets, 1).groupBy("block", "key").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).head()[0] or 0
+    together = 1 if largest <= hot else 2
+    a, b = (_posted(side, sets, together).alias(tag) for side, tag in ((probes, "a"), (index, "b")))
     num, den = THRESHOLD
-    na, nb = F.size("grams_a"), F.size("grams_b")
+    na, nb = F.size("a.grams"), F.size("b.grams")
     sized = (nb * den >= na * num) & (na * den >= nb * num)
-    common = F.array_intersect("prefix_a", "prefix_b")
-    first_two = F.get(common, F.lit(0)).cast("long") * RANK_LIMIT + F.get(common, F.lit(1))
-    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    common = F.array_intersect("a.prefix", "b.prefix")
+    first = F.get(common, F.lit(0)).cast("long")
+    if together == 2:
+        first = first * RANK_LIMIT + F.get(common, F.lit(1))
+    shared = F.size(F.array_intersect("a.grams", "b.grams"))
+    met = (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key"))
     return (
-        posted(probes, "a")
-        .join(posted(index, "b"), ["block", "pair"])
-        .where((F.col("name_key_a") != F.col("name_key_b")) & sized & (first_two == F.col("pair")))
-        .withColumn("shared", shared)
-        .withColumn("total", na + nb - F.col("shared"))
+        a.join(b, met)
+        .where((F.col("a.name_key") != F.col("b.name_key")) & sized & (first == F.col("a.key")))
+        .select(
+            "a.block", F.col("a.name_key").alias("name_key_a"), F.col("b.name_key").alias("name_key_b"),
+            shared.alias("shared"), (na + nb).alias("both"),
+        )
+        .withColumn("total", F.col("both") - F.col("shared"))
         .where(F.col("shared") * den >= F.col("total") * num)
         .select(
             "block", "name_key_a", "name_key_b",

@@ -30,13 +30,13 @@ def names(n, seed):
     return [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_similar_names_loses_no_pair(spark, seed):
+@pytest.mark.parametrize("seed, hot", [(1, 20_000), (2, 0)])
+def test_similar_names_loses_no_pair(spark, seed, hot):
     rows = sorted({(f"b{i % 3}", n) for i, n in enumerate(names(150, seed))})
     df = spark.createDataFrame(rows, "block string, name_key string")
     got = {
         (r.block, r.name_key_a, r.name_key_b)
-        for r in resolve.similar_names(df, df, resolve.ranked_grams(df)).collect()
+        for r in resolve.similar_names(df, df, resolve.ranked_grams(df), hot).collect()
     }
     want = {
         (b, x, y) for (b, x), (c, y) in itertools.permutations(rows, 2) if b == c and x != y and alike(x, y)
