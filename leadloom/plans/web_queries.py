@@ -185,7 +185,7 @@ register(
 # ---- by site -----------------------------------------------------------------
 
 MERGE_KINDS = ["email", "phone", "og", "description", "canonical", "title"]
-FIRST_SQL = f"""SELECT domain, kind, value, extra, page_ord FROM (SELECT *, row_number() OVER (PARTITION BY domain, kind,
+FIRST_SQL = f"""SELECT domain, kind, value, extra, page_ord::int AS page_ord FROM (SELECT *, row_number() OVER (PARTITION BY domain, kind,
     CASE WHEN kind IN ('description', 'canonical', 'title') THEN '' WHEN kind = 'og' THEN extra ELSE value END
     ORDER BY CASE WHEN kind = 'og' THEN -page_ord ELSE page_ord END, pos) AS n FROM hits) WHERE n = 1"""
 register(
