@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import line_dedup, packing
+from leadloom.llm import classifier, line_dedup, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,34 @@ FROM pages LEFT JOIN merged USING (page)
 """
 
 
+#: A quarter of the documents is held out: their labels are never read.
+HELD_OUT = 2
+KEEP_SCORE = 0.7
+
+
+def fold(key: str):
+    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> classifier.Model:
+    """Fitted on labelled documents outside the held-out quarter."""
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id") != HELD_OUT)
+    return classifier.fit(table(spark, sf_dir, "documents"), labels, "doc_id", "text", "quality")
+
+
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, whole texts."""
+    model = quality_model(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    scored = docs.select("doc_id", (F.coalesce(fold("doc_id"), F.lit(-1)) == HELD_OUT).alias("held_out"), classifier.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= KEEP_SCORE).cast("int"))
+
+
+def op4_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and near-duplicate components of all documents."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op10_binary_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in pieces of power-of-two lengths."""
     out = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
@@ -68,6 +96,8 @@ def op10_binary_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_lines": op1_site_lines,
+    "op2_subword_quality": op2_subword_quality,
+    "op4_gray_index": op4_gray_index,
     "op10_binary_pieces": op10_binary_pieces,
 }
 ORACLES: dict[str, str] = {"op1_site_lines": OP1_SQL}
