@@ -9,9 +9,11 @@ no sequence crosses documents.
 from __future__ import annotations
 
 import functools
-import re
+import itertools
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -19,49 +21,55 @@ from pyspark.sql import functions as F
 
 MAX_TOKENS = 1024
 END_ID = 0
-#: Entries of the cache of words, some 130 bytes each.
-CACHE = 400_000
-_UNITS = re.compile(r" ?\S+|\s+(?!\S)|\s").findall
-#: White space for one of the two libraries only.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: How a byte-level tokenizer cuts text before it merges bytes.
+BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
 class TokenBytes:
-    """Ids of texts as little-endian unsigned 32-bit integers.
+    """Ids of a text as little-endian unsigned 32-bit integers.
 
-    The tokenizer never joins characters over the start of a word and its one leading blank,
-    so the ids of a text are those of its words in a row, and each word is encoded once
-    (the cache starts anew when it is full). Texts with special tokens or separator
-    characters, where this does not hold, are encoded whole.
+    The ids are those of the tokenizer file. Where it is a plain byte-level one, whose ids
+    stand in the order of its merges, a faster library with the same ranks finds them; texts
+    with its special tokens, and all texts of other tokenizers, take the slower way.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.size, self.known = cache, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in found]
+        with open(path, encoding="utf-8") as f:
+            self.fast = self._ranked(json.load(f))
+
+    @staticmethod
+    def _ranked(file: dict):
+        model, cut = file["model"], file.get("pre_tokenizer") or {}
+        vocab, merges = model.get("vocab", {}), [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        plain = (
+            model.get("type") == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
+            and not (cut.get("add_prefix_space") or file.get("normalizer") or model.get("dropout"))
+            and not (model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+        )
+        ranks = [vocab["".join(m)] for m in merges] if plain else []
+        if not ranks or any(a >= b for a, b in itertools.pairwise(ranks)):
+            return None
+        import tiktoken
+
+        byte_of, added = _byte_of(), {t["content"] for t in file.get("added_tokens", [])}
+        known = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in added}
+        return tiktoken.Encoding("bytes", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=known, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if any(c in text for c in _ODD) or any(s in text for s in self.special):
-            return self._ids([text])[0]
-        units = _UNITS(text)
-        known = self.known
-        try:
-            return b"".join([known[u] for u in units])
-        except KeyError:
-            pass
-        new = {u for u in units if u not in known}
-        if len(known) + len(new) > self.size:
-            known.clear()
-            new = set(units)
-        new = list(new)
-        known.update(zip(new, self._ids(new)))
-        return b"".join([known[u] for u in units])
+        if self.fast is None or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
