@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import classifier, line_dedup, packing, simhash
+from leadloom.llm import classifier, decontaminate, line_dedup, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,14 @@ def op4_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op8_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which benchmark items, up to a few edits."""
+    found = decontaminate.find_items(
+        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text"
+    )
+    return found.withColumnsRenamed({"doc_key": "doc_id", "item_key": "item_id"})
+
+
 def op10_binary_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in pieces of power-of-two lengths."""
     out = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
@@ -98,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_lines": op1_site_lines,
     "op2_subword_quality": op2_subword_quality,
     "op4_gray_index": op4_gray_index,
+    "op8_pigeonhole_edits": op8_pigeonhole_edits,
     "op10_binary_pieces": op10_binary_pieces,
 }
 ORACLES: dict[str, str] = {"op1_site_lines": OP1_SQL}
