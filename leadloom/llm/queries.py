@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import classifier, decontaminate, line_dedup, packing, simhash
+from leadloom.llm import classifier, decontaminate, line_dedup, packing, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,14 @@ def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= KEEP_SCORE).cast("int"))
 
 
+def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; equal texts are one blob and are scanned once."""
+    found, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    listed = secrets.listed()
+    counts = [F.size(f"spans_{k}").cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
 def op4_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and near-duplicate components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -105,6 +113,7 @@ def op10_binary_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_lines": op1_site_lines,
     "op2_subword_quality": op2_subword_quality,
+    "op3_blob_ledger": op3_blob_ledger,
     "op4_gray_index": op4_gray_index,
     "op8_pigeonhole_edits": op8_pigeonhole_edits,
     "op10_binary_pieces": op10_binary_pieces,
