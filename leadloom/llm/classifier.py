@@ -10,16 +10,18 @@ one number for each hash, whose mean is the difference of the two logits.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The most labelled rows a model is fitted on: so many of each class at most, those with the least hashes.
-MAX_ROWS_OF_CLASS = 1500
+MAX_ROWS_OF_CLASS = 1000
 BITS = 17
 GRAMS = (3, 4, 5)
 #: The bucket that all words share which repeat the word before them.
@@ -174,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, mos
     once, repeated documents as often as they stand there. Texts become hashed counts in the
     tasks; only those of the sample come to the driver.
     """
-    chosen = sample_labels(labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).distinct(), "key", "label", most)
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).distinct()
+    chosen = sample_labels(known, "key", "label", most)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,14 +185,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, mos
             for lo in range(0, len(frame), 64):
                 part = frame.iloc[lo : lo + 64]
                 pairs = list(counted([t or "" for t in part["text"]]))
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "label": part["label"].to_numpy(), "ids": [p[0] for p in pairs], "shares": [p[1] for p in pairs]})
-
-    joined = rows.join(F.broadcast(chosen), "key").select("key", "label", "text")
-    kind = joined.schema["key"].dataType.simpleString()
-    found = joined.mapInPandas(extract, f"key {kind}, label int, ids array<int>, shares array<float>").toPandas()
-    found["n"] = [len(x) for x in found["ids"]]
-    found = found.sort_values(["key", "label", "n"], kind="stable")
-    return train([np.asarray(x) for x in found["ids"]], [np.asarray(x) for x in found["shares"]], found["label"].to_numpy())
+                yield pd.DataFrame(
+                    {"label": part["label"].to_numpy(), "ids": [p[0].tobytes() for p in pairs], "shares": [p[1].tobytes() for p in pairs]}
+                )
+
+    joined = rows.join(F.broadcast(chosen), "key").select("label", "text")
+    found = joined.mapInPandas(extract, "label int, ids binary, shares binary").toArrow()
+    # The order of the rows is that of their contents, however the tasks came in.
+    found = found.take(pa.array(np.argsort([zlib.crc32(x.as_buffer()) for x in found["shares"]], kind="stable")))
+    counts = dict(known.where(F.col("label").isin(0, 1)).groupBy("label").count().collect())
+    return train(
+        [np.frombuffer(x.as_buffer(), np.int32) for x in found["ids"]],
+        [np.frombuffer(x.as_buffer(), np.float32) for x in found["shares"]],
+        found["label"].to_numpy(),
+        (counts.get(0, 0), counts.get(1, 0)),
+    )
 
 
 def score(model: Model, text: Column) -> Column:
