@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import classifier, decontaminate, line_dedup, packing, secrets, simhash
+from leadloom.llm import classifier, decontaminate, line_dedup, packing, quality_rules, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,13 @@ def op4_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op5_weak_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures, votes and verdict of all documents."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *counts, "base_failed", "kept", F.round("good_probability", 6).alias("good_probability"))
+
+
 def op8_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold which benchmark items, up to a few edits."""
     found = decontaminate.find_items(
@@ -115,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_subword_quality": op2_subword_quality,
     "op3_blob_ledger": op3_blob_ledger,
     "op4_gray_index": op4_gray_index,
+    "op5_weak_votes": op5_weak_votes,
     "op8_pigeonhole_edits": op8_pigeonhole_edits,
     "op10_binary_pieces": op10_binary_pieces,
 }
