@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import classifier, decontaminate, line_dedup, packing, quality_rules, secrets, simhash
+from leadloom.llm import classifier, decontaminate, line_dedup, packing, quality_rules, secrets, simhash, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,43 @@ def op5_weak_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", F.round("good_probability", 6).alias("good_probability"))
 
 
+#: The rules of the query, as host, path and verdict.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op7_interval_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all URLs."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), "page_id", "url", rules)
+
+
+OP7_SQL = f"""
+WITH rules (h, p, v) AS (
+  VALUES {", ".join(str(r) for r in URL_RULES)}
+), rest AS (
+  SELECT row_number() OVER () AS n, page_id,
+         CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r
+  FROM pages
+), parts AS (
+  SELECT n, page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*(/[^?#]*)', 1) AS path
+  FROM rest
+), fits AS (
+  SELECT n, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+  FROM parts, rules
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY n
+)
+SELECT page_id, host, path, rule, coalesce(verdict, '{url_rules.DEFAULT}') AS verdict
+FROM parts LEFT JOIN fits USING (n)
+"""
+
+
 def op8_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold which benchmark items, up to a few edits."""
     found = decontaminate.find_items(
@@ -123,10 +160,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_blob_ledger": op3_blob_ledger,
     "op4_gray_index": op4_gray_index,
     "op5_weak_votes": op5_weak_votes,
+    "op7_interval_sweep": op7_interval_sweep,
     "op8_pigeonhole_edits": op8_pigeonhole_edits,
     "op10_binary_pieces": op10_binary_pieces,
 }
-ORACLES: dict[str, str] = {"op1_site_lines": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_site_lines": OP1_SQL, "op7_interval_sweep": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
