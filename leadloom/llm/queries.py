@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import classifier, decontaminate, line_dedup, packing, quality_rules, secrets, simhash, url_rules
+from leadloom.llm import classifier, decontaminate, line_dedup, packing, pii, quality_rules, secrets, simhash, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,15 @@ def op5_weak_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", F.round("good_probability", 6).alias("good_probability"))
 
 
+def op6_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: fixed forms, and words in their contexts."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    counts = [F.size(f"spans_{f.kind}").cast("long").alias(f"n_{f.kind}") for f in pii.FORMS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed(context=False), 256).alias("base_sha256"), pii.listed().alias("spans")
+    )
+
+
 #: The rules of the query, as host, path and verdict.
 URL_RULES = [
     ("net", "/", "block"),
@@ -160,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_blob_ledger": op3_blob_ledger,
     "op4_gray_index": op4_gray_index,
     "op5_weak_votes": op5_weak_votes,
+    "op6_bootstrapped_contexts": op6_bootstrapped_contexts,
     "op7_interval_sweep": op7_interval_sweep,
     "op8_pigeonhole_edits": op8_pigeonhole_edits,
     "op10_binary_pieces": op10_binary_pieces,

@@ -37,6 +37,26 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), folded).otherwise(empty)
 
 
+def in_context(text: Column, pattern: str, reach: int) -> Column:
+    """``start, end, text, before, after`` of the matches: with up to ``reach`` characters on each
+    side, as far as the neighbouring matches."""
+    gaps = F.split(text, pattern)
+    empty = F.array().cast("array<struct<start:int,end:int,text:string,before:string,after:string>>")
+
+    def shown(pair: Column) -> Column:
+        gap, found = pair["gap"], pair["found"]
+        return F.transform(
+            found,
+            lambda m, i: F.struct(
+                m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"),
+                F.right(gap[i], F.lit(reach)).alias("before"), F.left(gap[i + 1], F.lit(reach)).alias("after"),
+            ),
+        )
+
+    pair = F.struct(gaps.alias("gap"), matches(text, pattern).alias("found"))
+    return F.when(text.rlike(pattern), F.transform(F.array(pair), shown)[0]).otherwise(empty)
+
+
 def spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, group: int = 0) -> Column:
     """Places of the matches that ``keep`` (of ``start, end, text, part``) accepts."""
     found = matches(text, pattern, group)
