@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import classifier, decontaminate, line_dedup, packing, pii, quality_rules, secrets, simhash, url_rules
+from leadloom.llm import classifier, decontaminate, line_dedup, packing, passages, pii, quality_rules, secrets, simhash, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -155,6 +155,12 @@ def op8_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"doc_key": "doc_id", "item_key": "item_id"})
 
 
+def op9_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat in different documents, with both sides."""
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.withColumnsRenamed({"doc": "doc_id", "partner": "partner_id"})
+
+
 def op10_binary_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in pieces of power-of-two lengths."""
     out = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
@@ -172,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bootstrapped_contexts": op6_bootstrapped_contexts,
     "op7_interval_sweep": op7_interval_sweep,
     "op8_pigeonhole_edits": op8_pigeonhole_edits,
+    "op9_collinear_chains": op9_collinear_chains,
     "op10_binary_pieces": op10_binary_pieces,
 }
 ORACLES: dict[str, str] = {"op1_site_lines": OP1_SQL, "op7_interval_sweep": OP7_SQL}
