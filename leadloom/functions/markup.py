@@ -102,11 +102,15 @@ def title(html: Column) -> Column:
     return decode_entities(blank_to_null(strip(first_group(html, r"(?is)<title[^>]*>(.*?)</title>"))))
 
 
-def postcodes(html: Column, limit: int = 5) -> Column:
-    return F.slice(F.array_distinct(all_groups(html, rules.PAGE_POSTCODE_PATTERN, 0)), 1, limit)
+def _first(values: Column, limit: int | None) -> Column:
+    return values if limit is None else F.slice(values, 1, limit)
 
 
-def people(visible: Column, limit: int = 8) -> Column:
+def postcodes(html: Column, limit: int | None = None) -> Column:
+    return _first(F.array_distinct(all_groups(html, rules.PAGE_POSTCODE_PATTERN, 0)), limit)
+
+
+def people(visible: Column, limit: int | None = None) -> Column:
     """Array of (name, role) found beside job titles in text without tags.
 
     Every title is looked for on its own, because one name may answer two titles. A
@@ -127,7 +131,7 @@ def people(visible: Column, limit: int = 8) -> Column:
     listed = F.concat(*found)
     keys = F.transform(listed, lambda p: F.lower(p["name"]))
     first = F.filter(listed, lambda p, i: F.array_position(keys, F.lower(p["name"])) == i + 1)
-    return F.slice(first, 1, limit)
+    return _first(first, limit)
 
 
 def vat_number(html: Column) -> Column:
@@ -195,19 +199,21 @@ def ld_is_person(node: Column) -> Column:
     return _json(node, "@type").rlike('(?i)(^|")person("|$)')
 
 
+def ld_text(node: Column, field: str) -> Column:
+    """The value of a field, null unless it is a JSON string."""
+    value = F.try_variant_get(F.try_parse_json(node), f"$.{field}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
+
+
 def ld_address(node: Column) -> Column:
-    text = _json(node, "address")
+    """The address if it is a text, else its parts, of which a street must be there."""
     parts = ["streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry"]
     joined = F.array_join(
-        F.filter(
-            F.array(*(_json(node, f"address.{p}") for p in parts)),
-            lambda p: p.isNotNull() & (p != ""),
-        ),
-        ", ",
-    )
-    return F.when(~text.startswith("{") & ~text.startswith("["), text).when(
-        _json(node, "address.streetAddress").isNotNull(), joined
+        F.filter(F.array(*(ld_text(node, f"address.{p}") for p in parts)), lambda p: p.isNotNull() & (p != "")), ", "
     )
+    street = F.coalesce(ld_text(node, "address.streetAddress"), F.lit("")) != ""
+    return F.coalesce(ld_text(node, "address"), F.when(street, joined))
+
 
 
 def ld_people(node: Column) -> Column:
@@ -264,10 +270,22 @@ def absolute_url(href: Column, origin: Column, path: Column) -> Column:
         .when(href.startswith("?"), F.concat(origin, path, href))
         .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), href))
     )
-    url = F.regexp_replace(url, r"(?<=/)\./", "")
-    for _ in range(4):  # parent folders, one level a turn
-        url = F.regexp_replace(url, r"(https?://[^/?#]+(?:/[^/?#]+)*?)/[^/?#.]+/\.\./", "$1/")
-    return url
+    return F.when(url.rlike(r"/\.{1,2}(?=[/?#]|$)"), _without_dots(url)).otherwise(url)
+
+
+def _without_dots(url: Column) -> Column:
+    """``.`` and ``..`` steps of the path carried out, at any depth."""
+    origin, path = url_origin(url), url_path(url)
+    steps = F.filter(F.split(path, "/"), lambda s: s != ".")
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, s: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.lit(1), F.size(kept) - 1))
+        return F.when(s == "..", up).otherwise(F.concat(kept, F.array(s)))
+
+    folder = F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    clean = F.concat(F.array_join(F.aggregate(steps, none, step), "/"), folder)
+    return F.concat(origin, clean, F.substring(url, F.length(origin) + F.length(path) + 1, F.length(url)))
 
 
 def subpage_weight(path: Column) -> Column:
@@ -275,10 +293,10 @@ def subpage_weight(path: Column) -> Column:
     return F.greatest(*(F.when(path.rlike("(?i)" + p), w) for p, w in rules.SUBPAGE_WEIGHTS))
 
 
-def sitemap_urls(xml: Column, limit: int = 10) -> Column:
+def sitemap_urls(xml: Column, limit: int | None = None) -> Column:
     words = "|".join(rules.SITEMAP_WORDS)
     urls = all_groups(xml, r"(?i)<loc>\s*([^<\s]+)\s*</loc>")
-    return F.slice(F.filter(urls, lambda u: u.rlike(rf"(?i)\b({words})\b")), 1, limit)
+    return _first(F.filter(urls, lambda u: u.rlike(rf"(?i)\b({words})\b")), limit)
 
 
 # ---- whole-page checks ---------------------------------------------------------

@@ -390,9 +390,12 @@ def director_graph(officers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return directors, edges
 
 
-def parent_company(companies: DataFrame, officers: DataFrame) -> DataFrame:
-    """The earliest other company at the same office that shares an active director.
+def parent_company(
+    companies: DataFrame, officers: DataFrame, accepted: DataFrame | None = None
+) -> DataFrame:
+    """The earliest other accepted company at the same office that shares an active director.
 
+    ``accepted`` holds the company numbers that may be a parent; all may if it is left out.
     One building may hold a third of the register. So no pair of companies is formed
     inside a group: each (office, director) keeps its earliest company only, and every
     later company looks up that one row.
@@ -410,7 +413,8 @@ def parent_company(companies: DataFrame, officers: DataFrame) -> DataFrame:
         .join(homes, KEY)
     )
     age = F.struct("date_of_creation", KEY)
-    first = seats.groupBy("seat", "director").agg(
+    heads = seats if accepted is None else seats.join(accepted.select(KEY).distinct(), KEY, "left_semi")
+    first = heads.groupBy("seat", "director").agg(
         F.min(F.struct(age.alias("age"), F.col("company_name").alias("name"))).alias("first")
     )
     # The parent is the earliest of these firsts, so a director it shares with the company

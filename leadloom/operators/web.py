@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import markup, rules
 from leadloom.functions.keys import phone_e164_site, url_host, with_scheme
 from leadloom.functions.text import html_to_text, visible_text
-from leadloom.session import cut_lineage, spread
+from leadloom.session import cut_lineage
 
 # fixed values: kinds of hits
 KINDS = [
@@ -79,7 +79,7 @@ def _ld_hits(kinds: set[str]) -> list[Column]:
 
     def of_org(field: str) -> Column:
         values = F.transform(
-            F.filter(nodes, markup.ld_is_organisation), lambda n: F.get_json_object(n, f"$.{field}")
+            F.filter(nodes, markup.ld_is_organisation), lambda n: markup.ld_text(n, field)
         )
         return F.array_compact(values)
 
@@ -115,7 +115,7 @@ def page_hits(
     Text in structured data counts as page text too, as any reader of the markup sees it.
     """
     wanted = set(kinds)
-    df = spread(pages.select("page_id", "domain", "page_ord", "url", "html"))
+    df = pages.select("page_id", "domain", "page_ord", "url", "html")
     arrays: list[Column] = []
     if "text" in sources:
         if "person" in wanted:
@@ -131,11 +131,12 @@ def page_hits(
 
 
 def subpages(
-    pages: DataFrame, sitemaps: DataFrame | None = None, few: int = 3, limit: int | None = 5
+    pages: DataFrame, sitemaps: DataFrame | None = None, few: int = 3, limit: int | None = None
 ) -> DataFrame:
     """Pages of a site worth reading next, from the links of its home page.
 
     Where the links give fewer than ``few``, the site map adds its own, ranked after them.
+    ``limit`` keeps the best of each site; all by default.
     """
     home = (
         pages.where(F.col("page_ord") == 0)
@@ -287,7 +288,7 @@ def page_assembly(pages: DataFrame, max_chars: int = 40_000) -> DataFrame:
     head = F.when(
         F.col("page_ord") == 0, F.format_string("--- HOMEPAGE: %s ---\n", F.col("url"))
     ).otherwise(F.format_string("--- PAGE: %s ---\n", F.col("url")))
-    read = spread(pages.select("domain", "page_ord", "url", "html"))
+    read = pages.select("domain", "page_ord", "url", "html")
     texts = read.select("domain", "page_ord", F.concat(head, html_to_text("html")).alias("text"))
     # Written once: the lengths and the texts are read from it, the markup only here.
     texts = cut_lineage(texts.withColumn("size", F.length("text") + 2))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from leadloom.functions import keys, rules, similarity, text
 from leadloom.plans.register_queries import ADDRESS_SQL, quoted
 from leadloom.plans.registry import register
-from leadloom.session import spread
 
 SUFFIXES = "|".join(rules.LEGAL_SUFFIXES)
 
@@ -191,7 +190,7 @@ def html_text_sql(table: str, id_: str, html: str) -> str:
 
 register(
     "html_to_text",
-    lambda v: spread(v.site_pages_v.select("page_id", "html")).select(
+    lambda v: v.site_pages_v.select("page_id", "html").select(
         "page_id", text.html_to_text("html").alias("text")
     ),
     html_text_sql("@site_pages_v@", "page_id", "html"),

@@ -121,8 +121,11 @@ PARENT_SQL = f"""WITH homes AS (SELECT company_number, company_name, date_of_cre
     trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS director
     FROM @officers_v@ o JOIN homes USING (company_number)
     WHERE resigned_on IS NULL AND officer_role IN ('director', 'llp-member')),
+  accepted AS (SELECT company_number FROM @companies_v@ WHERE company_name IS NOT NULL
+    AND NOT coalesce({DORMANT_SQL}, false) AND {STANDING_SQL} IS NULL AND {HARD_SQL} IS NULL),
+  heads AS (SELECT * FROM seats WHERE company_number IN (SELECT company_number FROM accepted)),
   pairs AS (SELECT c.company_number, p.company_number AS parent_number, p.company_name AS parent_name,
-    p.date_of_creation AS born, c.director FROM seats c JOIN seats p ON c.seat = p.seat
+    p.date_of_creation AS born, c.director FROM seats c JOIN heads p ON c.seat = p.seat
     AND c.director = p.director AND (p.date_of_creation, p.company_number) < (c.date_of_creation, c.company_number)),
   best AS (SELECT *, min((born, parent_number)) OVER (PARTITION BY company_number) AS first FROM pairs)
 """
@@ -202,14 +205,25 @@ def scored(v, companies=None):
     return signals.pre_score(wide, AS_OF)
 
 
+def registry(v):
+    return qualify.registry_gate(v.companies_v, sic_prefixes=["64", "411"])
+
+
+def parents(v):
+    """Only companies that pass the register's own rules may be a parent."""
+    accepted = registry(v).where("registry_reason IS NULL")
+    return signals.parent_company(v.companies_v, v.officers_v, accepted)
+
+
 def gated(v, policy="flag"):
-    parents = signals.parent_company(v.companies_v, v.officers_v).select(
-        "company_number", "parent_number"
-    )
-    companies = qualify.registry_gate(v.companies_v, sic_prefixes=["64", "411"])
-    return qualify.discovery_gate(
-        scored(v, companies).join(parents, "company_number", "left"), policy
+    """Companies that their own row rejects are not joined or scored."""
+    companies = registry(v)
+    linked = parents(v).select("company_number", "parent_number")
+    kept = scored(v, companies.where("registry_reason IS NULL")).join(linked, "company_number", "left")
+    rejected = companies.where("registry_reason IS NOT NULL").withColumns(
+        {"reject_reason": F.col("registry_reason"), "is_subsidiary": F.lit(False)}
     )
+    return qualify.discovery_gate(kept, policy).unionByName(rejected, allowMissingColumns=True)
 
 
 GATED_SQL = f"""SELECT *, own IS NULL AND parent_number IS NOT NULL AS is_subsidiary,
@@ -230,7 +244,19 @@ GATED_SQL = f"""SELECT *, own IS NULL AND parent_number IS NOT NULL AS is_subsid
 register(
     "discovery_gate",
     lambda v: gated(v).select("company_number", "reject_reason", "is_subsidiary", "pre_score"),
-    f"SELECT company_number, reject_reason, is_subsidiary, pre_score FROM ({GATED_SQL})",
+    f"""SELECT company_number, reject_reason, is_subsidiary, CASE WHEN own IS NULL THEN pre_score END AS pre_score
+    FROM ({GATED_SQL})""",
+)
+register(
+    "discovery_gate_reject",
+    lambda v: gated(v, "reject").select("company_number", "reject_reason", "is_subsidiary"),
+    f"""SELECT company_number, is_subsidiary, CASE WHEN own IS NOT NULL THEN own WHEN is_subsidiary THEN 'subsidiary'
+    ELSE reject_reason END AS reject_reason FROM ({GATED_SQL})""",
+)
+register(
+    "discovery_gate_ignore",
+    lambda v: gated(v, "ignore").select("company_number", "reject_reason", "is_subsidiary"),
+    f"SELECT company_number, reject_reason, false AS is_subsidiary FROM ({GATED_SQL})",
 )
 register(
     "rejection_funnel",
@@ -387,7 +413,7 @@ register(
 
 register(
     "parent_company",
-    lambda v: signals.parent_company(v.companies_v, v.officers_v).withColumn(
+    lambda v: parents(v).withColumn(
         "shared_directors", F.array_join("shared_directors", "|")
     ),
     PARENT_ROWS_SQL,
@@ -418,7 +444,7 @@ register(
 )
 register(
     "director_overlap",
-    lambda v: signals.parent_company(v.companies_v, v.officers_v).select(
+    lambda v: parents(v).select(
         "company_number", "parent_number", F.size("shared_directors").alias("n_shared")
     ),
     f"""SELECT company_number, parent_number, len(string_split(shared_directors, '|'))::int AS n_shared

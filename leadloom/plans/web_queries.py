@@ -173,7 +173,7 @@ register(
       WHERE regexp_matches(value, '\\b({"|".join(rules.SITEMAP_WORDS)})\\b', 'i')),
     a AS (SELECT * FROM l UNION ALL SELECT * FROM m WHERE domain NOT IN (SELECT domain FROM l GROUP BY domain HAVING count(*) >= 3))
     SELECT domain, url, weight, place FROM (SELECT *, (row_number() OVER (PARTITION BY domain ORDER BY weight DESC, pos, url))::int AS place FROM (
-      SELECT domain, url, max(weight)::int AS weight, min(pos) AS pos FROM a GROUP BY domain, url)) WHERE place <= 5""",
+      SELECT domain, url, max(weight)::int AS weight, min(pos) AS pos FROM a GROUP BY domain, url))""",
 )
 register(
     "vrn_extract",

@@ -19,7 +19,12 @@ def read(spark: SparkSession, path: str, schema: str | None = None, fmt: str = "
     raise ValueError(fmt)
 
 
-def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """A new parquet snapshot; an existing one is never overwritten while it is read."""
-    writer = df.write.mode("errorifexists")
+def write_snapshot(
+    df: DataFrame, path: str, partition_by: list[str] | None = None, unfinished: bool = False
+) -> None:
+    """A new parquet snapshot; an existing one is never overwritten while it is read.
+
+    With ``unfinished``, what a failed write left at ``path`` is replaced.
+    """
+    writer = df.write.mode("overwrite" if unfinished else "errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)

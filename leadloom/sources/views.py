@@ -532,11 +532,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_view(spark: SparkSession, sf_dir: str, name: str, base: str) -> DataFrame:
-    """A view over one table, read as a stream of the table's file."""
+    """A view over one table, read as a stream of the table's file, or of its parts if it is a folder."""
     prepare(spark)
     schema = table(spark, sf_dir, base).schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{base}.parquet")
-    source = files.parquet(sf_dir)
+    files = spark.readStream.schema(schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{base}.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    if status.isDirectory():
+        source = files.parquet(f"{sf_dir}/{base}.parquet")
+    else:
+        source = files.option("pathGlobFilter", f"{base}.parquet").parquet(sf_dir)
     body = _NAME.sub(r"{\1}", VIEWS[name].replace("{", "{{").replace("}", "}}"))
     return spark.sql(body, **{base: source})
 

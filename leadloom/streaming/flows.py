@@ -133,7 +133,8 @@ def reply_stream(messages: DataFrame, leads: DataFrame, delay: str = "1 hour") -
 def suppression_sink(existing: str, target: str):
     """A ``foreachBatch`` function that writes a suppression snapshot per batch.
 
-    A batch that is run again writes the same snapshot, so it is skipped if present.
+    A batch that is run again writes the same snapshot, so it is skipped if present; what a
+    write that died has left is replaced.
     """
 
     def write(flow: DataFrame, batch_id: int) -> None:
@@ -141,7 +142,7 @@ def suppression_sink(existing: str, target: str):
         before = existing if batch_id == 0 else f"{target}/v{batch_id - 1}"
         out = f"{target}/v{batch_id}"
         if not _exists(flow, out):
-            write_snapshot(mail.suppress(spark.read.parquet(before), flow), out)
+            write_snapshot(mail.suppress(spark.read.parquet(before), flow), out, unfinished=True)
 
     return write
 
@@ -169,6 +170,6 @@ def sent_items_sink(leads: str, followups: str, target: str, client_state: str):
         changes = mail.reconcile_sent(
             items, spark.read.parquet(leads), spark.read.parquet(followups), client_state, changed
         )
-        write_snapshot(changes, out)
+        write_snapshot(changes, out, unfinished=True)
 
     return write

@@ -239,3 +239,44 @@ def test_norm_name_can_uncover_a_suffix(value):
     once = value(keys.norm_name, "Acme l't'd")
     assert once == "acme"
     assert F.lit(1) is not None
+
+
+def test_dot_segments_of_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    from leadloom.functions import markup
+
+    def follow(href, path="/a/b/c/d/e/f.html"):
+        c = markup.absolute_url(F.lit(href), F.lit("https://x.org"), F.lit(path))
+        return spark.range(1).select(c).head()[0]
+
+    assert follow("../../../../../p/x") == "https://x.org/p/x"
+    assert follow("../../../../../../../x?y=../z") == "https://x.org/x?y=../z"
+    assert follow("./g/./h/..") == "https://x.org/a/b/c/d/e/g/" and follow("i#../j") == "https://x.org/a/b/c/d/e/i#../j"
+
+
+def test_all_people_and_postcodes_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    from leadloom.functions import markup
+
+    names = ["Al Ame", "Bo Bee", "Cy Cole", "Di Dew", "Ed Elm", "Fay Fox", "Gus Gum", "Hal Hut", "Ida Ivy"]
+    page = " . ".join(f"{n}, Founder" for n in names)
+    codes = " ".join(f"LS{i} 4AP" for i in range(1, 7))
+    row = spark.range(1).select(
+        markup.people(F.lit(page)).alias("p"), markup.people(F.lit(page), 8).alias("q"), markup.postcodes(F.lit(codes)).alias("c")
+    ).head()
+    assert (len(row.p), len(row.q), len(row.c)) == (9, 8, 6)
+
+
+def test_structured_values_must_be_texts(spark):
+    from pyspark.sql import functions as F
+
+    from leadloom.functions import markup
+
+    def both(node):
+        return tuple(spark.range(1).select(markup.ld_text(F.lit(node), "email"), markup.ld_address(F.lit(node))).head())
+
+    assert both('{"email": ["x@a.com"], "address": {"streetAddress": "", "postalCode": "LS1"}}') == (None, None)
+    assert both('{"email": "x@a.com", "address": "9 Low Rd"}') == ("x@a.com", "9 Low Rd")
+    assert both('{"email": 5, "address": {"streetAddress": "1 High St", "postalCode": "LS1"}}') == (None, "1 High St, LS1")

@@ -183,3 +183,32 @@ def test_freshness_edges(spark):
     keys = spark.createDataFrame([("k",), ("new",)], "k string")
     due = lambda inclusive: {r.k for r in tables.refresh_due(keys, cache, "k", "2024-01-01", inclusive).collect()}
     assert due(True) == {"new"} and due(False) == {"k", "new"}
+
+
+def test_whole_objects_of_broken_arrays():
+    whole = ingest.complete_objects
+    assert whole('x [{"a": "}{[\\""}, {"b": {"c": 1}}, {"d": "cut') == ['{"a": "}{[\\""}', '{"b": {"c": 1}}']
+    assert whole('[{bad {"x": "}"} y}, {"ok": 1}]') == ['{"ok": 1}']
+    assert whole('[{"outer": {"inner": 1}, ') == [] and whole(None) == whole("{}") == []
+    assert len(whole("[" + '{"a": 1},' * 16)) == 16
+
+
+def test_unfinished_snapshots_are_replaced(spark, tmp_path):
+    from leadloom.sources.files import write_snapshot
+
+    path = tmp_path / "v0"
+    path.mkdir()
+    (path / "part-00000.parquet").write_bytes(b"half")
+    write_snapshot(spark.range(3).toDF("id"), str(path), unfinished=True)
+    assert spark.read.parquet(str(path)).count() == 3
+
+
+def test_stream_view_reads_folders(spark, sf_dir, tmp_path):
+    from leadloom.sources.views import VIEWS, stream_view, table
+
+    name = next(n for n, text in VIEWS.items() if "@events@" in text and text.count("@") == 2)
+    table(spark, sf_dir, "events").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    query = stream_view(spark, str(tmp_path), name, "events").writeStream.format("memory").queryName("folder_rows")
+    run = query.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    run.awaitTermination(120)
+    assert spark.table("folder_rows").count() > 0
