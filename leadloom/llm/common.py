@@ -39,8 +39,3 @@ def boxed(df: DataFrame, **columns: Column) -> DataFrame:
 
 def trimmed(column: Column) -> Column:
     return F.btrim(column, F.lit(SPACES))
-
-
-def ascii_lower(column: Column) -> Column:
-    """A-Z in lower case; other letters stay."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
