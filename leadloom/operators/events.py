@@ -111,21 +111,32 @@ def lead_state(
 # ---- kill switch -------------------------------------------------------------
 
 
-def kill_switch_intervals(event_log: DataFrame, hours: int = 24) -> DataFrame:
-    """When the switch was on: each firing holds for a day, overlaps are merged.
-
-    Firings of one hour always overlap, so they are first reduced to their ends. What
-    the single window sees is bounded by the hours the log spans.
-    """
-    span = F.expr(f"INTERVAL '{hours}' HOUR")
-    fires = event_log.where(
+def is_firing() -> Column:
+    """Whether a row of the event log is a firing of the kill switch."""
+    return (
         (F.col("scenario") == "S8_Kill_Switch")
         & (F.col("error_code") == "KILL_SWITCH_ACTIVE")
         & F.col("kill_switch")
     )
-    hourly = fires.groupBy(F.date_trunc("HOUR", "ts").alias("hour")).agg(
+
+
+def kill_switch_intervals(event_log: DataFrame, hours: int = 24) -> DataFrame:
+    """When the switch was on: each firing holds for a day, overlaps are merged.
+
+    Firings of one hour always overlap, so they are first reduced to their ends.
+    """
+    hourly = event_log.where(is_firing()).groupBy(F.date_trunc("HOUR", "ts").alias("hour")).agg(
         F.min("ts").alias("first"), F.max("ts").alias("last")
     )
+    return switch_intervals(hourly.select("first", "last"), hours)
+
+
+def switch_intervals(hourly: DataFrame, hours: int = 24) -> DataFrame:
+    """Intervals from the first and last firing of each hour.
+
+    What the single window sees is bounded by the hours the log spans.
+    """
+    span = F.expr(f"INTERVAL '{hours}' HOUR")
     w = Window.orderBy("first")
     starts = F.coalesce(F.col("first") > F.lag("last").over(w) + span, F.lit(True))
     return (

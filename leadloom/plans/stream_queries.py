@@ -69,16 +69,15 @@ LOCKS_SQL = """SELECT lead_id, {locked} AS locked_at, {expired} AS expired_at FR
   WHERE kind = 'lock' AND (n > ts + INTERVAL 30 MINUTE OR (n IS NULL AND ts + INTERVAL 30 MINUTE < {mark}))""".format(
     locked=stamp_sql("ts"), expired=stamp_sql("ts + INTERVAL 30 MINUTE"), where="{where}", mark="{mark}"
 )
-# the switch reads firings only, so these set its watermark
+# the switch reads firings only, so these set its watermark; hours that it has passed are over
 register(
     "kill_switch_stream",
-    lambda v: run_available(flows.kill_switch_stream(streamed(v, "error_log_v", "events"), 3)).select(
-        "turned", *moment("at")
-    ),
-    f"""WITH i AS ({INTERVALS_SQL.replace('24 HOUR', '3 HOUR')}),
-    m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM @error_log_v@ WHERE kill_switch)
-    SELECT 'on' AS turned, {stamp_sql('on_from')} AS "at" FROM i, m WHERE on_from <= mark
-    UNION ALL SELECT 'off', {stamp_sql('on_until')} FROM i, m WHERE on_until < mark""",
+    lambda v: events.switch_intervals(
+        run_available(flows.kill_switch_hours(streamed(v, "error_log_v", "events"))), 3
+    ).select(*stamp("on_from", "on_until")),
+    f"""WITH i AS ({INTERVALS_SQL.replace('24 HOUR', '3 HOUR').replace("WHERE kill_switch", """WHERE kill_switch AND ts <
+      (SELECT date_trunc('hour', date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR) FROM @error_log_v@ WHERE kill_switch)""")})
+    SELECT {stamp_sql('on_from')} AS on_from, {stamp_sql('on_until')} AS on_until FROM i""",
 )
 UNTIL = "2024-01-31 00:00:00"
 register(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import rules
 from leadloom.operators import mail
-from leadloom.operators.events import KINDS, transition_matrix
+from leadloom.operators.events import KINDS, is_firing, transition_matrix
 from leadloom.sources.files import write_snapshot
 from leadloom.streaming.replay import replay
 
@@ -98,29 +98,20 @@ def lock_expiry_stream(events: DataFrame, minutes: int = 30, delay: str = "1 hou
     )
 
 
-def kill_switch_stream(event_log: DataFrame, hours: int = 24, delay: str = "1 hour") -> DataFrame:
-    """A row when the switch turns on and when it lapses. Firings are rare alerts."""
-    life = hours * 3_600_000_000
-    fires = event_log.where(
-        (F.col("scenario") == "S8_Kill_Switch")
-        & (F.col("error_code") == "KILL_SWITCH_ACTIVE")
-        & F.col("kill_switch")
-    ).select(
-        F.lit("switch").alias("name"), "ts", F.col("id").alias("event_id"), F.lit("fire").alias("kind")
-    )
-
-    def step(memo, when: int, kind: str):
-        if memo is None or when > memo + life:
-            rows = [("off", memo + life)] if memo is not None else []
-            return when, [*rows, ("on", when)]
-        return when, []
-
-    def due(memo, mark: int):
-        if memo is not None and mark > memo + life:
-            return None, [("off", memo + life)], None
-        return memo, [], None if memo is None else memo + life
+def kill_switch_hours(event_log: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """The first and last firing of each hour, once the hour is over. Batch and stream alike.
 
-    return replay(fires, "name", step, "name string, turned string, at long", delay, due)
+    Firings are reduced where they are read, so no task sees all of them. ``switch_intervals``
+    makes intervals of the hours.
+    """
+    fires = event_log.where(is_firing()).select("ts")
+    if event_log.isStreaming:
+        fires = fires.withColumn("ts", F.col("ts").cast("timestamp_ltz")).withWatermark("ts", delay)
+    return (
+        fires.groupBy(F.window("ts", "1 hour").alias("w"))
+        .agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+        .select("first", "last")
+    )
 
 
 def reply_stream(messages: DataFrame, leads: DataFrame, delay: str = "1 hour") -> DataFrame:
