@@ -415,7 +415,7 @@ FROM @supplier@ JOIN @nation@ ON s_nationkey = n_nationkey
 
 VIEWS["site_pages_v"] = """
 SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain,
-  row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/:?#]+)', 1) ORDER BY page_id) - 1 AS page_ord,
+  page_ord,
   url,
   CASE WHEN page_id % 29 = 0 THEN 'https://www.dan.com/x' WHEN page_id % 31 = 0 THEN 'https://www.facebook.com/acme'
        WHEN page_id % 37 = 0 THEN '' ELSE url END AS final_url,
@@ -438,7 +438,9 @@ SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain,
    CASE WHEN page_id % 11 = 4 THEN '<script type="application/ld+json">[{"@type":"Person","name":"Deep Down","jobTitle":"Owner"},{"@graph":[{"@type":"Store","email":"graph@acme.com","address":"9 Low Rd"}]}]</script><script type="application/ld+json">{broken</script>' ELSE '' END,
    CASE WHEN page_id % 41 = 0 THEN '<p>This domain is for sale</p>' ELSE '' END,
    '</div>') END AS html
-FROM @pages@
+FROM @pages@ JOIN (
+  SELECT page_id, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/:?#]+)', 1) ORDER BY page_id) - 1 AS page_ord
+  FROM @pages@) places USING (page_id)
 """
 
 VIEWS["site_fill_v"] = """
