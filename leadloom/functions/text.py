@@ -168,3 +168,16 @@ def edit_summary(old: Column | str, new: Column | str) -> Column:
             F.concat(F.when(delta > 0, "+").otherwise(""), delta.cast("string"), F.lit(" chars"))
         )
     )
+
+
+# ---- ordered sets --------------------------------------------------------------
+
+
+def distinct_first_seen(values: Column | str) -> Column:
+    """The values of an array without repeats, each at the place it is first seen."""
+    return F.array_distinct(col(values))
+
+
+def first_n(values: Column | str, n: int) -> Column:
+    """The first ``n`` different values of an array in sorted order."""
+    return F.slice(F.array_sort(F.array_distinct(col(values))), 1, n)

@@ -300,30 +300,30 @@ register(
 
 # ---- ordered sets ------------------------------------------------------------
 
+
+def all_words():
+    return F.regexp_extract_all("text", F.lit(r"[^ \n\t]+"), F.lit(0))
+
+
 register(
     "distinct_first_seen",
     lambda v: v.documents.select(
         "doc_id",
-        F.array_join(
-            F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), 0)), "|"
-        ).alias("words"),
+        F.array_join(text.distinct_first_seen(all_words()), "|").alias("words"),
     ),
     """SELECT d.doc_id, coalesce(w.words, '') AS words FROM documents d LEFT JOIN (
       SELECT doc_id, string_agg(w, '|' ORDER BY p) AS words FROM (
         SELECT doc_id, w, min(p) AS p FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p
-          FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{9,}') AS ws FROM documents))
+          FROM (SELECT doc_id, regexp_extract_all(text, '[^ \\n\\t]+') AS ws FROM documents))
         GROUP BY doc_id, w) GROUP BY doc_id) w USING (doc_id)""",
 )
 register(
     "first_n_array",
     lambda v: v.documents.select(
         "doc_id",
-        F.array_join(
-            F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), 0))), 1, 8),
-            "|",
-        ).alias("words"),
+        F.array_join(text.first_n(all_words(), 8), "|").alias("words"),
     ),
-    """SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z]{9,}')))[1:8], '|'), '') AS words
+    """SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[^ \\n\\t]+')))[1:8], '|'), '') AS words
     FROM documents""",
 )
 __all__ = ["quoted"]

@@ -103,10 +103,10 @@ FROM @orders@
 
 VIEWS["charges_v"] = """
 SELECT lpad(cast(o_custkey AS string), 8, '0') AS company_number,
-       CASE o_orderstatus WHEN 'O' THEN 'outstanding' WHEN 'P' THEN 'part-satisfied'
-            ELSE 'satisfied' END AS status,
+       CASE WHEN o_totalprice <= 300000 THEN 'satisfied' WHEN o_orderstatus = 'O' THEN 'outstanding'
+            WHEN o_orderstatus = 'P' THEN 'part-satisfied' ELSE 'satisfied' END AS status,
        CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE cast(o_orderdate AS date) END AS created_on
-FROM @orders@ WHERE o_totalprice > 300000
+FROM @orders@
 """
 
 VIEWS["psc_v"] = """
