@@ -89,6 +89,36 @@ def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
 
 
+def _places_sql(rule: secrets.Rule, rank: int) -> str:
+    pattern = rule.pattern.replace("(?i:(password|passwd|secret|token|api_?key))", "(?i)(password|passwd|secret|token|api_?key)")
+    # Possessive repeats are a matter of speed only.
+    pattern = pattern.removesuffix("+") if pattern.endswith("}+") else pattern
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT n, '{rule.kind}' AS kind, {rank} AS rank, {rule.least} AS least,
+      unnest(string_split_regex(t, {quoted})[1:len(regexp_extract_all(t, {quoted}))]) AS gap,
+      unnest(regexp_extract_all(t, {quoted})) AS hit, unnest(regexp_extract_all(t, {quoted}, {rule.group})) AS part,
+      generate_subscripts(regexp_extract_all(t, {quoted}), 1) AS i FROM docs"""
+
+
+OP3_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents
+), hits AS (
+  {" UNION ALL ".join(_places_sql(r, i) for i, r in enumerate(secrets.RULES))}
+), placed AS (
+  SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY n, kind ORDER BY i) AS e FROM hits
+), listed AS (
+  SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || (e - length(hit))::bigint || ':' || e::bigint, ',' ORDER BY e - length(hit), rank) AS spans
+  FROM placed WHERE length(part) >= least GROUP BY n
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (n)
+"""
+
+
 def op4_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and near-duplicate components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -181,7 +211,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_collinear_chains": op9_collinear_chains,
     "op10_binary_pieces": op10_binary_pieces,
 }
-ORACLES: dict[str, str] = {"op1_site_lines": OP1_SQL, "op7_interval_sweep": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_site_lines": OP1_SQL, "op3_blob_ledger": OP3_SQL, "op7_interval_sweep": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
