@@ -519,8 +519,15 @@ FROM @nation@
 _NAME = re.compile(r"@(\w+)@")
 
 
+#: A session setting: over how many tasks the rows of the text tables are dealt. Only for small
+#: tables whose one file cannot be split; unset, Spark's own file settings decide.
+SPLITS = "leadloom.input.splits"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    splits = spark.conf.get(SPLITS, None)
+    return df.repartition(int(splits)) if splits and name in ("pages", "documents") else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
