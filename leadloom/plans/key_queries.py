@@ -266,12 +266,14 @@ register(
     "draft_body",
     lambda v: v.documents.select(
         "doc_id",
-        text.mention_site_once(
+        text.draft_body(
             F.concat(F.lit("We at Acme (acme.co.uk) help. "), "text", F.lit(" Acme (acme.co.uk) again")),
             "Acme", "acme.co.uk",
         ).alias("body"),
     ),
-    """SELECT doc_id, 'We at Acme (acme.co.uk) help. ' || text || ' Acme again' AS body FROM documents""",
+    "SELECT doc_id, '<p>' || replace("
+    + PLAIN_SQL.replace("replace(text, chr(10), ' ')", "'We at Acme (acme.co.uk) help. ' || text || ' Acme again'")
+    + ", chr(10), '<br/>') || '</p>' AS body FROM documents",
 )
 register(
     "body_hash",
