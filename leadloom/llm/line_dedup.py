@@ -23,14 +23,20 @@ def _keys(text: Column) -> Column:
     )
 
 
-def site_lines(pages: DataFrame, site: str, text: str) -> DataFrame:
+def site_lines(pages: DataFrame, site: str, text: str, copies: bool = True) -> DataFrame:
     """``site, line, pages``: how many pages of a site hold a line; the row whose line is
     null has the number of all pages of the site.
 
     A page counts a line once. The counts are summed before the shuffle, so a site may
-    own any share of the pages, and a line may stand on all of them.
+    own any share of the pages, and a line may stand on all of them. Without ``copies``, pages
+    of a site with the same text are one page.
     """
-    rows = boxed(pages, site=F.col(site), line=F.array_distinct(F.array_compact(_keys(F.col(text)))))
+    rows = boxed(
+        pages, site=F.col(site), line=F.array_distinct(F.array_compact(_keys(F.col(text)))),
+        content=F.xxhash64(F.col(text)), size=F.length(F.col(text)),
+    )
+    if not copies:
+        rows = rows.select("site", "line", "content", "size").dropDuplicates(["site", "content", "size"])
     none = F.array(F.lit(None).cast("bigint"))
     return (
         rows.where(F.col("site").isNotNull())
@@ -57,7 +63,7 @@ def boilerplate(counts: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int
 
 
 def drop_site_lines(
-    pages: DataFrame, site: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, site: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = True
 ) -> DataFrame:
     """The pages with boilerplate lines taken out of ``text``, and two more columns.
 
@@ -68,9 +74,9 @@ def drop_site_lines(
 
     Blank lines stay. A null text stays null and counts 0 lines. Pages of an unknown (null)
     site have nothing to be compared with and stay as they are. Repeated rows count as pages
-    of their own and are all returned. An empty table gives an empty table.
+    of their own, or as one page without ``copies``, and are all returned. An empty table gives an empty table.
     """
-    counts = parked(site_lines(pages, site, text), "site-lines")
+    counts = parked(site_lines(pages, site, text, copies), "site-lines")
     drops = parked(boilerplate(counts, max_ratio, min_pages), "boilerplate").withColumnRenamed("site", "its_site")
     rows = boxed(pages, site=F.col(site), body=F.col(text)).join(drops, F.col("site") == F.col("its_site"), "left")
     # The list is cut down to what this page holds first: a hash lookup instead of a scan for each line.
