@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import classifier, decontaminate, line_dedup, packing, passages, pii, quality_rules, secrets, simhash, url_rules
+from leadloom.llm import (
+    classifier, decontaminate, divergence, line_dedup, packing, passages, pii, prefix_trie, quality_rules, secrets, simhash,
+    url_rules,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -199,6 +202,103 @@ def op10_binary_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_count_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source stands from the others of its language, and by which terms."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), "text", "lang", "source")
+
+
+OP11_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source
+  FROM documents
+), words AS (
+  SELECT n, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM docs
+), held AS (
+  SELECT lang, source, term, count(*) AS c FROM words GROUP BY ALL
+), kept AS (
+  SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT n) >= {divergence.MIN_DOCS}
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), counts AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c
+  FROM groups JOIN kept USING (lang) LEFT JOIN held USING (lang, source, term)
+), shares AS (
+  SELECT *, 1 + ({divergence.SCALE}::hugeint * (c + 1)) // (sum(c) OVER g + count(*) OVER g) AS p
+  FROM counts WINDOW g AS (PARTITION BY lang, source)
+), whole AS (
+  SELECT lang, term, 1 + ({divergence.SCALE}::hugeint * (c + 1)) // (sum(c) OVER g + count(*) OVER g) AS q
+  FROM (SELECT lang, term, sum(c) AS c FROM counts GROUP BY ALL) WINDOW g AS (PARTITION BY lang)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+  FROM shares JOIN whole USING (lang, term) WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value::bigint AS value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::int AS rank
+FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
+
+def op12_splitter_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 bit by bit, as DuckDB has no such function.
+OP12_SQL = """
+WITH RECURSIVE ids AS (
+  SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT c, 4294967295::bigint AS crc, 1 AS i, 0 AS bit FROM ids
+  UNION ALL
+  SELECT c, CASE WHEN bit = 0 THEN xor(crc, ascii(substr(c::varchar, i, 1))) ELSE
+           CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END END,
+         CASE WHEN bit = 8 THEN i + 1 ELSE i END, (bit + 1) % 9
+  FROM crc WHERE i <= length(c::varchar)
+), heads AS (
+  SELECT c, xor(crc, 4294967295) % 4 AS h FROM crc WHERE i > length(c::varchar)
+), told AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, sha256(strlen(role)::varchar || ':' || role || text) AS d,
+         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(strlen(role)::varchar || ':' || role || text)) AS n
+  FROM told
+), rebuilt AS (
+  SELECT heads.c, d, words, n FROM heads JOIN own ON own.c = heads.c - heads.c % 20 AND n <= h
+  UNION ALL SELECT heads.c, d, words, n + 1000000 FROM heads JOIN own ON own.c = heads.c AND n > h
+), paths AS (
+  SELECT heads.c, coalesce(list(d ORDER BY n) FILTER (d IS NOT NULL), []) AS p,
+         coalesce(list(words ORDER BY n) FILTER (d IS NOT NULL), []) AS w
+  FROM heads LEFT JOIN rebuilt USING (c) GROUP BY 1
+), members AS (
+  SELECT c, unnest(range(0, len(p) + 1)) AS depth, p, w FROM paths
+), nodes AS (
+  SELECT p[1:depth] AS path, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth > 0 THEN w[depth] ELSE 0 END) AS words,
+         sha256(coalesce(string_agg(c::varchar, ',' ORDER BY c) FILTER (len(p) = depth), '')) AS ends_sha256
+  FROM members GROUP BY 1, 2
+), kids AS (
+  SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), shown AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)
+), above AS (
+  SELECT path[1:a] AS path, sum((n_convs - 1) * words) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM shown) GROUP BY 1
+)
+SELECT x.conv_id, x.depth::bigint AS depth, up.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves,
+       saved_tokens::bigint AS saved_tokens, x.ends_sha256
+FROM shown x JOIN above USING (path) LEFT JOIN nodes up ON x.depth > 0 AND up.path = x.path[1:x.depth - 1]
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_lines": op1_site_lines,
     "op2_subword_quality": op2_subword_quality,
@@ -210,8 +310,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pigeonhole_edits": op8_pigeonhole_edits,
     "op9_collinear_chains": op9_collinear_chains,
     "op10_binary_pieces": op10_binary_pieces,
+    "op11_count_bitmaps": op11_count_bitmaps,
+    "op12_splitter_skeleton": op12_splitter_skeleton,
+}
+ORACLES: dict[str, str] = {
+    "op1_site_lines": OP1_SQL, "op3_blob_ledger": OP3_SQL, "op7_interval_sweep": OP7_SQL, "op11_count_bitmaps": OP11_SQL,
+    "op12_splitter_skeleton": OP12_SQL,
 }
-ORACLES: dict[str, str] = {"op1_site_lines": OP1_SQL, "op3_blob_ledger": OP3_SQL, "op7_interval_sweep": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
