@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm import (
-    classifier, decontaminate, divergence, line_dedup, packing, passages, pii, prefix_trie, quality_rules, secrets, simhash,
+    classifier, decontaminate, divergence, embedding_dedup, line_dedup, packing, passages, pii, prefix_trie, quality_rules, secrets, simhash,
     url_rules,
 )
 
@@ -299,6 +299,11 @@ FROM shown x JOIN above USING (path) LEFT JOIN nodes up ON x.depth > 0 AND up.pa
 """
 
 
+def op13_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_lines": op1_site_lines,
     "op2_subword_quality": op2_subword_quality,
@@ -312,6 +317,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_binary_pieces": op10_binary_pieces,
     "op11_count_bitmaps": op11_count_bitmaps,
     "op12_splitter_skeleton": op12_splitter_skeleton,
+    "op13_projection_forest": op13_projection_forest,
 }
 ORACLES: dict[str, str] = {
     "op1_site_lines": OP1_SQL, "op3_blob_ledger": OP3_SQL, "op7_interval_sweep": OP7_SQL, "op11_count_bitmaps": OP11_SQL,
