@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,18 +41,18 @@ _LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 el
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each term by group, as far as a task has read; a group's row of no term."""
+    """Occurrences and documents of each term by group, as far as a task has read."""
     counts: dict[tuple, tuple[Counter, Counter]] = {}
 
     def handed() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in counts.items():
-            terms = [None, *n]
+            terms = list(n)
             yield pa.RecordBatch.from_pydict(
                 {
                     "lang": pa.repeat(pa.scalar(lang), len(terms)), "source": pa.repeat(pa.scalar(source), len(terms)),
                     "term": pa.array(terms, pa.binary()).cast(pa.string()),
-                    "n": pa.array([0, *n.values()], pa.int64()),
-                    "docs": pa.array([0, *(docs[t] for t in n)], pa.int64()),
+                    "n": pa.array(n.values(), pa.int64()),
+                    "docs": pa.array([docs[t] for t in n], pa.int64()),
                 }
             )
         counts.clear()
@@ -70,41 +72,57 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences and documents; the row of no term stands for the group.
+    """``lang, term, source, n, docs``: occurrences and documents of each term in each group.
 
-    Each task adds up before the shuffle, so a group may hold any share of the documents.
+    Each task adds up before the shuffle, so a group may hold any share of the documents. Rows are dealt out by
+    term alone, which serves the sums over all groups as well.
     """
     read = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (lang, source, text)))
     partial = read.toDF("lang", "source", "text").mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return partial.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``k, bit``, a chunk and a place in it for each term, counting the terms of a task in their order."""
+    task, last, seen = TaskContext.get().partitionId(), None, -1
+    for batch in batches:
+        if not len(batch):
+            continue
+        head = [batch.column(c)[0].as_py() for c in ("lang", "term")]
+        new = np.ones(len(batch), bool)
+        new[0] = head != last
+        new[1:] = False
+        for c in ("lang", "term"):
+            v = batch.column(c)
+            new[1:] |= pc.not_equal(v[1:], v[:-1]).to_numpy(zero_copy_only=False)
+        place = seen + np.cumsum(new)
+        last, seen = [batch.column(c)[-1].as_py() for c in ("lang", "term")], int(place[-1])
+        width = np.where(batch.column("rare").to_numpy(zero_copy_only=False), WIDTH_OF_RARE, WIDTH)
+        k = (task << 33) + place // width
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k), pa.array((place % width).astype(np.int32))], [*batch.schema.names, "k", "bit"])
 
 
 def numbered_terms(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``lang, term, total, chunk, bit``: the kept terms, numbered without a global order.
+    """``lang, term, source, n, total, rare, k, bit``: the kept terms of each group, numbered without a global order.
 
-    Terms of similar frequency stand together. A number is a place in a range partition, so no
-    language meets in one task.
+    ``total`` counts a term in its language. A number is a place in a partition of terms in which terms of similar
+    frequency stand together; the chunk ``lang, rare, k`` and the ``bit`` say it.
     """
-    totals = (
-        counts.where("term is not null").groupBy("lang", "term")
-        .agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    )
-    placed = (
-        totals.withColumn("rare", F.col("total") < RARE)
-        .repartitionByRange("rare", "lang", "total", "term").sortWithinPartitions("rare", "lang", "total", "term")
-        .withColumn("place", F.monotonically_increasing_id())
-    )
-    width = F.when(F.col("rare"), WIDTH_OF_RARE).otherwise(WIDTH)
-    return placed.select(
-        "lang", "term", "total", F.struct("rare", F.floor(F.col("place") / width).alias("k")).alias("chunk"),
-        F.pmod("place", width).cast("int").alias("bit"),
+    term = Window.partitionBy("lang", "term")
+    kept = (
+        counts.withColumns({"total": F.sum("n").over(term), "all_docs": F.sum("docs").over(term)})
+        .where(F.col("all_docs") >= min_docs)
+        .select("lang", "term", "source", "n", "total", (F.col("total") < RARE).alias("rare"))
     )
+    schema = "lang string, term string, source string, n long, total long, rare boolean, k long, bit int"
+    return kept.sortWithinPartitions("rare", "lang", "total", "term").mapInArrow(_numbered, schema)
 
 
 def _share(n: str, total: str, terms: str) -> str:
     """SQL of ``1 + floor(SCALE * (n + 1) / (total + terms))`` as a long, exact for any count."""
-    over = f"cast({SCALE} as decimal(38,0)) * (cast({n} as decimal(20,0)) + 1)"
-    return f"1 + cast(({over}) div nullif({total} + {terms}, 0) as bigint)"
+    of = f"nullif({total} + {terms}, 0)"
+    wide = f"cast((cast({SCALE} as decimal(38,0)) * (cast({n} as decimal(20,0)) + 1)) div {of} as bigint)"
+    return f"1 + if({n} < {2**62 // SCALE}, {SCALE}L * ({n} + 1) div {of}, {wide})"
 
 
 def _f(p: str, q: str) -> str:
@@ -208,10 +226,9 @@ def source_divergence(
     The rows of pairs grow with the square of a language's sources, as the result asks for each pair.
     """
     salts = partitions(docs.sparkSession)
-    counts = parked(term_counts(docs, text, lang, source), "term-counts")
-    kept = parked(numbered_terms(counts, min_docs), "terms")
-    held = counts.where("term is not null").select("lang", "source", "term", "n").join(kept, ["lang", "term"])
-    held = parked(held, "kept-counts")
+    counts = term_counts(docs, text, lang, source)
+    held = parked(numbered_terms(counts, min_docs), "kept-counts")
+    every = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))))
 
     # One row for each group: what it holds, and how many terms it holds how often.
     levels = held.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms"))
@@ -219,9 +236,11 @@ def source_divergence(
         F.sum(F.col("n") * F.col("terms")).alias("total"), F.sum("terms").alias("held"),
         F.collect_list(F.struct("n", "terms")).alias("levels"),
     )
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("of_lang"))
+    # Every chunk tells its terms by their bits.
+    chunks = held.groupBy("lang", "rare", "k", "bit").agg(F.sum("n").alias("n"))
+    langs = chunks.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("of_lang"))
     groups = (
-        counts.where("term is null").select("lang", "source")
+        every.distinct()
         .join(levels, ["lang", "source"], "left").join(langs, "lang", "left")
         .na.fill(0, ["total", "held", "v", "of_lang"])
         .withColumn("zero", F.expr(_share("0", "total", "v")))
@@ -231,10 +250,10 @@ def source_divergence(
     sizes = groups.select("lang", "source", "total", "v", "of_lang", "zero")
 
     bitmaps = (
-        held.groupBy("lang", "chunk", "source", "n", F.expr("bit div 64").cast("int").alias("word"))
+        held.groupBy("lang", "rare", "k", "source", "n", F.expr("bit div 64").cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("bits"))
         .join(sizes, ["lang", "source"])
-        .select("lang", "chunk.rare", "chunk.k", "source", "n", "word", "bits", F.expr(_share("n", "total", "v")).alias("p"), "zero")
+        .select("lang", "rare", "k", "source", "n", "word", "bits", F.expr(_share("n", "total", "v")).alias("p"), "zero")
     )
     schema = "lang string, source string, item string, value long"
     joint = bitmaps.repartition("lang", "rare", "k").sortWithinPartitions("lang", "rare", "k").mapInArrow(_pairs, schema)
