@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from leadloom.llm.common import boxed, parked
 from leadloom.llm.graph import components
@@ -110,28 +111,26 @@ def find_balls(x: np.ndarray, least: float = COSINE, members: int = BALL_MEMBERS
     return np.array(found).reshape(len(found), x.shape[1])
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """Vectors of ``dims`` doubles each as rows."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims)
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    """Arrays of ``width`` numbers each as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width).astype(np.float64)
 
 
-def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unit vectors and a digest of each, or null where a vector cannot have a cosine."""
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision; scaled first, so that no square overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=1e-300)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a digest of each vector, or null where it cannot have a cosine."""
     for batch in batches:
-        keys, units = [], []
+        keys = []
         for v in batch.column("vector").to_pylist():
-            x = np.array(v if v is not None and None not in v else [], np.float64)
-            most = np.abs(x).max(initial=0)
-            if not (0 < most < np.inf):
-                keys.append(None)
-                units.append(None)
-                continue
-            x = x / most + 0.0
-            keys.append(hashlib.blake2b(np.array(v, np.float64) + 0.0, digest_size=16).digest())
-            units.append(x / np.linalg.norm(x))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(keys, pa.binary()), pa.array(units, pa.list_(pa.float64()))], ["id", "key", "unit"]
-        )
+            x = np.array(v if v is not None and None not in v else [], np.float64) + 0.0
+            ok = 0 < np.abs(x).max(initial=0) < np.inf
+            keys.append(hashlib.blake2b(x, digest_size=16).digest() if ok else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], ["id", "vector", "key"])
 
 
 def _least_common(a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
@@ -147,7 +146,7 @@ def _least_common(a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
 def _compare(cell: pd.DataFrame, dims: int, least: float) -> pd.DataFrame:
     """``class, n, root``: links of the classes of a cell, and the least class that they join here."""
     leaf, a, b = cell[["leaf", "a", "b"]].iloc[0]
-    x = np.vstack(cell["unit"].to_numpy()).reshape(len(cell), dims)
+    x = _units(np.vstack(cell["vector"].to_numpy()).astype(np.float64))
     ids, copies, ball = (cell[c].to_numpy() for c in ("class", "copies", "ball"))
     left = np.flatnonzero(cell["side"].to_numpy() == 0)
     right = left if a == b else np.flatnonzero(cell["side"].to_numpy() == 1)
@@ -216,8 +215,8 @@ def _cells(dims: int, least: float) -> Callable:
 def _placed(classes: DataFrame, dims: int, trees: int, least: float, leaf: int, spill: float) -> tuple[DataFrame, np.ndarray]:
     """Each class with its ``ball`` (or -1) and its leaves of the first cuts; and the balls' centres."""
     spark = classes.sparkSession
-    sample = [r.unit for r in classes.orderBy(F.xxhash64("key"), "key").select("unit").limit(SAMPLE).collect()]
-    x = np.array(sample).reshape(len(sample), dims)
+    sample = [r.vector for r in classes.orderBy(F.xxhash64("key"), "key").select("vector").limit(SAMPLE).collect()]
+    x = _units(np.array(sample, np.float64).reshape(len(sample), dims))
     centres = find_balls(x[:BALL_SAMPLE], least)
     half = np.sqrt((1 + least) / 2) + 1e-9
     weight = classes.count() / max(1, len(x))
@@ -229,41 +228,42 @@ def _placed(classes: DataFrame, dims: int, trees: int, least: float, leaf: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, centres = shared.value
         for batch in batches:
-            x = _matrix(batch.column("unit"), dims)
+            x = _units(_rows(batch.column("vector"), dims))
             found: list[list[int]] = [[] for _ in range(len(x))]
             for t, cuts in forest:
                 for rows, node in walk(x, t, cuts, spill):
                     for r in rows.tolist():
                         found[r].append(node)
-            ball = np.full(len(x), -1)
+            ball, cosine = np.full(len(x), -1), np.zeros(len(x))
             if len(centres) and len(x):
                 near = x @ centres.T
-                ball = np.where(near.max(axis=1) >= half, near.argmax(axis=1), -1)
+                cosine = near.max(axis=1)
+                ball = np.where(cosine >= half, near.argmax(axis=1), -1)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ball, pa.int64()), pa.array([sorted(f) for f in found], pa.list_(pa.int64()))],
-                [*batch.schema.names, "ball", "nodes"],
+                [*batch.columns, pa.array(ball, pa.int64()), pa.array(cosine), pa.array([sorted(f) for f in found], pa.list_(pa.int64()))],
+                [*batch.schema.names, "ball", "cosine", "nodes"],
             )
 
-    schema = "class long, copies long, least long, key binary, unit array<double>"
-    return classes.select("class", "copies", "least", "key", "unit").mapInArrow(run, f"{schema}, ball long, nodes array<long>"), centres
+    schema = f"class long, copies long, least long, key binary, vector {classes.schema['vector'].dataType.simpleString()}"
+    return classes.select("class", "copies", "least", "key", "vector").mapInArrow(run, f"{schema}, ball long, cosine double, nodes array<long>"), centres
 
 
 def _cut_again(placed: DataFrame, big: DataFrame, dims: int, leaf: int, spill: float) -> DataFrame:
     """Leaves of too many vectors, each with cuts fitted on a bounded sample of its own."""
-    members = placed.select("class", "key", "unit", "ball", F.explode("nodes").alias("node")).join(big, "node")
+    members = placed.select("class", "key", "vector", "ball", F.explode("nodes").alias("node")).join(big, "node")
     by_hash = Window.partitionBy("node").orderBy(F.xxhash64("key"), "key")
     sample = members.where("ball < 0").withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= CELL)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(rows["unit"].to_numpy()).reshape(len(rows), dims)
+        x = _units(np.vstack(rows["vector"].to_numpy()).astype(np.float64))
         node, n = int(rows["node"].iloc[0]), int(rows["size"].iloc[0])
         return pd.DataFrame({"node": [node], "cuts": [fit_cuts(x, node, LEVELS, n / len(x), leaf, spill).ravel().tolist()]})
 
-    cuts = sample.select("node", "size", "unit").groupBy("node").applyInPandas(fit, "node long, cuts array<double>")
+    cuts = sample.select("node", "size", "vector").groupBy("node").applyInPandas(fit, "node long, cuts array<double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, cuts = _matrix(batch.column("unit"), dims), _matrix(batch.column("cuts"), 2 * (2**LEVELS - 1))
+            x, cuts = _units(_rows(batch.column("vector"), dims)), _rows(batch.column("cuts"), 2 * (2**LEVELS - 1))
             nodes, classes = batch.column("node").to_numpy(), batch.column("class").to_numpy()
             out: list[tuple[np.ndarray, int]] = []
             for node in np.unique(nodes).tolist():
@@ -273,7 +273,7 @@ def _cut_again(placed: DataFrame, big: DataFrame, dims: int, leaf: int, spill: f
                 moved = [pa.array(np.concatenate([c for c, _ in out])), pa.array(np.repeat([n for _, n in out], [len(c) for c, _ in out]))]
                 yield pa.RecordBatch.from_arrays(moved, ["class", "node"])
 
-    moved = members.drop("key").join(parked(cuts, "cuts"), "node").select("class", "node", "unit", "cuts").mapInArrow(run, "class long, node long")
+    moved = members.drop("key").join(parked(cuts, "cuts"), "node").select("class", "node", "vector", "cuts").mapInArrow(run, "class long, node long")
     kept = placed.select("class", F.explode("nodes").alias("node")).join(big, "node", "left_anti")
     nodes = kept.unionByName(moved).groupBy("class").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     return placed.drop("nodes").join(nodes, "class")
@@ -308,7 +308,7 @@ def _dealt(placed: DataFrame, sizes: DataFrame, cell: int) -> DataFrame:
     def places(n):
         return F.sequence(F.lit(0), n - 1)
 
-    rows = placed.select("class", "copies", "unit", "ball", "nodes", F.explode("nodes").alias("leaf")).join(
+    rows = placed.select("class", "copies", "vector", "ball", "nodes", F.explode("nodes").alias("leaf")).join(
         sizes.select(F.col("node").alias("leaf"), parts("size").alias("p"), F.when(F.col("hot") > 0, parts("hot")).otherwise(0).alias("q"), "size"), "leaf"
     )
     free = F.col("ball") < 0
@@ -320,7 +320,7 @@ def _dealt(placed: DataFrame, sizes: DataFrame, cell: int) -> DataFrame:
     mine = F.when(free, F.concat(met, F.coalesce(hot, F.array().cast("array<struct<a:int,b:int,side:int>>")))).otherwise(
         F.transform(places(F.col("p")), lambda k: F.struct(k.alias("a"), (-1 - F.col("part")).alias("b"), F.lit(1).alias("side")))
     )
-    return rows.select("leaf", F.inline(mine), F.lit(False).alias("whole"), "class", "copies", "unit", "ball", "nodes")
+    return rows.select("leaf", F.inline(mine), F.lit(False).alias("whole"), "class", "copies", "vector", "ball", "nodes")
 
 
 def near_duplicates(
@@ -337,12 +337,15 @@ def near_duplicates(
     null, is no component's id unless alone, and is not kept. Other columns are not read. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
-    read = boxed(vectors, id=F.col(f"`{key}`").cast("long"), vector=F.col(f"`{vector}`").cast("array<double>")).select("id", "vector")
-    rows = parked(read.mapInArrow(_unit, "id long, key binary, unit array<double>"), "units")
-    dims = rows.agg(F.max(F.size("unit"))).head()[0] or 1
-    padded = F.concat("unit", F.array_repeat(F.lit(0.0), F.lit(dims) - F.size("unit")))
-    classes = rows.where("key is not null").groupBy("key").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"), F.first(padded).alias("unit")
+    # Floats travel as floats; all arithmetic on them is in doubles.
+    kind = "array<float>" if vectors.schema[vector].dataType == ArrayType(FloatType()) else "array<double>"
+    read = boxed(vectors, id=F.col(f"`{key}`").cast("long"), vector=F.col(f"`{vector}`").cast(kind)).select("id", "vector")
+    rows = parked(read.mapInArrow(_keyed, f"id long, vector {kind}, key binary"), "vectors")
+    valid = rows.where("key is not null")
+    dims = valid.agg(F.max(F.size("vector"))).head()[0] or 1
+    padded = F.concat("vector", F.array_repeat(F.lit(0), F.lit(dims) - F.size("vector")).cast(kind))
+    classes = valid.groupBy("key").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"), F.first(padded).alias("vector")
     )
     classes = parked(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
@@ -351,11 +354,8 @@ def near_duplicates(
 
     # Balls: members of one link with each other, members of two by their centres' distance or by comparison.
     wide = float(np.arccos(least))
-    balls = placed.where("ball >= 0").select("ball", "class", "copies", "unit")
-    centre_of = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "ball long, centre array<double>")
-    near = F.aggregate(F.zip_with("unit", "centre", lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
-    summed = balls.join(F.broadcast(centre_of), "ball").groupBy("ball").agg(
-        F.sum("copies").alias("n"), F.count(F.lit(1)).alias("size"), F.min("class").alias("first"), F.min(near).alias("cosine")
+    summed = placed.where("ball >= 0").groupBy("ball").agg(
+        F.sum("copies").alias("n"), F.count(F.lit(1)).alias("size"), F.min("class").alias("first"), F.min("cosine").alias("cosine")
     )
     known = {r.ball: (r.n, r.size, r.first, float(np.arccos(min(1.0, r.cosine))) + 1e-7) for r in summed.collect()}
     more: list[tuple] = [(b, n, first) for b, (n, _, first, _) in known.items()]
@@ -382,7 +382,7 @@ def near_duplicates(
         place = [F.when(F.col("side") == 0, F.col("part")).otherwise(F.col("k")), F.when(F.col("side") == 0, F.col("k")).otherwise(F.col("part"))]
         dealt = dealt.unionByName(both.select(
             "leaf", place[0].alias("a"), (-1_000_000 - place[1]).alias("b"), "side", F.lit(True).alias("whole"),
-            "class", "copies", "unit", "ball", "nodes",
+            "class", "copies", "vector", "ball", "nodes",
         ))
     cells = dealt.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b").mapInArrow(_cells(dims, least), "class long, n long, root long")
     cells = parked(cells, "leaf-links")
