@@ -27,7 +27,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("leadloom-bench")
         .config("spark.sql.shuffle.partitions", cpus)
-        .config("leadloom.input.splits", cpus)
+        .config("spark.leadloom.input.splits", cpus)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

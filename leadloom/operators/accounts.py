@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from leadloom.functions.keys import first_group, strip
 
 # fixed values: document markup
 FACT = r"(?is)<ix:nonFraction\b([^>]*)>(.*?)</ix:nonFraction>"
+FACT_HEAD = r"(?is)^<ix:nonFraction\b([^>]*)>"
 CONTEXT = r"""(?is)<xbrli:context\b[^>]*\bid="([^"]+)"[^>]*>(.*?)</xbrli:context>"""
 END = r"(?i)<xbrli:endDate>([^<]+)</xbrli:endDate>"
 INSTANT = r"(?i)<xbrli:instant>([^<]+)</xbrli:instant>"
@@ -28,78 +31,142 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(r"^\(.+\)$"), -digits).otherwise(digits)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _facts(html: Column) -> Column:
-    """Array of (name, context, value) in document order."""
-    attributes = F.regexp_extract_all(html, F.lit(FACT), 1)
-    inner = F.regexp_extract_all(html, F.lit(FACT), 2)
-
-    def fact(a: Column, text: Column) -> Column:
-        scale = first_group(_attribute(a, "scale"), r"^\s*([+-]?\d+)").try_cast("int")
-        sign = F.when(_attribute(a, "sign") == "-", -1).otherwise(1)
-        value = _number(strip(F.regexp_replace(text, "<[^>]+>", "")))
+    """Array of (pos, name, context, value) in document order; a value only where one of our metrics is named.
+
+    The document is scanned once. What is read of a fact comes from its own short text.
+    """
+    named = [t for tags in rules.ACCOUNTS_TAGS.values() for t in tags]
+    # A fact's text is its opening tag, what it holds, and its closing tag.
+    opened, closed = len("<ix:nonFraction") + 1, len("</ix:nonFraction>")
+    tags = F.transform(
+        F.regexp_extract_all(html, F.lit(FACT), F.lit(0)),
+        lambda m, i: F.struct(i.alias("pos"), m.alias("m"), F.regexp_extract(m, FACT_HEAD, 1).alias("a")),
+    )
+    names = F.transform(tags, lambda f: F.struct(
+        f["pos"].alias("pos"), f["m"].alias("m"), f["a"].alias("a"),
+        F.element_at(F.split(_attribute(f["a"], "name"), ":"), -1).alias("name"),
+    ))
+
+    def fact(f: Column) -> Column:
+        inner = F.substring(f["m"], F.length(f["a"]) + opened + 1, F.length(f["m"]) - F.length(f["a"]) - opened - closed)
+        value = _number(strip(F.regexp_replace(inner, "<[^>]+>", "")))
+        scale = first_group(_attribute(f["a"], "scale"), r"^\s*([+-]?\d+)").try_cast("int")
+        sign = F.when(_attribute(f["a"], "sign") == "-", -1).otherwise(1)
+        figure = sign * value * F.pow(F.lit(10.0), F.coalesce(scale, F.lit(0)))
+        ours = f["name"].isin(named)
         return F.struct(
-            F.element_at(F.split(_attribute(a, "name"), ":"), -1).alias("name"),
-            _attribute(a, "contextRef").alias("context"),
-            (sign * value * F.pow(F.lit(10.0), F.coalesce(scale, F.lit(0)))).alias("value"),
+            f["pos"].alias("pos"), f["name"].alias("name"),
+            F.when(ours, _attribute(f["a"], "contextRef")).alias("context"), F.when(ours, figure).alias("value"),
         )
 
-    return F.filter(F.zip_with(attributes, inner, fact), lambda f: f["name"] != "")
+    return F.transform(F.filter(names, lambda f: f["name"] != ""), fact)
 
 
 def _contexts(html: Column) -> Column:
-    """Array of (id, ends) of the dated contexts; the last of one id counts."""
-    ids = F.regexp_extract_all(html, F.lit(CONTEXT), 1)
-    inner = F.regexp_extract_all(html, F.lit(CONTEXT), 2)
+    """Array of (id, ends) of the dated contexts; the last of one id counts. They are sorted, not searched."""
+    found = F.transform(
+        F.regexp_extract_all(html, F.lit(CONTEXT), F.lit(0)),
+        lambda m, i: F.struct(F.regexp_extract(m, CONTEXT, 1).alias("id"), i.alias("pos"), F.regexp_extract(m, CONTEXT, 2).alias("inner")),
+    )
+    dated = F.transform(found, lambda c: F.struct(
+        c["id"].alias("id"), c["pos"].alias("pos"),
+        strip(F.coalesce(first_group(c["inner"], END), first_group(c["inner"], INSTANT))).try_cast("date").alias("ends"),
+    ))
+
+    def last(every: Column) -> Column:
+        return F.filter(every, lambda c, i: ~F.coalesce(F.get(every, i + 1)["id"] == c["id"], F.lit(False)) & c["ends"].isNotNull())
+
+    return F.transform(_let(F.array_sort(dated), last), lambda c: F.struct(c["id"].alias("id"), c["ends"].alias("ends")))
 
-    def context(i: Column, text: Column) -> Column:
-        day = F.coalesce(first_group(text, END), first_group(text, INSTANT))
-        return F.struct(i.alias("id"), strip(day).try_cast("date").alias("ends"))
 
-    every = F.zip_with(ids, inner, context)
-    last = F.filter(
-        every, lambda c, i: F.array_position(F.reverse(ids), c.id) == F.size(ids) - i
+def _figures(facts: Column, contexts: Column, made_up_to: Column) -> Column:
+    """The first figure of each metric in the current and in the prior year, in one pass.
+
+    Contexts and facts are sorted together by context id, so each context's year is known when its facts come. A
+    fact without a context fits any year; without dated contexts all facts are current.
+    """
+    target = F.date_sub(made_up_to, YEAR_DAYS)
+    near = lambda c: F.abs(F.datediff(c["ends"], made_up_to)) <= NEAR_DAYS
+    prior = lambda c: F.abs(F.datediff(c["ends"], target)) <= PRIOR_DAYS
+    metrics = list(rules.ACCOUNTS_TAGS)
+    none = F.lit(None)
+
+    def metric(name: Column) -> Column:
+        which = F.when(F.lit(False), 0)
+        for i, m in enumerate(metrics):
+            which = which.when(name.isin(rules.ACCOUNTS_TAGS[m]), i)
+        return which
+
+    def entry(key, pos, which, value, year) -> Column:
+        return F.struct(
+            key.alias("key"), pos.cast("int").alias("pos"), which.cast("int").alias("metric"),
+            value.cast("double").alias("value"), year.cast("int").alias("year"),
+        )
+
+    # Year 0 is current, 1 prior, 2 none, 3 any.
+    years = F.transform(contexts, lambda c: entry(
+        c["id"], F.lit(-1), none, none, F.when(near(c), 0).when(prior(c), 1).otherwise(2)
+    ))
+    asked = F.transform(
+        F.filter(facts, lambda f: f["value"].isNotNull()),
+        lambda f: entry(f["context"], f["pos"], metric(f["name"]), f["value"], F.when(made_up_to.isNull(), 0).when(f["context"].isNull(), 3)),
     )
-    return F.filter(last, lambda c: c.ends.isNotNull())
+    counted = F.filter(asked, lambda f: (f["metric"] != metrics.index("employees")) | (F.floor(f["value"] + 0.5) >= 0))
+    slots = [f"{y}_{m}" for y in (0, 1) for m in range(len(metrics))]
+    empty = F.lit(None).cast("struct<pos:int,value:double>")
+    start = F.struct(none.cast("string").alias("key"), none.cast("int").alias("year"), *(empty.alias(x) for x in slots))
 
+    def step(seen: Column, x: Column) -> Column:
+        opens = x["metric"].isNull()
+        known = F.when(seen["key"] == x["key"], seen["year"])
+        year = F.coalesce(x["year"], known, F.lit(2))
+
+        def slot(name: str) -> Column:
+            y, m = map(int, name.split("_"))
+            better = ~opens & (x["metric"] == m) & year.isin(y, 3) & (seen[name].isNull() | (x["pos"] < seen[name]["pos"]))
+            return F.when(better, F.struct(x["pos"].alias("pos"), x["value"].alias("value"))).otherwise(seen[name]).alias(name)
+
+        return F.struct(
+            F.when(opens, x["key"]).otherwise(seen["key"]).alias("key"), F.when(opens, x["year"]).otherwise(seen["year"]).alias("year"),
+            *(slot(x_) for x_ in slots),
+        )
 
-def _first_figure(facts: Column, metric: str, contexts: Column, any_context: Column) -> Column:
-    """The first fact of a metric in the given contexts; one without context fits any."""
-    names = rules.ACCOUNTS_TAGS[metric]
+    def rounded(seen: Column) -> Column:
+        def figure(y: int, m: int) -> Column:
+            return F.floor(seen[f"{y}_{m}"]["value"] + 0.5).cast("int" if metrics[m] == "employees" else "bigint")
 
-    def fits(f: Column) -> Column:
-        place = any_context | f["context"].isNull() | F.array_contains(contexts, f["context"])
-        ok = f["name"].isin(names) & f["value"].isNotNull() & place
-        return ok & (F.floor(f["value"] + 0.5) >= 0) if metric == "employees" else ok
+        return F.struct(*(figure(y, m).alias(p + name) for m, name in enumerate(metrics) for y, p in ((0, ""), (1, "prior_"))))
 
-    value = F.get(F.filter(facts, fits), F.lit(0))["value"]
-    return F.floor(value + 0.5).cast("int" if metric == "employees" else "bigint")
+    return F.aggregate(F.array_sort(F.concat(years, counted)), start, step, rounded)
 
 
 def parse_accounts(docs: DataFrame) -> DataFrame:
-    """Figures per document. Everything is local to the row, so nothing is shuffled.
+    """Figures per document. Everything is local to the row, so nothing is shuffled, and the work of a document
+    is its length and a sort of its contexts and figures.
 
     Without contexts the first figures count as current. Without a prior-year context
     the prior figures are unknown.
     """
     d = docs.withColumns({"_facts": _facts(F.col("html")), "_ctx": _contexts(F.col("html"))})
     d = d.withColumn("made_up_to", F.array_max(F.transform("_ctx", lambda c: c.ends)))
-    near = F.filter("_ctx", lambda c: F.abs(F.datediff(c.ends, F.col("made_up_to"))) <= NEAR_DAYS)
-    d = d.withColumn("_cur", F.transform(near, lambda c: c.id))
+    d = d.withColumn("_figures", _figures(F.col("_facts"), F.col("_ctx"), F.col("made_up_to")))
     target = F.date_sub("made_up_to", YEAR_DAYS)
-    prior = F.filter(
+    has_prior = F.exists(
         "_ctx",
-        lambda c: (F.abs(F.datediff(c.ends, target)) <= PRIOR_DAYS)
-        & ~F.array_contains(F.col("_cur"), c.id),
+        lambda c: (F.abs(F.datediff(c.ends, target)) <= PRIOR_DAYS) & (F.abs(F.datediff(c.ends, F.col("made_up_to"))) > NEAR_DAYS),
     )
-    d = d.withColumn("_pri", F.transform(prior, lambda c: c.id))
     readable = F.length("html") >= rules.ACCOUNTS_MIN_CHARS
     undated = F.col("made_up_to").isNull()
     figures = {}
     for metric in rules.ACCOUNTS_TAGS:
-        now = _first_figure(F.col("_facts"), metric, F.col("_cur"), undated)
-        before = _first_figure(F.col("_facts"), metric, F.col("_pri"), F.lit(False))
-        figures[metric] = F.when(readable, now)
-        figures[f"prior_{metric}"] = F.when(readable & (F.size("_pri") > 0), before)
+        figures[metric] = F.when(readable, F.col(f"_figures.{metric}"))
+        figures[f"prior_{metric}"] = F.when(readable & has_prior, F.col(f"_figures.prior_{metric}"))
     d = d.withColumns(figures)
     nothing = (F.coalesce("turnover", F.lit(0)) == 0) & (F.coalesce("employees", F.lit(0)) == 0)
     given = [c for c in docs.columns if c != "html"]

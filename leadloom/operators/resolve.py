@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import keys
 from leadloom.functions.similarity import trigrams
-from leadloom.session import cut_lineage
+from leadloom.session import written
 
 # fixed values: match layers, strongest first
 EXACT_LAYERS = [
@@ -29,7 +29,6 @@ EXACT_LAYERS = [
 LAYER_NAMES = [n for n, _ in EXACT_LAYERS] + ["name_postcode", "fuzzy_trigram"]
 THRESHOLD = (7, 10)  # similarity of at least 0.7, as integers
 ANYWHERE = "*"
-RANK_LIMIT = 65_536  # above the number of trigrams there can be
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -117,7 +116,7 @@ def dup_layer(leads: DataFrame, layer: str) -> DataFrame:
 
 
 def ranked_grams(*sides: DataFrame) -> DataFrame:
-    """Each distinct name with its trigrams as numbers, the rarest trigram first.
+    """Each distinct name with its trigrams as numbers, the rarest trigram first, and two signatures.
 
     Name keys hold only ``[a-z0-9_ ]``, so there are at most 38^3 = 54,872 trigrams:
     ranking them in one task and broadcasting the ranks is bounded whatever the data.
@@ -135,72 +134,88 @@ def ranked_grams(*sides: DataFrame) -> DataFrame:
     num, den = THRESHOLD
     n = F.size("grams")
     needed = F.floor((n * num + (den - 1)) / den).cast("int")
-    return cut_lineage(
-        sets.select("name_key", "grams", F.slice("grams", F.lit(1), n - needed + 2).alias("prefix"))
+
+    def signature(half: int) -> Column:
+        bits = "aggregate(grams, 0L, (s, g) -> if(g % 128 div 64 = {0}, s | shiftleft(1L, g % 64), s))"
+        return F.expr(bits.format(half))
+
+    return written(
+        sets.select(
+            "name_key", "grams", n.alias("n"), F.slice("grams", F.lit(1), n - needed + 2).alias("prefix"),
+            signature(0).alias("bits_0"), signature(1).alias("bits_1"), F.monotonically_increasing_id().alias("name"),
+        ),
+        "names",
     )
 
 
-def _posted(side: DataFrame, sets: DataFrame, together: int) -> DataFrame:
-    """One row per (block, name) and per member, or pair of members, of its prefix."""
-    rows = side.join(sets, "name_key")
-    prefix = F.col("prefix")
-    if together == 1:
-        rows = rows.withColumn("prefix", F.slice("prefix", F.lit(1), F.size("prefix") - 1))
-        keys_ = F.transform(prefix, lambda g: g.cast("long"))
-    else:
-        keys_ = F.flatten(
-            F.transform(
-                prefix,
-                lambda g, i: F.transform(
-                    F.slice(prefix, i + 2, F.size(prefix)),
-                    lambda h: g.cast("long") * RANK_LIMIT + h,
-                ),
-            )
-        )
-    return rows.select("block", "name_key", "grams", "prefix", F.explode(keys_).alias("key"))
+def _postings(side: DataFrame, sets: DataFrame) -> DataFrame:
+    """One narrow row per (block, name) and member of its prefix: its place, and the members that follow."""
+    rows = side.join(sets.drop("grams"), "name_key").select("block", "name", "n", "bits_0", "bits_1", "prefix")
+    last = F.size("prefix") - 1  # the last member stands second only
+    return rows.select(
+        "block", "name", "n", "bits_0", "bits_1", "prefix",
+        F.posexplode(F.slice("prefix", F.lit(1), last)).alias("place", "gram"),
+    ).withColumn("after", F.slice("prefix", F.col("place") + 2, F.size("prefix"))).drop("prefix")
 
 
-def similar_names(
-    probes: DataFrame, index: DataFrame, sets: DataFrame, hot: int = 20_000
-) -> DataFrame:
+def _refined(postings: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Crowded lists by a second member as well; in the others it is -1."""
+    second = F.when(F.col("crowded"), F.col("after")).otherwise(F.array(F.lit(-1)))
+    return postings.join(crowded, ["block", "gram"], "left").withColumn("second", F.explode(second)).drop("after", "crowded")
+
+
+def similar_names(probes: DataFrame, index: DataFrame, sets: DataFrame, longest: int = 4096) -> DataFrame:
     """Pairs of different names in one block with trigram similarity of at least 0.7.
 
     Both inputs hold distinct (block, name_key); ``sets`` comes from ``ranked_grams`` over
     all their names. A set of n members needs at least k = ceil(0.7 n) >= 2 of them in
     common, so two such sets share at least one of their n - k + 1 rarest members, and
     at least two of their n - k + 2 rarest (the prefix). Names that share no such member
-    are never compared, and two names are compared once, where their prefixes first meet.
+    are never compared.
 
-    The largest group that would meet in one member is measured first. If it holds more
-    than ``hot`` names, names meet in pairs of members instead: there are far more of
-    these, so the groups become small. Both ways find the same pairs.
+    The index is a table of postings. Lists of more than ``longest`` names are posted by their
+    first two common members instead of one, and lists that are still longer are dealt out in parts of that
+    size on the index side, so no task gets a longer list, however the names are spread. Before two names
+    are looked at, their sizes, the places where they meet and the bits in which their
+    signatures differ must leave room for the overlap they need.
     """
-    sizes = _posted(index, sets, 1).groupBy("block", "key").agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).head()[0] or 0
-    together = 1 if largest <= hot else 2
-    a, b = (_posted(side, sets, together).alias(tag) for side, tag in ((probes, "a"), (index, "b")))
+    longest = max(1, longest)
+    posted = written(_postings(index, sets), "postings")
+    lists = posted.groupBy("block", "gram").agg(F.count("*").alias("names")).where(F.col("names") > longest)
+    crowded = written(lists.select("block", "gram", F.lit(True).alias("crowded")), "crowded")
+    b = _refined(posted, crowded)
+    key = ["block", "gram", "second"]
+    lists = b.where("second >= 0").groupBy(*key).agg(F.count("*").alias("names")).where(F.col("names") > longest)
+    parts = written(lists.select(*key, F.ceil(F.col("names") / longest).cast("int").alias("parts")), "long-lists")
+    n_parts = F.coalesce("parts", F.lit(1))
+    b = b.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64("name"), n_parts).cast("int"))
+    a = _refined(_postings(probes, sets), crowded).join(parts, key, "left")
+    a = a.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+    key = [*key, "part"]
+    mine = ["name", "n", "bits_0", "bits_1", "place"]
+    a, b = (x.select(*key, *(F.col(c).alias(f"{c}_{tag}") for c in mine)) for x, tag in ((a, "a"), (b, "b")))
+
     num, den = THRESHOLD
-    na, nb = F.size("a.grams"), F.size("b.grams")
-    sized = (nb * den >= na * num) & (na * den >= nb * num)
-    common = F.array_intersect("a.prefix", "b.prefix")
-    first = F.get(common, F.lit(0)).cast("long")
-    if together == 2:
-        first = first * RANK_LIMIT + F.get(common, F.lit(1))
-    shared = F.size(F.array_intersect("a.grams", "b.grams"))
-    met = (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key"))
-    return (
-        a.join(b, met)
-        .where((F.col("a.name_key") != F.col("b.name_key")) & sized & (first == F.col("a.key")))
-        .select(
-            "a.block", F.col("a.name_key").alias("name_key_a"), F.col("b.name_key").alias("name_key_b"),
-            shared.alias("shared"), (na + nb).alias("both"),
+    both = F.col("n_a") + F.col("n_b")
+    sized = (F.col("n_b") * den >= F.col("n_a") * num) & (F.col("n_a") * den >= F.col("n_b") * num)
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    apart = sum(F.bit_count(F.col(f"bits_{i}_a").bitwiseXOR(F.col(f"bits_{i}_b"))) for i in (0, 1))
+    # shared >= num * both / (num + den), and each bit apart is a member that only one of them has.
+    fits = sized & (room * (num + den) >= both * num) & ((both - apart) * (num + den) >= both * (2 * num))
+    met = a.join(b, key).where((F.col("name_a") != F.col("name_b")) & fits).select("block", "name_a", "name_b").distinct()
+
+    def whole(tag: str) -> DataFrame:
+        return sets.select(
+            F.col("name").alias(f"name_{tag}"), F.col("name_key").alias(f"name_key_{tag}"), F.col("grams").alias(f"grams_{tag}")
         )
-        .withColumn("total", F.col("both") - F.col("shared"))
+
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    return (
+        met.join(whole("a"), "name_a").join(whole("b"), "name_b")
+        .withColumn("shared", shared)
+        .withColumn("total", F.size("grams_a") + F.size("grams_b") - F.col("shared"))
         .where(F.col("shared") * den >= F.col("total") * num)
-        .select(
-            "block", "name_key_a", "name_key_b",
-            (F.col("shared") / F.col("total")).alias("similarity"),
-        )
+        .select("block", "name_key_a", "name_key_b", (F.col("shared") / F.col("total")).alias("similarity"))
     )
 
 
@@ -222,17 +237,25 @@ def _blocks(keyed: DataFrame, layer: str, probing: bool) -> DataFrame:
     return rows.select(F.explode(block).alias("block"), "name_key", "age", "id")
 
 
+def name_pairs(probes: DataFrame, index: DataFrame, layer: str, sets: DataFrame) -> DataFrame:
+    """Similar names of a layer: ``block, name_key_a, name_key_b, similarity``."""
+    looking, seen = _blocks(probes, layer, True), _blocks(index, layer, False)
+    wanted = looking.select("block", "name_key").distinct()
+    held = seen.join(looking.select("block").distinct(), "block", "left_semi").select("block", "name_key").distinct()
+    return similar_names(wanted, held, sets)
+
+
 def fuzzy_matches(
-    probes: DataFrame, index: DataFrame, layer: str, sets: DataFrame, earlier_only: bool = False
+    probes: DataFrame, index: DataFrame, layer: str, pairs: DataFrame, earlier_only: bool = False
 ) -> DataFrame:
-    """The most similar other lead in scope; ties go to the earliest."""
+    """The most similar other lead in scope; ties go to the earliest.
+
+    ``pairs`` come from ``name_pairs`` of these rows, or of more.
+    """
     looking = _blocks(probes, layer, True)
     wanted = looking.select("block").distinct()
     seen = _blocks(index, layer, False).join(wanted, "block", "left_semi")
-    first = cut_lineage(_earliest_two(seen, "block", "name_key"))
-    pairs = similar_names(
-        looking.select("block", "name_key").distinct(), first.select("block", "name_key"), sets
-    )
+    first = written(_earliest_two(seen, "block", "name_key"), "earliest")
     best_first = F.struct(
         (-F.col("similarity")).alias("negated"), F.col("match.created_at"), F.col("match.id")
     )
@@ -269,17 +292,20 @@ def fuzzy_matches(
 
 
 def dup_names(leads: DataFrame, layer: str) -> DataFrame:
-    keyed = cut_lineage(lead_keys(leads))
-    return fuzzy_matches(keyed, keyed, layer, ranked_grams(keyed))
+    keyed = written(lead_keys(leads), "lead-keys")
+    return fuzzy_matches(keyed, keyed, layer, name_pairs(keyed, keyed, layer, ranked_grams(keyed)))
 
 
 # ---- layered resolution ------------------------------------------------------
 
 
-def match_leads(probes: DataFrame, index: DataFrame, earlier_only: bool = False) -> DataFrame:
+def match_leads(
+    probes: DataFrame, index: DataFrame, earlier_only: bool = False, pairs: dict[str, DataFrame] | None = None
+) -> DataFrame:
     """The match of the strongest layer for every probe that has one.
 
-    Rows resolved by a cheap layer do not enter the expensive ones.
+    Rows resolved by a cheap layer do not enter the expensive ones. ``pairs`` holds the similar names of the
+    last two layers where they are known.
     """
     names = F.array(*map(F.lit, LAYER_NAMES))
     exact = (
@@ -288,23 +314,61 @@ def match_leads(probes: DataFrame, index: DataFrame, earlier_only: bool = False)
         .agg(F.min(F.struct("layer", "matched_id")).alias("m"))
         .select("id", "m.layer", "m.matched_id", F.lit(1.0).alias("similarity"))
     )
-    found = [cut_lineage(exact)]
-    left = cut_lineage(probes.join(found[0].select("id"), "id", "left_anti"))
-    sets = ranked_grams(left, index)
+    found = [written(exact, "exact-matches")]
+    left = written(probes.join(found[0].select("id"), "id", "left_anti"), "left")
+    sets = None if pairs else ranked_grams(left, index)
     for number, layer in enumerate(LAYER_NAMES[len(EXACT_LAYERS):], len(EXACT_LAYERS)):
-        more = fuzzy_matches(left, index, layer, sets, earlier_only)
-        found.append(cut_lineage(more.withColumn("layer", F.lit(number))))
+        near = pairs[layer] if pairs else name_pairs(left, index, layer, sets)
+        more = fuzzy_matches(left, index, layer, near, earlier_only)
+        found.append(written(more.withColumn("layer", F.lit(number)), "name-matches"))
         left = left.join(found[-1].select("id"), "id", "left_anti")
     return _union(found).select("id", "matched_id", names[F.col("layer")].alias("match_type"), "similarity")
 
 
 def dedup_check(leads: DataFrame) -> DataFrame:
     """Each lead against all the others, itself excluded."""
-    keyed = cut_lineage(lead_keys(leads))
+    keyed = written(lead_keys(leads), "lead-keys")
     return match_leads(keyed, keyed)
 
 
-def dedup_keep(keyed: DataFrame) -> DataFrame:
+def _hubs_of(rows: DataFrame, column: str, *more: str) -> DataFrame:
+    return rows.select("id", "age", *more, F.explode(column).alias("hub"))
+
+
+def _earliest(rows: DataFrame, hub: str = "hub") -> DataFrame:
+    return rows.groupBy(hub).agg(F.min("first_kept").alias("first_kept"), F.min("first_open").alias("first_open"))
+
+
+def _dependencies(keyed: DataFrame, pairs: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): each lead with the hubs it asks and those it stands in; which hub answers for which.
+
+    A hub is a key of an exact layer, or a name in a block. A name asks the hub ``near`` it, which has the
+    answers of all ``at`` hubs of similar names.
+    """
+    exact = [F.when(F.col(c).isNotNull() & (F.lit(c != "name_key") | _name_at_least(2)), F.concat(F.lit(f"x{i}|"), c))
+             for i, (_, c) in enumerate(EXACT_LAYERS)]
+    asks, stands = list(exact), list(exact)
+    links = []
+    for layer, least in (("name_postcode", 3), ("fuzzy_trigram", 4)):
+        if layer == "name_postcode":
+            looking = F.concat(F.lit("p:"), "postcode")
+            held = [looking]
+        else:
+            in_city = F.concat(F.lit("c:"), "city")
+            looking, held = F.coalesce(in_city, F.lit(ANYWHERE)), [in_city, F.lit(ANYWHERE)]
+        asks.append(F.when(_name_at_least(least), F.concat(F.lit(f"near|{layer}|"), looking, F.lit("|"), "name_key")))
+        stands += [F.concat(F.lit(f"at|{layer}|"), h, F.lit("|"), "name_key") for h in held]
+        links.append(pairs[layer].select(
+            F.concat(F.lit(f"near|{layer}|"), "block", F.lit("|"), "name_key_a").alias("hub"),
+            F.concat(F.lit(f"at|{layer}|"), "block", F.lit("|"), "name_key_b").alias("source"),
+        ))
+    rows = keyed.select(
+        "id", "age", F.lit(False).alias("kept"), F.array_compact(F.array(*asks)).alias("asks"), F.array_compact(F.array(*stands)).alias("stands")
+    )
+    return rows, _union(links)
+
+
+def dedup_keep(keyed: DataFrame, pairs: dict[str, DataFrame]) -> DataFrame:
     """Adds ``kept``: what inserting the leads one by one, oldest first, would keep.
 
     A lead is kept unless an earlier kept lead matches it. That is decided in parallel
@@ -312,105 +376,56 @@ def dedup_keep(keyed: DataFrame) -> DataFrame:
     earlier neighbour is dropped, the rest waits. Neighbours are looked up through
     their keys: each key carries the earliest kept and the earliest undecided lead
     that holds it, so a round costs one pass over the keys however large a group is.
-    """
-    scopes = ["name_postcode", "fuzzy_trigram"]
-    sets = ranked_grams(keyed)
-    publish = _exact_entries(keyed).select(
-        "id", "age", F.concat_ws("|", F.lit("x"), "layer", "key").alias("hub")
-    )
-    probe = publish
-    links = []
-    for layer in scopes:
-        looking, seen = _blocks(keyed, layer, True), _blocks(keyed, layer, False)
-        wanted = looking.select("block").distinct()
-        seen = seen.join(wanted, "block", "left_semi")
-        links.append(
-            similar_names(
-                looking.select("block", "name_key").distinct(),
-                seen.select("block", "name_key").distinct(),
-                sets,
-            ).select(
-                F.concat_ws("|", F.lit("near"), F.lit(layer), "block", "name_key_a").alias("hub"),
-                F.concat_ws("|", F.lit("at"), F.lit(layer), "block", "name_key_b").alias("source"),
-            )
-        )
-        probe = probe.unionByName(
-            looking.select(
-                "id", "age",
-                F.concat_ws("|", F.lit("near"), F.lit(layer), "block", "name_key").alias("hub"),
-            )
-        )
-        publish = publish.unionByName(
-            seen.select(
-                "id", "age",
-                F.concat_ws("|", F.lit("at"), F.lit(layer), "block", "name_key").alias("hub"),
-            )
-        )
-    publish, probe = cut_lineage(publish), cut_lineage(probe)
-    links = cut_lineage(_union(links))
-    lowest = [F.min("first_kept").alias("first_kept"), F.min("first_open").alias("first_open")]
-
-    def hubs(rows: DataFrame, kept: bool) -> DataFrame:
-        ages = publish.join(rows.select("id"), "id", "left_semi").groupBy("hub").agg(
-            F.min("age").alias("first")
-        )
-        empty = F.lit(None).cast(publish.schema["age"].dataType)
-        return ages.select(
-            "hub",
-            (F.col("first") if kept else empty).alias("first_kept"),
-            (empty if kept else F.col("first")).alias("first_open"),
-        )
 
-    undecided = keyed.select("id", "age")
-    kept_hubs = None
-    kept_rows: list[DataFrame] = []
+    The graph shrinks with every round. A lead that stays open takes along only the keys in which an
+    earlier open lead stands; a lead kept in one round shows itself in the next one, where all that it drops
+    go; links whose ends nobody asks or holds any more are left behind. So a round reads what is
+    undecided, and leads without an earlier neighbour, alone or the elder of two, are out after the first.
+    """
+    rows, links = _dependencies(keyed, pairs)
+    rows, links = written(rows, "open"), written(links, "links")
+    all_kept: list[DataFrame] = []
+    linked = None
     while True:
-        sources = hubs(undecided, kept=False)
-        if kept_hubs is not None:
-            sources = sources.unionByName(kept_hubs)
-        sources = sources.groupBy("hub").agg(*lowest)
-        near = links.join(sources.withColumnRenamed("hub", "source"), "source").groupBy("hub").agg(
-            *lowest
-        )
-        seen = (
-            probe.join(undecided.select("id"), "id", "left_semi")
-            .join(sources.unionByName(near), "hub")
-            .groupBy("id")
-            .agg(
-                F.max(F.coalesce(F.col("first_kept") < F.col("age"), F.lit(False))).alias("drop"),
-                F.max(F.coalesce(F.col("first_open") < F.col("age"), F.lit(False))).alias("wait"),
-            )
+        age = F.col("age")
+        held = _hubs_of(rows, "stands", "kept").groupBy("hub").agg(
+            F.min(F.when(F.col("kept"), age)).alias("first_kept"), F.min(F.when(~F.col("kept"), age)).alias("first_open")
         )
-        judged = cut_lineage(
-            undecided.join(seen, "id", "left").select(
-                "id", "age",
-                F.coalesce("drop", F.lit(False)).alias("drop"),
-                F.coalesce("wait", F.lit(False)).alias("wait"),
-            )
+        near = _earliest(links.join(held.withColumnRenamed("hub", "source"), "source"))
+        asked = _hubs_of(rows.where(~F.col("kept")), "asks").join(held.unionByName(near), "hub")
+        judged = asked.groupBy("id").agg(
+            F.max(F.coalesce(F.col("first_kept") < age, F.lit(False))).alias("drop"),
+            F.collect_list(F.when(F.col("first_open") < age, F.col("hub"))).alias("waits"),
         )
-        kept_now = judged.where(~F.col("drop") & ~F.col("wait"))
-        undecided = judged.where(~F.col("drop") & F.col("wait")).select("id", "age")
-        kept_rows.append(kept_now.select("id"))
-        if undecided.isEmpty():
+        rows = rows.where(~F.col("kept")).drop("asks", "kept").join(judged, "id", "left").where(~F.coalesce("drop", F.lit(False)))
+        waits = F.coalesce("waits", F.array().cast("array<string>"))
+        rows = written(rows.select("id", "age", (F.size(waits) == 0).alias("kept"), waits.alias("asks"), "stands"), "open")
+        all_kept.append(rows.where("kept").select("id"))
+        left = rows.where(~F.col("kept")).count()
+        if not left:
             break
-        fresh = hubs(kept_now, kept=True)
-        merged = fresh if kept_hubs is None else kept_hubs.unionByName(fresh)
-        kept_hubs = cut_lineage(merged.groupBy("hub").agg(*lowest))
-    kept = _union(kept_rows).withColumn("kept", F.lit(True))
+        if linked is None or left * 2 <= linked:
+            links = links.join(_hubs_of(rows, "asks").select("hub").distinct(), "hub", "left_semi").join(
+                _hubs_of(rows, "stands").select(F.col("hub").alias("source")).distinct(), "source", "left_semi"
+            )
+            links, linked = written(links, "links"), left
+    kept = _union(all_kept).withColumn("kept", F.lit(True))
     return keyed.join(kept, "id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def dedup_resolve(leads: DataFrame) -> DataFrame:
     """Sequential deduplication of a batch: who stays, and what the others matched."""
-    keyed = cut_lineage(lead_keys(leads))
-    decided = cut_lineage(dedup_keep(keyed))
+    keyed = written(lead_keys(leads), "lead-keys")
+    sets = ranked_grams(keyed)
+    pairs = {layer: written(name_pairs(keyed, keyed, layer, sets), "pairs") for layer in LAYER_NAMES[len(EXACT_LAYERS):]}
+    decided = written(dedup_keep(keyed, pairs), "decided")
     matches = match_leads(
-        decided.where(~F.col("kept")), decided.where(F.col("kept")), earlier_only=True
+        decided.where(~F.col("kept")), decided.where(F.col("kept")), earlier_only=True, pairs=pairs
     )
     return decided.select("id", "kept").join(matches, "id", "left")
 
 
 def new_vs_known(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """Candidates that match no known lead in any layer."""
-    found = match_leads(cut_lineage(lead_keys(candidates)), cut_lineage(lead_keys(known)))
+    found = match_leads(written(lead_keys(candidates), "lead-keys"), written(lead_keys(known), "lead-keys"))
     return candidates.join(found.select("id"), "id", "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import rules
 from leadloom.operators import qualify, queues, signals
 from leadloom.plans.registry import register
+from leadloom.session import written
 from leadloom.sources.views import EVENTS_AS_OF, REGISTER_AS_OF
 
 AS_OF = REGISTER_AS_OF
@@ -206,20 +207,22 @@ def scored(v, companies=None):
 
 
 def registry(v):
-    return qualify.registry_gate(v.companies_v, sic_prefixes=["64", "411"])
+    """The register with its reasons, one written stage: whoever reads it plans a scan, not the rules."""
+    return written(qualify.registry_gate(v.companies_v, sic_prefixes=["64", "411"]), "registry")
 
 
-def parents(v):
+def parents(v, companies=None):
     """Only companies that pass the register's own rules may be a parent."""
-    accepted = registry(v).where("registry_reason IS NULL")
-    return signals.parent_company(v.companies_v, v.officers_v, accepted)
+    companies = registry(v) if companies is None else companies
+    accepted = companies.where("registry_reason IS NULL")
+    return signals.parent_company(companies, v.officers_v, accepted)
 
 
 def gated(v, policy="flag"):
     """Companies that their own row rejects are not joined or scored."""
     companies = registry(v)
-    linked = parents(v).select("company_number", "parent_number")
-    kept = scored(v, companies.where("registry_reason IS NULL")).join(linked, "company_number", "left")
+    linked = parents(v, companies).select("company_number", "parent_number")
+    kept = written(scored(v, companies.where("registry_reason IS NULL")), "scored").join(linked, "company_number", "left")
     rejected = companies.where("registry_reason IS NOT NULL").withColumns(
         {"reject_reason": F.col("registry_reason"), "is_subsidiary": F.lit(False)}
     )

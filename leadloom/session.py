@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +40,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder so that lost executors do not matter."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it again.
+
+    That cuts lineage as a checkpoint does, but columns and filters still reach the scan, Spark knows the
+    true size, and nobody plans again what was written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/written/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

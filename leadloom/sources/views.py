@@ -521,13 +521,20 @@ _NAME = re.compile(r"@(\w+)@")
 
 #: A session setting: over how many tasks the rows of the text tables are dealt. Only for small
 #: tables whose one file cannot be split; unset, Spark's own file settings decide.
-SPLITS = "leadloom.input.splits"
+SPLITS = "spark.leadloom.input.splits"
+
+
+#: The tables of texts, and the views that make texts of narrow rows.
+DEALT = ("pages", "documents", "accounts_docs_v")
+
+
+def splits(spark: SparkSession) -> int:
+    return int(spark.conf.get(SPLITS, "0"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    splits = spark.conf.get(SPLITS, None)
-    return df.repartition(int(splits)) if splits and name in ("pages", "documents") else df
+    return df.repartition(splits(spark)) if name in DEALT and splits(spark) else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -537,6 +544,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     parts = {n: view(spark, sf_dir, n) for n in dict.fromkeys(_NAME.findall(text))}
     body = _NAME.sub(r"{\1}", text.replace("{", "{{").replace("}", "}}"))
+    if name in DEALT and splits(spark):
+        parts = {n: df.repartition(splits(spark)) for n, df in parts.items()}
     return prepare(spark).sql(body, **parts)
 
 

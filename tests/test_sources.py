@@ -1,4 +1,5 @@
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,20 @@ def test_accounts(spark, html, expected):
     assert {k: row[k] for k in expected} == expected
 
 
+def test_accounts_of_many_contexts(spark):
+    """The last context of an id counts, and the work does not grow with contexts times facts."""
+    n = 20_000
+    many = "".join(ctx(f"c{i % (n // 2)}", f"{2000 + i % 19}-06-30" if i >= n // 2 else "2030-01-01") for i in range(n))
+    html = doc(many + "".join(fact("Turnover", str(i), f'contextRef="c{i}"') for i in range(n // 2 - 1, -1, -1)))
+    df = spark.createDataFrame([("1", "2021-01-01", "D", html)], "company_number string, filing_date string, document_id string, html string")
+    started = time.perf_counter()
+    row = accounts.parse_accounts(df).head()
+    newest = [i for i in range(n // 2) if (i + n // 2) % 19 == 18]
+    before = [i for i in range(n // 2) if (i + n // 2) % 19 == 17]
+    assert (str(row.made_up_to), row.turnover, row.prior_turnover) == ("2018-06-30", newest[-1], before[-1])
+    assert time.perf_counter() - started < 30
+
+
 def test_send_window_rolls_leap_days(spark):
     df = spark.createDataFrame(
         [("2000-02-29",)], "d string"
