@@ -184,11 +184,17 @@ LEAD_STATUSES = [
     "not_interested", "needs_review", "rejected", "exclude", "suppressed",
 ]
 LEAD_TRANSITIONS = [
+    ("subsidiary_found", "new_lead", "needs_review"),
     ("start_enrichment", "new_lead", "enriching"),
+    ("research_failed", "enriching", "new_lead"),
+    ("research_given_up", "enriching", "needs_review"),
+    ("scrape_failed", "enriching", "new_lead"),
+    ("no_email", "enriching", "exclude"),
     ("found_duplicate", "enriching", "exclude"),
     ("start_verification", "enriching", "verifying"),
     ("verification_passed", "verifying", "verified"),
     ("verification_low", "verifying", "verification_failed"),
+    ("low_tier", "verified", "exclude"),
     ("routed", "verified", "waiting_concierge"),
     ("approve_tier", "waiting_concierge", "outreach_sent"),
     ("approve_blocked", "waiting_concierge", "="),

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import rules
-from leadloom.session import cut_lineage
+from leadloom.session import written
 
 KINDS = list(dict.fromkeys(k for k, _, _ in rules.LEAD_TRANSITIONS))
 
@@ -44,22 +41,29 @@ def _step(run: Column, kind: Column) -> Column:
     )
 
 
+#: Events, or effects, that are put together in one row of an aggregate.
+FOLD = 256
+
+
 def lead_state(
-    events: DataFrame, start: str = "new_lead", partitions: int | None = None
+    events: DataFrame, start: str = "new_lead", partitions: int | None = None, fold: int = FOLD
 ) -> DataFrame:
     """Status of each lead after all its events, oldest first.
 
-    One lead may own a third of all events, so its history is not folded in one place.
-    Events are range-partitioned by (lead, time); every stretch is reduced to what it
-    does to each possible status, and these few results are chained per lead.
+    One lead may own a third of all events, so its history is not folded in one place. What a run of
+    events does to every possible status is a small map, and maps compose in any grouping. Events are
+    range-partitioned by (lead, time) and numbered within a partition; runs of ``fold`` events
+    become maps, runs of ``fold`` maps become one, level by level, until a lead has one. No row
+    ever gathers more than ``fold`` entries.
     """
     spark = events.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    placed = cut_lineage(
+    placed = written(
         events.select("lead_id", "ts", "event_id", kind.alias("kind"))
         .repartitionByRange(n, "lead_id", "ts", "event_id")
-        .withColumn("stretch", F.spark_partition_id())
+        .withColumn("stretch", F.spark_partition_id().cast("long")),
+        "lead-events",
     )
     count = len(rules.LEAD_STATUSES)
     fresh = F.transform(
@@ -70,43 +74,53 @@ def lead_state(
             F.lit(0).cast("long").alias("refused"),
         ),
     )
-    stretches = placed.groupBy("lead_id", "stretch").agg(
-        F.aggregate(
-            F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind"))),
-            fresh,
-            lambda runs, e: F.transform(runs, lambda r: _step(r, e["kind"])),
-        ).alias("effect"),
-        F.max("ts").alias("last_ts"),
-    )
-    begin = F.struct(
-        F.lit(rules.LEAD_STATUSES.index(start)).alias("state"),
-        F.lit(0).cast("long").alias("applied"),
-        F.lit(0).cast("long").alias("refused"),
-    )
-
-    def chain(run: Column, s: Column) -> Column:
-        effect = F.get(s["effect"], run["state"])
-        return F.struct(
-            effect["state"].alias("state"),
-            (run["applied"] + effect["applied"]).alias("applied"),
-            (run["refused"] + effect["refused"]).alias("refused"),
-        )
-
-    names = F.array(*map(F.lit, rules.LEAD_STATUSES))
-    return (
-        stretches.groupBy("lead_id")
+    in_order = Window.partitionBy("lead_id", "stretch").orderBy("ts", "event_id")
+    maps = (
+        placed.withColumn("pos", F.row_number().over(in_order) - 1)
+        .groupBy("lead_id", "stretch", F.floor(F.col("pos") / fold).alias("run"))
         .agg(
             F.aggregate(
-                F.array_sort(F.collect_list(F.struct("stretch", "effect"))), begin, chain
-            ).alias("r"),
-            F.max("last_ts").alias("last_event_at"),
-        )
-        .select(
-            "lead_id", F.get(names, F.col("r.state")).alias("status"), "r.applied", "r.refused",
-            "last_event_at",
+                F.transform(F.array_sort(F.collect_list(F.struct("pos", "kind"))), lambda e: e["kind"]),
+                fresh,
+                lambda runs, kind: F.transform(runs, lambda r: _step(r, kind)),
+            ).alias("effect"),
+            F.max("ts").alias("last_ts"),
         )
     )
 
+    def chained(runs: Column, entry: Column) -> Column:
+        def after(run: Column) -> Column:
+            effect = F.get(entry["effect"], run["state"])
+            return F.struct(
+                effect["state"].alias("state"),
+                (run["applied"] + effect["applied"]).alias("applied"),
+                (run["refused"] + effect["refused"]).alias("refused"),
+            )
+
+        return F.transform(runs, after)
+
+    def composed(maps: DataFrame, *keys: str | Column) -> DataFrame:
+        """One map for all maps of the same keys, in the order of ``run``."""
+        together = F.aggregate(F.array_sort(F.collect_list(F.struct("run", "effect"))), fresh, chained)
+        return maps.groupBy(*keys).agg(together.alias("effect"), F.max("last_ts").alias("last_ts"))
+
+    def levels(maps: DataFrame, *keys: str) -> DataFrame:
+        """A tree over ``run``: its numbers are divided until one is left."""
+        maps = written(maps, "effects")
+        while maps.where("run > 0").limit(1).count():
+            maps = composed(maps.withColumn("up", F.floor(F.col("run") / fold)), *keys, "up").withColumnRenamed("up", "run")
+            maps = written(maps, "effects")
+        return maps.drop("run")
+
+    stretches = levels(maps, "lead_id", "stretch").withColumnRenamed("stretch", "run")
+    whole = levels(stretches, "lead_id")
+    names = F.array(*map(F.lit, rules.LEAD_STATUSES))
+    r = F.get("effect", F.lit(rules.LEAD_STATUSES.index(start)))
+    return whole.select(
+        "lead_id", F.get(names, r["state"]).alias("status"), r["applied"].alias("applied"), r["refused"].alias("refused"),
+        F.col("last_ts").alias("last_event_at"),
+    )
+
 
 # ---- kill switch -------------------------------------------------------------
 
@@ -180,7 +194,6 @@ def _trip_candidates(
     over many tasks.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp_ltz"))
-    bucket = F.floor(micros / (bucket_s * 1_000_000)).cast("long")
     rows = calls.select("label", "event_id", "ok", micros.alias("at")).withColumn(
         "bucket", F.floor(F.col("at") / (bucket_s * 1_000_000)).cast("long")
     )
@@ -189,7 +202,6 @@ def _trip_candidates(
     spread = rows.withColumn("seen_in", F.explode(seen_in))
     order = Window.partitionBy("label", "seen_in").orderBy("at", "event_id")
     run = order.rowsBetween(-(threshold - 1), 0)
-    del bucket
     return (
         spread.withColumns(
             {
@@ -206,77 +218,76 @@ def _trip_candidates(
     )
 
 
+def _next_trips(candidates: DataFrame, cool: int, bucket: int) -> DataFrame:
+    """``label, at, event_id`` of each candidate and the candidate that trips next if this one does (``next``).
+
+    That is the first one whose run begins when this one has cooled down. Both are put into time buckets; within
+    a bucket a window looks ahead, and beyond it the first candidate of the next bucket that has one counts.
+    """
+    def row(time: Column, is_target: int) -> DataFrame:
+        return candidates.select("label", "at", "event_id", time.alias("time"), F.lit(is_target).alias("target"))
+
+    rows = row(F.col("at") + cool, 0).unionByName(row(F.col("started"), 1)).withColumn("slot", F.floor(F.col("time") / bucket))
+    ahead = Window.partitionBy("label", "slot").orderBy("time", "target", "at", "event_id").rowsBetween(0, Window.unboundedFollowing)
+    this = F.struct("at", "event_id")
+    inside = rows.withColumn("inside", F.first(F.when(F.col("target") == 1, this), ignorenulls=True).over(ahead)).where("target = 0")
+    firsts = rows.groupBy("label", "slot").agg(F.min(F.when(F.col("target") == 1, F.struct("time", "at", "event_id"))).alias("first"))
+    later = Window.partitionBy("label").orderBy("slot").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.select("label", "slot", F.first("first", ignorenulls=True).over(later).alias("beyond"))
+    beyond = F.when(F.col("beyond").isNotNull(), F.struct("beyond.at", "beyond.event_id"))
+    return inside.join(firsts, ["label", "slot"]).select("label", "at", "event_id", F.coalesce("inside", beyond).alias("next"))
+
+
 def failure_breaker(
     calls: DataFrame, threshold: int = 5, window_minutes: int = 5, cooldown_minutes: int = 10
 ) -> DataFrame:
     """Intervals during which the breaker of each label was open.
 
-    Calls logged while it is open count for nothing, and it starts afresh afterwards.
+    Calls logged while it is open count for nothing, and it starts afresh afterwards. Each trip decides
+    the next one, a chain as long as the label's history. It is followed by doubling: pointers to the next trip are joined
+    with themselves, so after k rounds they reach 2^k trips ahead, and all trips are found in a logarithm of
+    rounds, however many events one label holds.
     """
     window_s, cool = window_minutes * 60, cooldown_minutes * 60_000_000
-    candidates = cut_lineage(
-        _trip_candidates(calls, threshold, window_s, max(3600, window_s))
-    )
-    # A candidate whose run began after the one before it had cooled down always trips,
-    # so the chain of trips can be cut there. Cuts are counted per bucket first.
-    inner = Window.partitionBy("label", "bucket").orderBy("at", "event_id")
-    ends = candidates.groupBy("label", "bucket").agg(F.max("at").alias("last"))
-    ends = ends.select(
-        "label", "bucket",
-        F.lag("last").over(Window.partitionBy("label").orderBy("bucket")).alias("before"),
-    )
-    previous = F.coalesce(F.lag("at").over(inner), F.col("before"))
-    marked = candidates.join(ends, ["label", "bucket"]).withColumn(
-        "cut", F.coalesce(F.col("started") >= previous + cool, F.lit(True)).cast("int")
-    )
-    cuts = marked.groupBy("label", "bucket").agg(F.sum("cut").alias("cuts")).select(
-        "label", "bucket",
-        F.coalesce(
-            F.sum("cuts").over(
-                Window.partitionBy("label").orderBy("bucket").rowsBetween(
-                    Window.unboundedPreceding, -1
-                )
-            ),
-            F.lit(0),
-        ).alias("cuts_before"),
-    )
-    chains = (
-        marked.join(cuts, ["label", "bucket"])
-        .withColumn("chain", F.col("cuts_before") + F.sum("cut").over(inner))
-        .select("label", "chain", "at", "started", "event_id")
-        .repartition("label", "chain")
-        .sortWithinPartitions("label", "chain", "at", "event_id")
-    )
-
-    def trips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Streams the sorted rows; only the last trip of the current chain is held."""
-        current, closes = None, 0
-        for batch in batches:
-            taken = []
-            for i, row in enumerate(batch.itertuples(index=False)):
-                if (row.label, row.chain) != current:
-                    current, closes = (row.label, row.chain), row.started
-                if row.started >= closes:
-                    taken.append(i)
-                    closes = row.at + cool
-            yield batch.iloc[taken][["label", "at"]]
-
-    return chains.mapInPandas(trips, "label string, at long").select(
+    bucket_s = max(3600, window_s)
+    candidates = written(_trip_candidates(calls, threshold, window_s, bucket_s), "candidates")
+    jumps = written(_next_trips(candidates, cool, bucket_s * 1_000_000).where("next IS NOT NULL"), "jumps")
+    trips = candidates.groupBy("label").agg(F.min(F.struct("at", "event_id")).alias("t")).select("label", "t.at", "t.event_id")
+    trips = written(trips, "trips")
+    node = ["label", "at", "event_id"]
+    while True:
+        reached = trips.join(jumps, node).select("label", "next.at", "next.event_id")
+        found = written(trips.unionByName(reached).distinct(), "trips")
+        # What no jump leaves any more has been followed to its end.
+        if found.count() == trips.count():
+            break
+        trips = found
+        two = jumps.select("label", F.col("at").alias("from_at"), F.col("event_id").alias("from_id"), "next.at", "next.event_id")
+        two = two.join(jumps, node).select("label", F.col("from_at").alias("at"), F.col("from_id").alias("event_id"), "next")
+        jumps = written(two, "jumps")
+    return trips.select(
         "label",
         F.timestamp_micros("at").cast("timestamp_ntz").alias("opened_at"),
         F.timestamp_micros(F.col("at") + cool).cast("timestamp_ntz").alias("closes_at"),
     )
 
 
-def expired_locks(events: DataFrame, until: Column, minutes: int = 30) -> DataFrame:
-    """Locks that no other event of the lead followed in time, up to a moment."""
+def expired_locks(events: DataFrame, until: Column, minutes: int = 30, bucket: str = "HOUR") -> DataFrame:
+    """Locks that no other event of the lead followed in time, up to a moment.
+
+    The next event of a lead is looked for within its time bucket; the last one of a bucket takes the
+    first moment of the next bucket that has one. So a lead may hold any share of the events.
+    """
     life = F.expr(f"INTERVAL '{minutes}' MINUTE")
-    w = Window.partitionBy("lead_id").orderBy("ts", "event_id")
-    followed = F.lead("ts").over(w)
+    placed = events.withColumn("bucket", F.date_trunc(bucket, "ts"))
+    inside = F.lead("ts").over(Window.partitionBy("lead_id", "bucket").orderBy("ts", "event_id"))
+    firsts = placed.groupBy("lead_id", "bucket").agg(F.min("ts").alias("first"))
+    firsts = firsts.select("lead_id", "bucket", F.lead("first").over(Window.partitionBy("lead_id").orderBy("bucket")).alias("beyond"))
     return (
-        events.withColumn("next_ts", followed)
+        placed.withColumn("inside", inside)
         .where(F.col("kind") == "lock")
-        .withColumn("expired_at", F.col("ts") + life)
+        .join(firsts, ["lead_id", "bucket"])
+        .withColumns({"next_ts": F.coalesce("inside", "beyond"), "expired_at": F.col("ts") + life})
         .where(
             (F.col("next_ts") > F.col("expired_at"))
             | (F.col("next_ts").isNull() & (F.col("expired_at") < until))

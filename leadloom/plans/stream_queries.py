@@ -1,15 +1,15 @@
-"""Streams run over the tables, checked against batch SQL up to their watermark."""
+"""Streams run over the tables to their end, checked against the batch SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from leadloom.operators import events
-from leadloom.plans.event_queries import ARROWS, FLOW_SQL, INTERVALS_SQL, STAMP, stamp, stamp_sql
+from leadloom.plans.event_queries import FLOW_SQL, INTERVALS_SQL, STAMP, stamp, stamp_sql
 from leadloom.plans.registry import ORACLES, register
 from leadloom.sources.views import stream_view
 from leadloom.streaming import flows
-from leadloom.streaming.replay import run_available
+from leadloom.streaming.replay import END, run_available, run_closed
 
 
 def streamed(v, name: str, base: str):
@@ -27,11 +27,6 @@ RATE_SQL = f"""SELECT {stamp_sql('s')} AS window_start, {stamp_sql('s + INTERVAL
   SELECT time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE AS s, count(*) FILTER (b) AS bounces, count(*) FILTER (d) AS sends
   FROM (SELECT ts, contains(error_code, '550') OR contains(lower(error_code), 'bounce') AS b, error_code IN ('OUTREACH', 'FOLLOW_UP', 'GOODBYE') AS d
     FROM @error_log_v@), (SELECT unnest(range(12)) AS k) WHERE b OR d GROUP BY 1)"""
-# the stream sees bounces and sends only, so these set its watermark
-MARK_SQL = """(SELECT max(ts) - INTERVAL 1 HOUR FROM @error_log_v@ WHERE contains(error_code, '550')
-  OR contains(lower(error_code), 'bounce') OR error_code IN ('OUTREACH', 'FOLLOW_UP', 'GOODBYE'))"""
-
-
 def rates(df):
     return df.select(*stamp("window_start", "window_end"), "bounces", "sends", F.round("rate", 6).alias("rate"), "fires")
 
@@ -39,44 +34,35 @@ def rates(df):
 register("bounce_rate_windows", lambda v: rates(flows.windowed_bounce_rate(v.error_log_v)), RATE_SQL)
 register(
     "bounce_rate_stream",
-    lambda v: rates(run_available(flows.windowed_bounce_rate(streamed(v, "error_log_v", "events")))),
-    f"SELECT * FROM ({RATE_SQL}) WHERE window_end <= {stamp_sql(MARK_SQL)}",
+    lambda v: rates(run_closed(flows.windowed_bounce_rate, streamed(v, "error_log_v", "events"))),
+    RATE_SQL,
 )
-MARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"
 register(
     "lead_state_stream",
-    lambda v: run_available(flows.lead_state_stream(streamed(v, "lead_events_v", "events")))
+    lambda v: run_closed(flows.lead_state_stream, streamed(v, "lead_events_v", "events"))
     .groupBy("lead_id")
     .agg(F.max_by(F.struct("status", "applied", "refused"), F.col("applied") + F.col("refused")).alias("r"))
     .select("lead_id", "r.*"),
-    f"""WITH RECURSIVE t(kind, accepted, leads_to) AS (VALUES {ARROWS}),
-    e AS MATERIALIZED (SELECT lead_id, kind, row_number() OVER (PARTITION BY lead_id ORDER BY ts, event_id) AS n FROM @lead_events_v@ WHERE ts <= {MARK}),
-    walk AS (SELECT DISTINCT lead_id, 0::bigint AS n, 'new_lead' AS status, 0::bigint AS applied, 0::bigint AS refused FROM e
-      UNION ALL SELECT w.lead_id, e.n, CASE WHEN t.kind IS NULL OR leads_to = '=' THEN status ELSE leads_to END,
-        applied + (t.kind IS NOT NULL)::int, refused + (t.kind IS NULL)::int
-      FROM walk w JOIN e ON e.lead_id = w.lead_id AND e.n = w.n + 1 LEFT JOIN t ON t.kind = e.kind AND t.accepted IN ('*', w.status))
-    SELECT lead_id, arg_max(status, n) AS status, max(applied) AS applied, max(refused) AS refused FROM walk GROUP BY lead_id""",
+    f"SELECT lead_id, status, applied, refused FROM ({ORACLES['lead_state']})",
 )
 register(
     "failure_breaker_stream",
-    lambda v: run_available(
-        flows.failure_breaker_stream(streamed(v, "call_log_v", "events"), 5, 1440, 2880)
+    lambda v: run_closed(
+        lambda calls: flows.failure_breaker_stream(calls, 5, 1440, 2880), streamed(v, "call_log_v", "events")
     ).select("label", *moment("opened_at", "closes_at")),
-    f"SELECT * FROM ({ORACLES['failure_breaker']}) WHERE opened_at <= {stamp_sql(MARK)}",
+    ORACLES["failure_breaker"],
 )
 LOCKS_SQL = """SELECT lead_id, {locked} AS locked_at, {expired} AS expired_at FROM (
-    SELECT *, lead(ts) OVER (PARTITION BY lead_id ORDER BY ts, event_id) AS n FROM @lock_events_v@ {where})
+    SELECT *, lead(ts) OVER (PARTITION BY lead_id ORDER BY ts, event_id) AS n FROM @lock_events_v@)
   WHERE kind = 'lock' AND (n > ts + INTERVAL 30 MINUTE OR (n IS NULL AND ts + INTERVAL 30 MINUTE < {mark}))""".format(
-    locked=stamp_sql("ts"), expired=stamp_sql("ts + INTERVAL 30 MINUTE"), where="{where}", mark="{mark}"
+    locked=stamp_sql("ts"), expired=stamp_sql("ts + INTERVAL 30 MINUTE"), mark="{mark}"
 )
-# the switch reads firings only, so these set its watermark; hours that it has passed are over
 register(
     "kill_switch_stream",
     lambda v: events.switch_intervals(
-        run_available(flows.kill_switch_hours(streamed(v, "error_log_v", "events"))), 3
+        run_closed(flows.kill_switch_hours, streamed(v, "error_log_v", "events")), 3
     ).select(*stamp("on_from", "on_until")),
-    f"""WITH i AS ({INTERVALS_SQL.replace('24 HOUR', '3 HOUR').replace("WHERE kill_switch", """WHERE kill_switch AND ts <
-      (SELECT date_trunc('hour', date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR) FROM @error_log_v@ WHERE kill_switch)""")})
+    f"""WITH i AS ({INTERVALS_SQL.replace('24 HOUR', '3 HOUR')})
     SELECT {stamp_sql('on_from')} AS on_from, {stamp_sql('on_until')} AS on_until FROM i""",
 )
 UNTIL = "2024-01-31 00:00:00"
@@ -85,14 +71,15 @@ register(
     lambda v: events.expired_locks(v.lock_events_v, F.lit(UNTIL).cast("timestamp_ntz")).select(
         "lead_id", *stamp("locked_at", "expired_at")
     ),
-    LOCKS_SQL.format(where="", mark=f"TIMESTAMP '{UNTIL}'"),
+    LOCKS_SQL.format(mark=f"TIMESTAMP '{UNTIL}'"),
 )
 register(
     "lock_expiry_stream",
-    lambda v: run_available(flows.lock_expiry_stream(streamed(v, "lock_events_v", "events"))).select(
+    lambda v: run_closed(flows.lock_expiry_stream, streamed(v, "lock_events_v", "events")).select(
         "lead_id", *moment("locked_at", "expired_at")
     ),
-    LOCKS_SQL.format(where=f"WHERE ts <= {MARK}", mark=MARK),
+    # at the end every lock that nothing followed has outlived its time
+    LOCKS_SQL.format(mark=f"TIMESTAMP '{END}'"),
 )
 register(
     "reply_stream",

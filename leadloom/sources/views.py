@@ -338,6 +338,8 @@ FROM @events@
 VIEWS["lead_events_v"] = """
 SELECT event_id, ts, lpad(cast(user_id AS string), 8, '0') AS lead_id,
   CASE WHEN event_id % 13 = 0 THEN 'bounce'
+    WHEN event_id % 17 = 0 THEN CASE (event_id % 7) WHEN 0 THEN 'subsidiary_found' WHEN 1 THEN 'research_failed'
+      WHEN 2 THEN 'research_given_up' WHEN 3 THEN 'scrape_failed' WHEN 4 THEN 'no_email' WHEN 5 THEN 'low_tier' ELSE 'unheard_of' END
     ELSE CASE (event_id % 16)
       WHEN 0 THEN 'start_enrichment' WHEN 1 THEN 'start_verification' WHEN 2 THEN 'verification_passed'
       WHEN 3 THEN 'routed' WHEN 4 THEN 'approve_tier' WHEN 5 THEN 'queue_follow_up'

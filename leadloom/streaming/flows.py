@@ -9,7 +9,7 @@ from leadloom.functions import rules
 from leadloom.operators import mail
 from leadloom.operators.events import KINDS, is_firing, transition_matrix
 from leadloom.sources.files import write_snapshot
-from leadloom.streaming.replay import replay
+from leadloom.streaming.replay import is_end, replay
 
 
 def windowed_bounce_rate(
@@ -19,7 +19,7 @@ def windowed_bounce_rate(
     rows = log.select(
         "ts", mail.is_bounce_code().alias("bounced"),
         F.col("error_code").isin(mail.DIRECTIONS).alias("sent"),
-    ).where("bounced OR sent")
+    ).where(F.col("bounced") | F.col("sent") | is_end())  # the end of a stream moves the watermark, its own hour never ends
     if log.isStreaming:
         rows = rows.withColumn("ts", F.col("ts").cast("timestamp_ltz")).withWatermark("ts", delay)
     bounces, sends = F.count_if("bounced"), F.count_if("sent")
@@ -104,7 +104,7 @@ def kill_switch_hours(event_log: DataFrame, delay: str = "1 hour") -> DataFrame:
     Firings are reduced where they are read, so no task sees all of them. ``switch_intervals``
     makes intervals of the hours.
     """
-    fires = event_log.where(is_firing()).select("ts")
+    fires = event_log.where(is_firing() | is_end()).select("ts")
     if event_log.isStreaming:
         fires = fires.withColumn("ts", F.col("ts").cast("timestamp_ltz")).withWatermark("ts", delay)
     return (

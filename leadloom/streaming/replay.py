@@ -3,22 +3,29 @@
 Each key buffers its events until the watermark has passed them, then applies them in
 order. So the result is that of the batch operators over all events up to the
 watermark, in whatever order they arrive. Rows older than the watermark are dropped by
-Spark and counted in the query's progress (``numRowsDroppedByWatermark``).
+Spark and counted in the query's progress (``numRowsDroppedByWatermark``); ``late_events`` sets them aside.
+
+A stream over a bounded source has an end. ``run_closed`` tells it: a marker row at the end of time
+follows the last event, moves the watermark past all of them, and so fires every timer and closes every window.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import datetime
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leadloom.session import shared_dir
 
+#: The time of the end marker; rows of this time are no events. Later ones do not fit in nanoseconds.
+END = "2250-01-01 00:00:00"
+END_MICROS = int(datetime.fromisoformat(f"{END}+00:00").timestamp()) * 1_000_000
 STATE = "at array<bigint>, id array<bigint>, kind array<string>, memo string"
 
 
@@ -43,15 +50,17 @@ def replay(
     ) -> Iterator[pd.DataFrame]:
         import json
 
-        at, ids, kinds, memo = state.get if state.exists else ([], [], [], "null")
+        at, ids, kinds, memo = state.get if state.exists else ([], [], [], "[null, null]")
+        known, done = json.loads(memo)
         waiting = list(zip(at, ids, kinds))
         for batch in batches:
             waiting += zip(batch["at"].tolist(), batch["event_id"].tolist(), batch["kind"].tolist())
-        waiting.sort()
+        # Spark judges lateness by the watermark of the batch before; what this key has passed is late here.
+        waiting = sorted(e for e in waiting if e[0] < END_MICROS and (done is None or e[0] > done))
         mark = state.getCurrentWatermarkMs() * 1000
         ready = [e for e in waiting if e[0] <= mark]
         waiting = waiting[len(ready):]
-        known, rows = json.loads(memo), []
+        rows = []
         for when, _, kind in ready:
             known, more = step(known, when, kind)
             rows += more
@@ -59,9 +68,11 @@ def replay(
         if due is not None:
             known, more, timer = due(known, mark)
             rows += more
+        if not (waiting or ready or state.exists):
+            return
         calls = [t for t in (waiting[0][0] if waiting else None, timer) if t is not None]
         state.update(
-            ([e[0] for e in waiting], [e[1] for e in waiting], [e[2] for e in waiting], json.dumps(known))
+            ([e[0] for e in waiting], [e[1] for e in waiting], [e[2] for e in waiting], json.dumps([known, mark]))
         )
         if calls:
             state.setTimeoutTimestamp(max(min(calls) // 1000 + 1, mark // 1000 + 1))
@@ -80,13 +91,11 @@ def replay(
     )
 
 
-def run_available(stream: DataFrame, output: str = "append") -> DataFrame:
-    """Runs a stream over what its source holds now and returns what it wrote.
+def is_end(ts: str = "ts") -> Column:
+    return F.col(ts) == F.lit(END).cast("timestamp_ntz")
 
-    Rows go from the executors to files in the shared folder, not through the driver.
-    """
-    spark: SparkSession = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+def _run(stream: DataFrame, base: str, output: str) -> None:
     query = (
         stream.writeStream.format("parquet")
         .outputMode(output)
@@ -96,7 +105,44 @@ def run_available(stream: DataFrame, output: str = "append") -> DataFrame:
         .start()
     )
     query.awaitTermination()
+
+
+def run_available(stream: DataFrame, output: str = "append") -> DataFrame:
+    """Runs a stream over what its source holds now and returns what it wrote.
+
+    Rows go from the executors to files in the shared folder, not through the driver.
+    """
+    spark: SparkSession = stream.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    _run(stream, base, output)
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-__all__ = ["replay", "run_available"]
+def run_closed(flow: Callable[[DataFrame], DataFrame], events: DataFrame, ts: str = "ts", output: str = "append") -> DataFrame:
+    """Runs a flow over what its source holds now, then closes it, and returns what it wrote.
+
+    ``events`` is a stream with the event time ``ts``. When all of it has been read, a row that holds nothing but the end of time
+    is put into a source beside it and the same query goes on from its checkpoint: its timers fire, its
+    windows close, and the rows are those of the batch operator over all events.
+    """
+    spark: SparkSession = events.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    marker = spark.createDataFrame([], events.schema)
+    marker.write.parquet(f"{base}/end")
+    stream = flow(events.unionByName(spark.readStream.schema(events.schema).parquet(f"{base}/end")))
+    _run(stream, base, output)
+    columns = [F.lit(END if f.name == ts else None).cast(f.dataType).alias(f.name) for f in events.schema.fields]
+    spark.range(1).select(*columns).write.mode("append").parquet(f"{base}/end")
+    _run(stream, base, output)
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def late_events(events: DataFrame, applied: DataFrame, *keys: str) -> DataFrame:
+    """Events that came after the watermark had passed them: those that a replay has given no row for.
+
+    ``events`` is what the source holds, ``applied`` the replay's rows, and ``keys`` name an event in both.
+    """
+    return events.join(applied.select(*keys).distinct(), list(keys), "left_anti")
+
+
+__all__ = ["is_end", "late_events", "replay", "run_available", "run_closed"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leadloom.operators import events, mail
 from leadloom.sources.files import write_snapshot
 from leadloom.streaming import flows
-from leadloom.streaming.replay import run_available
+from leadloom.streaming.replay import late_events, run_available, run_closed
 
 BASE = datetime.datetime(2024, 1, 1)
 
@@ -147,3 +147,77 @@ def test_sent_items_change_a_lead_once(spark, sf_dir):
     leads, queue = spark.read.parquet(f"{folder}/leads"), spark.read.parquet(f"{folder}/followups")
     want = [r.lead_id for r in mail.reconcile_sent(sent, leads, queue, "secret").collect()]
     assert len(got) == len(set(got)) and set(got) == set(want) and want
+
+
+def test_closed_streams_equal_the_batch(spark):
+    """No tail follows the events: the end marker fires the timers and closes the windows."""
+    rows = lead_events(200)
+    got = run_closed(flows.lead_state_stream, arrive(spark, rows, SCHEMA))
+    last = got.groupBy("lead_id").agg(F.max_by(F.struct("status", "applied", "refused"), F.col("applied") + F.col("refused")).alias("r"))
+    want = events.lead_state(spark.createDataFrame(rows, SCHEMA)).select("lead_id", "status", "applied", "refused")
+    assert {tuple(r) for r in last.select("lead_id", "r.*").collect()} == {tuple(r) for r in want.collect()}
+
+    locks = [(i, t, who, "lock" if i % 3 else "unlock") for i, t, who, _ in rows]
+    out = run_closed(flows.lock_expiry_stream, arrive(spark, locks, SCHEMA))
+    got = {(r.lead_id, r.at) for r in out.select("lead_id", F.timestamp_micros("locked_at").cast("timestamp_ntz").alias("at")).collect()}
+    far = F.lit("2200-01-01").cast("timestamp_ntz")
+    assert got == {(r.lead_id, r.locked_at) for r in events.expired_locks(spark.createDataFrame(locks, SCHEMA), far).collect()} and got
+
+
+def test_late_events_are_set_aside(spark):
+    early = [(i, BASE + datetime.timedelta(minutes=i), "a", "bounce") for i in range(20)]
+    mid = [(100, BASE + datetime.timedelta(days=3), "a", "bounce"), (101, BASE + datetime.timedelta(days=4), "b", "bounce")]
+    more = [(102, BASE + datetime.timedelta(days=5), "b", "bounce")]
+    late = [(200, BASE + datetime.timedelta(days=1), "a", "reject_tier2")]
+    folder = tempfile.mkdtemp(prefix="leadloom-late-")
+    for i, part in enumerate((early, mid, more, late)):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/{i:03d}")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    applied = run_closed(flows.lead_state_stream, stream)
+    whole = spark.read.schema(SCHEMA).parquet(f"{folder}/*").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp_ltz")))
+    assert [r.event_id for r in late_events(whole, applied, "lead_id", "at").collect()] == [200]
+
+
+def test_one_lead_with_all_events(spark):
+    """Maps are composed over several levels, and every transition can happen."""
+    rnd = random.Random(9)
+    rows = [(i, BASE + datetime.timedelta(minutes=rnd.randint(0, 900)), "hot", rnd.choice([*events.KINDS, None])) for i in range(700)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    deep = events.lead_state(df, partitions=3, fold=4).collect()
+    assert [tuple(r) for r in deep] == [tuple(r) for r in events.lead_state(df, partitions=1, fold=10_000).collect()]
+    state, applied = "new_lead", 0
+    from leadloom.functions import rules
+
+    for _, _, _, kind in sorted(rows, key=lambda r: (r[1], r[0])):
+        nxt = [b for k, a, b in rules.LEAD_TRANSITIONS if k == kind and a in ("*", state)]
+        applied += bool(nxt)
+        state = state if not nxt or nxt[0] == "=" else nxt[0]
+    assert (deep[0].status, deep[0].applied, deep[0].refused) == (state, applied, len(rows) - applied)
+
+
+@pytest.mark.parametrize("path, status", [
+    (["subsidiary_found"], "needs_review"), (["start_enrichment", "research_failed"], "new_lead"),
+    (["start_enrichment", "research_given_up"], "needs_review"), (["start_enrichment", "no_email"], "exclude"),
+    (["start_enrichment", "scrape_failed"], "new_lead"),
+    (["start_enrichment", "start_verification", "verification_passed", "low_tier"], "exclude"),
+])
+def test_ways_out_of_the_pipeline(spark, path, status):
+    rows = [(i, BASE + datetime.timedelta(minutes=i), "L", k) for i, k in enumerate(path)]
+    assert events.lead_state(spark.createDataFrame(rows, SCHEMA)).head().status == status
+
+
+def test_breaker_of_one_label_that_always_fails(spark):
+    calls = [(i, BASE + datetime.timedelta(seconds=7 * i), "svc", False) for i in range(6000)]
+    df = spark.createDataFrame(calls, "event_id long, ts timestamp_ntz, label string, ok boolean")
+    want = breaker(calls, 5, datetime.timedelta(minutes=5), datetime.timedelta(minutes=10))
+    assert {(r.label, r.opened_at) for r in events.failure_breaker(df).collect()} == want and len(want) > 60
+
+
+def test_locks_of_one_lead(spark):
+    rnd = random.Random(11)
+    rows = [(i, BASE + datetime.timedelta(minutes=rnd.randint(0, 20_000)), "hot", rnd.choice(["lock", "unlock"])) for i in range(500)]
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    until, life = BASE + datetime.timedelta(minutes=20_000), datetime.timedelta(minutes=30)
+    want = [a[1] for a, b in zip(order, [*order[1:], None]) if a[3] == "lock" and (b[1] > a[1] + life if b else a[1] + life < until)]
+    got = events.expired_locks(spark.createDataFrame(rows, SCHEMA), F.lit(str(until)).cast("timestamp_ntz")).collect()
+    assert sorted(r.locked_at for r in got) == sorted(want)
