@@ -355,3 +355,38 @@ def bounce_rate(
         .withColumn("rate", rate)
         .withColumn("fires", F.col("rate") * 100 > threshold)
     )
+
+
+def next_bounces(event_log: DataFrame, within: str = "24 HOURS", bucket: str = "DAY") -> DataFrame:
+    """``id, lead_id, sent_at, bounced``: each send, and whether its lead bounced in time.
+
+    The first bounce after a send is looked for within a time bucket of the lead, and beyond it in the next
+    bucket that has one, so no pair of rows is formed and a lead may hold any share of the log.
+    """
+    rows = event_log.select(
+        "id", "lead_id", "ts", is_bounce_code().alias("bounce"), F.col("error_code").isin(DIRECTIONS).alias("sent")
+    ).where("(bounce OR sent) AND lead_id IS NOT NULL").withColumn("bucket", F.date_trunc(bucket, "ts"))
+    bounce_at = F.when(F.col("bounce"), F.col("ts"))
+    # Bounces of a send's own moment count: at the same time all rows look ahead.
+    ahead = Window.partitionBy("lead_id", "bucket").orderBy("ts").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    firsts = rows.groupBy("lead_id", "bucket").agg(F.min(bounce_at).alias("first"))
+    later = Window.partitionBy("lead_id").orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.select("lead_id", "bucket", F.first("first", ignorenulls=True).over(later).alias("beyond"))
+    bounced = F.coalesce(F.coalesce("inside", "beyond") <= F.col("ts") + F.expr(f"INTERVAL {within}"), F.lit(False))
+    return (
+        rows.withColumn("inside", F.min(bounce_at).over(ahead)).where("sent")
+        .join(firsts, ["lead_id", "bucket"])
+        .select("id", "lead_id", F.col("ts").alias("sent_at"), bounced.alias("bounced"))
+    )
+
+
+def cohort_bounce_rate(sends: DataFrame, threshold: float = 5.0) -> DataFrame:
+    """Sends of each hour and how many of these same sends bounced.
+
+    ``sends`` has ``id, sent_at, bounced``; a send that stands in it several times counts once.
+    """
+    once = sends.groupBy("id", F.date_trunc("HOUR", "sent_at").alias("hour")).agg(F.max("bounced").alias("bounced"))
+    n, bad = F.count(F.lit(1)), F.count_if("bounced")
+    return once.groupBy("hour").agg(
+        n.alias("sends"), bad.alias("bounced"), (bad / n).alias("rate"), (bad * 100 / n > threshold).alias("fires")
+    )

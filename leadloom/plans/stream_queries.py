@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadloom.operators import events
+from leadloom.operators import events, mail
 from leadloom.plans.event_queries import FLOW_SQL, INTERVALS_SQL, STAMP, stamp, stamp_sql
 from leadloom.plans.registry import ORACLES, register
 from leadloom.sources.views import stream_view
@@ -52,6 +52,24 @@ register(
     ).select("label", *moment("opened_at", "closes_at")),
     ORACLES["failure_breaker"],
 )
+COHORT_SQL = f"""SELECT {stamp_sql("date_trunc('hour', s.ts)")} AS hour, count(*) AS sends, count(*) FILTER (bounced) AS bounced,
+  round(count(*) FILTER (bounced)::double / count(*), 6) AS rate, count(*) FILTER (bounced) * 100.0 / count(*) > 5 AS fires
+  FROM (SELECT id, ts, EXISTS (SELECT 1 FROM @error_log_v@ b WHERE b.lead_id = a.lead_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 24 HOUR
+      AND (contains(b.error_code, '550') OR contains(b.error_code, '551') OR contains(lower(b.error_code), 'bounce'))) AS bounced
+    FROM @error_log_v@ a WHERE error_code IN ('OUTREACH', 'FOLLOW_UP', 'GOODBYE') AND lead_id IS NOT NULL) s GROUP BY 1"""
+
+
+def cohorts(sends):
+    rates_ = mail.cohort_bounce_rate(sends)
+    return rates_.select(*stamp("hour"), "sends", "bounced", F.round("rate", 6).alias("rate"), "fires")
+
+
+register("cohort_bounce_rate", lambda v: cohorts(mail.next_bounces(v.error_log_v)), COHORT_SQL)
+register(
+    "cohort_bounce_rate_stream",
+    lambda v: cohorts(run_closed(flows.bounced_sends, streamed(v, "error_log_v", "events"))),
+    COHORT_SQL,
+)
 LOCKS_SQL = """SELECT lead_id, {locked} AS locked_at, {expired} AS expired_at FROM (
     SELECT *, lead(ts) OVER (PARTITION BY lead_id ORDER BY ts, event_id) AS n FROM @lock_events_v@)
   WHERE kind = 'lock' AND (n > ts + INTERVAL 30 MINUTE OR (n IS NULL AND ts + INTERVAL 30 MINUTE < {mark}))""".format(

@@ -9,7 +9,7 @@ from leadloom.functions import rules
 from leadloom.operators import mail
 from leadloom.operators.events import KINDS, is_firing, transition_matrix
 from leadloom.sources.files import write_snapshot
-from leadloom.streaming.replay import is_end, replay
+from leadloom.streaming.replay import END, is_end, replay
 
 
 def windowed_bounce_rate(
@@ -34,6 +34,23 @@ def windowed_bounce_rate(
     )
 
 
+def bounced_sends(log: DataFrame, within: str = "24 HOURS", delay: str = "1 hour") -> DataFrame:
+    """``id, lead_id, sent_at, bounced`` as a stream: an interval join of the log's sends with its bounces.
+
+    A send leaves with each bounce that follows it in time, or without one when the watermark has passed
+    that time. State holds the sends and bounces of one interval. ``mail.cohort_bounce_rate`` makes rates of the rows.
+    """
+    timed = log.withColumn("ts", F.col("ts").cast("timestamp_ltz"))
+    end = F.col("ts") == F.lit(END).cast("timestamp_ltz")
+    lead = F.coalesce("lead_id", F.lit(""))  # the end marker has none, and a join drops null keys before the watermark
+    sends = timed.where((F.col("error_code").isin(mail.DIRECTIONS) & F.col("lead_id").isNotNull()) | end).select("id", lead.alias("lead_id"), F.col("ts").alias("sent_at"))
+    bounces = timed.where(mail.is_bounce_code() | end).select(lead.alias("bounced_lead"), F.col("ts").alias("bounced_at"))
+    follows = F.expr(f"lead_id = bounced_lead AND bounced_at >= sent_at AND bounced_at <= sent_at + INTERVAL {within}")
+    joined = sends.withWatermark("sent_at", delay).join(bounces.withWatermark("bounced_at", delay), follows, "left_outer")
+    # A filter on the event time stays above the watermark, so the end marker gets there.
+    return joined.where(F.col("sent_at") < F.lit(END).cast("timestamp_ltz")).select("id", "lead_id", "sent_at", F.col("bounced_at").isNotNull().alias("bounced"))
+
+
 def lead_state_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """A row with the new status of a lead after each of its events, in time order."""
     statuses, kinds, table = rules.LEAD_STATUSES, KINDS, transition_matrix()

@@ -221,3 +221,23 @@ def test_locks_of_one_lead(spark):
     want = [a[1] for a, b in zip(order, [*order[1:], None]) if a[3] == "lock" and (b[1] > a[1] + life if b else a[1] + life < until)]
     got = events.expired_locks(spark.createDataFrame(rows, SCHEMA), F.lit(str(until)).cast("timestamp_ntz")).collect()
     assert sorted(r.locked_at for r in got) == sorted(want)
+
+
+def test_cohort_rates(spark):
+    rnd = random.Random(12)
+    rows = [
+        (i, BASE + datetime.timedelta(minutes=rnd.randint(0, 6000)), rnd.choice(["hot", "hot", "a", "b", None]),
+         rnd.choice(["OUTREACH", "FOLLOW_UP", "SMTP_550", "x"]))
+        for i in range(400)
+    ]
+    schema = "id long, ts timestamp_ntz, lead_id string, error_code string"
+    day = datetime.timedelta(hours=24)
+    want = {
+        r[0]: any(b[2] == r[2] and b[3] == "SMTP_550" and r[1] <= b[1] <= r[1] + day for b in rows)
+        for r in rows if r[3] in ("OUTREACH", "FOLLOW_UP") and r[2]
+    }
+    batch = mail.next_bounces(spark.createDataFrame(rows, schema))
+    assert {r.id: r.bounced for r in batch.collect()} == want
+    stream = run_closed(flows.bounced_sends, arrive(spark, rows, schema))
+    rates = [{tuple(r) for r in mail.cohort_bounce_rate(x).collect()} for x in (batch, stream)]
+    assert {r[1:] for r in rates[0]} == {r[1:] for r in rates[1]} and sum(r[1] for r in rates[0]) == len(want)
