@@ -134,9 +134,10 @@ def _links(masks: list[int], max_bits: int):
     masks_u = np.array(masks, np.uint64)
 
     def solve(choice, node, x, left):
+        kind, choice = choice // len(masks), choice % len(masks)
         cut = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]).any(1)]))
         sizes = np.diff(np.append(cut, len(x)))
-        a, b = [], []
+        a, b, of = [], [], []
         # Nodes of one leaf: compare each with the next few.
         run = np.repeat(np.arange(len(cut)), sizes)
         small = np.repeat(sizes, sizes) <= LEAF
@@ -152,13 +153,15 @@ def _links(masks: list[int], max_bits: int):
             first = agrees.argmax(1) == choice[i]
             a.append(x[i][first])
             b.append(x[i + step][first])
+            of.append(kind[i][first])
         for k in np.flatnonzero(sizes > LEAF):
             part = slice(cut[k], cut[k] + sizes[k])
             label = _leaf_links(x[part], left[part], max_bits)
             other = np.flatnonzero(label != np.arange(len(label)))
             a.append(x[part][other])
             b.append(x[part][label[other]])
-        return np.concatenate(a or [x[:0]]), np.concatenate(b or [x[:0]])
+            of.append(kind[part][other])
+        return np.concatenate(of or [kind[:0]]), np.concatenate(a or [x[:0]]), np.concatenate(b or [x[:0]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -176,8 +179,8 @@ def _links(masks: list[int], max_bits: int):
             else:
                 ready = len(kept[0])
             if ready:
-                a, b = solve(*(k[:ready] for k in kept))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                of, a, b = solve(*(k[:ready] for k in kept))
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
                 kept = [k[ready:] for k in kept]
 
     return run
@@ -188,12 +191,15 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | No
 
     ``fps`` has distinct fingerprints in ``fp``. Small nodes give every link, larger ones a
     forest of them. A node of more than ``node`` fingerprints is cut into parts by hash, and
-    each pair of parts is a task's work, so no task holds a whole large node.
+    each pair of parts is a task's work, so no task holds a whole large node. Fingerprints of different
+    kinds may stand in ``fps``, told apart by a column ``kind`` that the links have as well.
     """
+    kinds = ["kind"] if "kind" in fps.columns else []
     n = fps.count() if blocks is None else 0
     blocks = blocks or choose_blocks(n, max_bits)
     masks = block_masks(blocks, blocks - max_bits)
-    upper = [F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for i, m in enumerate(masks)]
+    kind = F.col("kind").cast("int") * len(masks) if kinds else F.lit(0)
+    upper = [F.struct((kind + i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for i, m in enumerate(masks)]
     rows = fps.select("fp", F.explode(F.array(*upper)).alias("at")).select("fp", "at.*")
     large = rows.groupBy("choice", "pattern").count().where(F.col("count") > node)
     large = parked(large.select("choice", "pattern", F.ceil(F.col("count") / node).cast("int").alias("parts")), "large-nodes")
@@ -210,7 +216,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | No
     )
     key = ["choice", "pattern", "p", "q"]
     met = met.repartition(partitions(fps.sparkSession), *key).sortWithinPartitions(*key, gray_rank(F.col("fp")))
-    return met.mapInArrow(_links(masks, max_bits), "a long, b long")
+    return met.mapInArrow(_links(masks, max_bits), "kind long, a long, b long").select(*kinds, "a", "b")
 
 
 def _fingerprints(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -279,3 +285,128 @@ def keep_one(docs: DataFrame, key: str, text: str, words: int = WORDS, max_bits:
     )
     on = ["of", "none", "content"]
     return rows.join(kept, on, "left_semi").dropDuplicates(on).select("row.*")
+
+
+# ---- near-duplicates by shared shingles -------------------------------------------
+
+#: Words of a shingle and the share of shingles that similar texts have in common; fingerprints
+#: of a text, each from its own hash, and the bits in which one of them may differ.
+SHINGLE, SIMILAR, PRINTS, PRINT_BITS = 5, 0.8, 6, 5
+
+
+def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """Distinct 64-bit hashes of the text's word shingles, sorted. A text without words has none."""
+    import xxhash
+
+    tokens = (text or "").encode().translate(_LOWER).split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
+    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[min(words, len(tokens)) - 1 :].tolist())), np.uint64, n))
+
+
+def set_fingerprints(hashes: np.ndarray, prints: int = PRINTS) -> np.ndarray:
+    """SimHashes of a set of hashes, one for each of ``prints`` ways to mix them, as signed integers."""
+    out = np.zeros(prints, np.uint64)
+    for k in range(prints):
+        ones = np.zeros(64, np.int64)
+        for lo in range(0, len(hashes), 1 << 15):
+            x = hashes[lo : lo + (1 << 15)]
+            if k:
+                x = (x ^ np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x ^= x >> np.uint64(31)
+            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        out[k] = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
+    return out.view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of all hashes that both sets hold; two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _similar(words: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for batch in batches:
+            ok = []
+            for y, one, other in zip(*(batch.column(c).to_pylist() for c in ("y", "text_x", "text_y"))):
+                if last[0] != y:
+                    last = (y, shingles(other, words))
+                ok.append(jaccard(shingles(one, words), last[1]) >= least)
+            yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _candidates(classes: DataFrame, prints: int, max_bits: int, least: float) -> DataFrame:
+    """``x, y`` with ``x > y``: classes of which some fingerprint is near, and all of them not too far.
+
+    Classes of one fingerprint are linked through the least of them.
+    """
+    of_kind = classes.select("cls", F.posexplode("prints").alias("kind", "fp"))
+    held = parked(of_kind.groupBy("kind", "fp").agg(F.min("cls").alias("head")), "heads-of-prints")
+    links = fingerprint_links(held.select("kind", "fp"), max_bits, choose_blocks(classes.count(), max_bits)).where("a <> b")
+    links = parked(links, "links-of-prints")
+    one, other = (held.select("kind", F.col("fp").alias(a), F.col("head").alias(x)) for a, x in ("ax", "by"))
+    far = links.join(one, ["kind", "a"]).join(other, ["kind", "b"]).select("x", "y")
+    near = of_kind.join(held, ["kind", "fp"]).select(F.col("cls").alias("x"), F.col("head").alias("y"))
+    found = far.unionByName(near)
+    pairs = found.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    # A bit differs with the probability of the angle between two sets; four deviations above that of ``least``.
+    p = np.arccos(2 * least / (1 + least)) / np.pi
+    most = int(64 * prints * p + 4 * np.sqrt(64 * prints * p * (1 - p)))
+    of = [classes.select(F.col("cls").alias(c), F.col("prints").alias(f"of_{c}")) for c in "xy"]
+    apart = F.aggregate(F.zip_with("of_x", "of_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+    return pairs.join(of[0], "x").join(of[1], "y").where(apart <= most).select("x", "y")
+
+
+def keep_one_similar(
+    docs: DataFrame, key: str, text: str, words: int = SHINGLE, least: float = SIMILAR, prints: int = PRINTS, max_bits: int = PRINT_BITS
+) -> DataFrame:
+    """The rows of ``docs`` of which one of each group of similar texts stays, all columns as they were.
+
+    Texts are similar if ``least`` of the distinct ``words``-word shingles of both are in both; groups are what similar
+    texts connect. Candidates come from the Gray-order index over several fingerprints of each text, and every link is
+    checked on the whole texts. Equal texts are one, and large nodes of the index give a forest of links, so
+    a text of a large group is checked a bounded number of times.
+
+    The row with the least key stays (null keys come last); among rows of the same key, the one with the least hash of
+    its text, and one of rows that agree in both. Null and empty texts and those of white space are similar to each
+    other. An empty table gives an empty table. Other columns may have any names.
+    """
+    body = F.col(f"`{text}`").cast("string")
+
+    @F.pandas_udf("array<bigint>")
+    def printed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: set_fingerprints(shingles(t, words), prints))
+
+    cls = F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), 1, 16)
+    texts = docs.select(F.col(f"`{key}`").alias("key"), body.alias("text")).withColumn("cls", cls)
+    order = F.struct(F.col("key").isNull().alias("none"), "key", F.xxhash64("text").alias("content"))
+    rows = parked(texts.select("cls", order.alias("head"), printed(F.col("text")).alias("prints")), "set-fingerprints")
+    classes = parked(rows.groupBy("cls").agg(F.first("prints").alias("prints"), F.min("head").alias("head")), "text-classes")
+    near = parked(_candidates(classes, prints, max_bits, least), "candidates")
+    bodies = texts.select("cls", "text").join(
+        near.select(F.col("x").alias("cls")).unionByName(near.select(F.col("y").alias("cls"))).distinct(), "cls", "left_semi"
+    ).dropDuplicates(["cls"])
+    bodies = parked(bodies, "candidate-texts")
+    both = near.join(bodies.select(F.col("cls").alias("x"), F.col("text").alias("text_x")), "x").join(
+        bodies.select(F.col("cls").alias("y"), F.col("text").alias("text_y")), "y"
+    )
+    alike = parked(both.select("x", "y", "text_x", "text_y").mapInArrow(_similar(words, least), "x binary, y binary"), "similar")
+    roots = parked(components(alike.select(F.col("x").alias("a"), F.col("y").alias("b"))), "similar-groups")
+    kept = (
+        classes.join(roots, F.col("cls") == F.col("node"), "left")
+        .groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("head").alias("head"))
+        .select(F.coalesce(F.col("head.key").cast("string"), F.lit("")).alias("of"), F.col("head.none").alias("none"), F.col("head.content").alias("content"))
+    )
+    kept = parked(kept, "kept")
+    boxes = boxed(docs, of=F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), none=F.col(f"`{key}`").isNull(), content=F.xxhash64(body))
+    on = ["of", "none", "content"]
+    return boxes.join(kept, on, "left_semi").dropDuplicates(on).select("row.*")

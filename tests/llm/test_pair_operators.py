@@ -266,3 +266,39 @@ def test_url_rules_against_brute_force(spark):
         assert sorted(map(repr, ((r.host, r.path, r.rule, r.verdict) for r in found))) == sorted(map(repr, map(want, urls)))
     assert url_rules.judge_urls(pages.where("false"), "page_id", "url", table).count() == 0
     assert url_rules.judge_urls(pages, "page_id", "url", table.where("false")).where("verdict = 'allow' AND rule IS NULL").count() == len(urls)
+
+
+def edited(draw, words, share):
+    return [draw.choice("qwertz") + str(draw.randrange(10**6)) if draw.random() < share else w for w in words]
+
+
+def test_similar_texts_keep_one(spark):
+    """Copies and edited copies beside brute force over all pairs; a third of all texts are near copies of one."""
+    draw = random.Random(6)
+    base = [[f"w{draw.randrange(5000)}" for _ in range(draw.choice([1, 4, 30, 200, 600]))] for _ in range(60)]
+    texts = [" ".join(b) for b in base] + [" ".join(edited(draw, base[i % 60], draw.choice([0, 0.004, 0.01, 0.02]))) for i in range(120)]
+    hot = [f"h{i}" for i in range(300)]
+    texts += [" ".join(edited(draw, hot, 0.008)) for _ in range(90)] + ["", " \n", None, "W1 w2"] + texts[:10]
+    rows = [(i if i % 50 else None, t, "x", 1, b"") for i, t in enumerate(texts)]
+    rows += rows[3:6]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, head string, x int, cls binary")
+    kept = simhash.keep_one_similar(docs, "doc_id", "text")
+    assert kept.columns == docs.columns
+    sets = [set(simhash.shingles(t).tolist()) for _, t, *_ in rows]
+    pairs = [
+        (i, j) for i in range(len(rows)) for j in range(i)
+        if (not sets[i] and not sets[j]) or (sets[i] | sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    ]
+    group = groups(pairs)
+    groups_of = {}
+    for i in range(len(rows)):
+        groups_of.setdefault(group.get(i, i), []).append(i)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    heads = []
+    for members in groups_of.values():
+        ids = [rows[i][0] for i in members if rows[i][0] is not None]
+        heads.append(min(ids, default=None))
+    # Each group keeps its least one; few texts that are similar stay apart.
+    assert len(got) == len(set(got)) and not [h for h in heads if h not in [g for g, _ in got]]
+    assert len(got) - len(heads) <= 0.05 * (len(rows) - len(heads))
+    assert simhash.keep_one_similar(docs.where("false"), "doc_id", "text").count() == 0
