@@ -43,4 +43,4 @@ def test_gate_is_planned_once(spark, sf_dir, name):
     """The register's rules are in a written stage, not in every branch that reads them."""
     whole = queries()[name](spark, sf_dir)._jdf.queryExecution()
     assert len(whole.executedPlan().toString()) < 100_000 and len(whole.optimizedPlan().toString()) < 100_000
-    assert "wenlock" not in whole.executedPlan().toString() and whole.executedPlan().toString().count("Scan parquet") <= 10
+    assert "AA02" not in whole.executedPlan().toString() and whole.executedPlan().toString().count("Scan parquet") <= 10
