@@ -380,6 +380,15 @@ register(
     WHERE w.at::timestamp IS DISTINCT FROM next_outreach_window
       OR w.reason IS DISTINCT FROM next_outreach_window_reason""",
 )
+
+
+def gbp_sql(c: str) -> str:
+    """Money text of a whole number, rounded half up."""
+    return f"""CASE WHEN {c} >= 1000000 THEN ({c} + 5000) // 1000000 || '.' || lpad((({c} + 5000) // 10000 % 100)::varchar, 2, '0') || 'm'
+      WHEN {c} >= 1000 THEN ({c} + 500) // 1000 || 'k' ELSE {c}::varchar END"""
+
+
+GROWTH_SQL = "((turnover - prior_turnover)::double / prior_turnover * 100)"
 register(
     "facts_block",
     lambda v: scored(v)
@@ -389,8 +398,6 @@ register(
                 F.col("company_number").endswith("2"), F.lit(False)
             ),
             "vat_number": F.when(F.col("company_number").endswith("11"), F.lit("123456789")),
-            # money texts are rounded from binary values; compare the lines without them
-            "turnover": F.lit(None).cast("bigint"),
         }
     )
     .select("company_number", signals.facts_block(AS_OF).alias("facts")),
@@ -402,6 +409,9 @@ register(
     'Active directors: ' || director_count || '.',
     CASE WHEN {SCORE_RULES[0][0]} THEN 'Most recent appointment: ' || latest_appointed_on::varchar
       || ' — in mandate-honeymoon window.' END,
+    'Turnover (latest filed): £' || {gbp_sql("turnover")} || CASE WHEN prior_turnover > 0 THEN ', ' ||
+      CASE WHEN {GROWTH_SQL} < 0 THEN '-' ELSE '' END || floor(abs({GROWTH_SQL}) + 0.5)::bigint || '% YoY (prior £'
+      || {gbp_sql("prior_turnover")} || ')' ELSE '' END || '.',
     'Average employees: ' || employees || coalesce(' (prior year ' || prior_employees || ')', '') || '.',
     'Accounts made up to: ' || made_up_to::varchar || '.', 'Next accounts due: ' || accounts_next_due::varchar || '.',
     CASE WHEN active_charges > 0 THEN 'Outstanding charges: ' || active_charges || '.'
