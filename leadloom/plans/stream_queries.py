@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leadloom.operators import events, mail
 from leadloom.plans.event_queries import FLOW_SQL, INTERVALS_SQL, STAMP, stamp, stamp_sql
 from leadloom.plans.registry import ORACLES, register
+from leadloom.session import shared_dir
+from leadloom.sources.files import write_snapshot
 from leadloom.sources.views import stream_view
 from leadloom.streaming import flows
-from leadloom.streaming.replay import END, run_available, run_closed
+from leadloom.streaming.replay import END, run_available, run_batches, run_closed
 
 
 def streamed(v, name: str, base: str):
@@ -106,3 +110,29 @@ register(
     ).drop("received_at"),
     f"SELECT * EXCLUDE received_at FROM ({FLOW_SQL})",
 )
+
+
+def suppressed(v):
+    """The suppression table after the replies have come in as a stream."""
+    base = f"{shared_dir(v.spark)}/suppression-{uuid.uuid4().hex}"
+    write_snapshot(v.suppression_v, f"{base}/before")
+    replies = flows.reply_stream(streamed(v, "messages_v", "conversations"), v.leads_v)
+    run_batches(replies, flows.suppression_sink(f"{base}/before", f"{base}/table"))
+    return flows.suppression_table(f"{base}/table").read(v.spark).select("email", "reason", "lead_id")
+
+
+register("suppression_stream", suppressed, ORACLES["suppression_upsert"])
+
+
+def sent_changes(v):
+    """Lead changes of mail sent by hand, as its notifications come in."""
+    base = f"{shared_dir(v.spark)}/sent-{uuid.uuid4().hex}"
+    write_snapshot(v.leads_v, f"{base}/leads")
+    write_snapshot(v.followups_v, f"{base}/followups")
+    sink = flows.sent_items_sink(f"{base}/leads", f"{base}/followups", f"{base}/out", "secret")
+    run_batches(streamed(v, "sent_items_v", "orders"), sink)
+    changes = v.spark.read.parquet(f"{base}/out/batch=*")
+    return changes.withColumn("sent_at", F.date_format("sent_at", STAMP))
+
+
+register("sent_items_stream", sent_changes, ORACLES["sent_reconcile"])

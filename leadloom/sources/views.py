@@ -556,10 +556,10 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str, base: str) -> DataF
     prepare(spark)
     schema = table(spark, sf_dir, base).schema
     files = spark.readStream.schema(schema)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{base}.parquet")
-    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-    if status.isDirectory():
-        source = files.parquet(f"{sf_dir}/{base}.parquet")
+    path = f"{sf_dir}/{base}.parquet"
+    found = spark.read.format("binaryFile").load(path).select("path").head()  # names only, nothing is read
+    if found is None or not found.path.endswith(f"/{base}.parquet"):
+        source = files.parquet(path)
     else:
         source = files.option("pathGlobFilter", f"{base}.parquet").parquet(sf_dir)
     body = _NAME.sub(r"{\1}", VIEWS[name].replace("{", "{{").replace("}", "}}"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import rules
 from leadloom.operators import mail
 from leadloom.operators.events import KINDS, is_firing, transition_matrix
+from leadloom.sources.buckets import BucketedTable, finished
 from leadloom.sources.files import write_snapshot
 from leadloom.streaming.replay import END, is_end, replay
 
@@ -138,46 +139,53 @@ def reply_stream(messages: DataFrame, leads: DataFrame, delay: str = "1 hour") -
     return mail.reply_flow(once, leads)
 
 
-def suppression_sink(existing: str, target: str):
-    """A ``foreachBatch`` function that writes a suppression snapshot per batch.
+#: Schema of a suppression table.
+SUPPRESSION = "email string, reason string, lead_id string, created_at timestamp_ntz"
 
-    A batch that is run again writes the same snapshot, so it is skipped if present; what a
-    write that died has left is replaced.
+
+def suppression_table(target: str, buckets: int = 256) -> BucketedTable:
+    """The table that ``suppression_sink`` keeps; ``read`` gives its newest version."""
+    return BucketedTable(target, "email", SUPPRESSION, buckets)
+
+
+def suppression_sink(existing: str, target: str, buckets: int = 256):
+    """A ``foreachBatch`` function that upserts each batch into a suppression table.
+
+    The first batch takes over ``existing``; later ones rewrite only the buckets of their own addresses. A batch that is
+    run again is skipped if it was committed; what a write that died has left is replaced.
     """
+    table = suppression_table(target, buckets)
 
     def write(flow: DataFrame, batch_id: int) -> None:
-        spark = flow.sparkSession
-        before = existing if batch_id == 0 else f"{target}/v{batch_id - 1}"
-        out = f"{target}/v{batch_id}"
-        if not _exists(flow, out):
-            write_snapshot(mail.suppress(spark.read.parquet(before), flow), out, unfinished=True)
+        base = None if batch_id else flow.sparkSession.read.parquet(existing)
+        fresh = flow.where(F.col("suppress_as").isNotNull() & F.col("inbox").isNotNull()).select(
+            "message_id", F.col("received_at").cast("timestamp_ntz").alias("received_at"), "inbox", "suppress_as", "lead_id"
+        )
+        table.merge(batch_id, fresh, F.col("inbox"), mail.suppress, base)
 
     return write
 
 
-def _exists(df: DataFrame, path: str) -> bool:
-    jvm = df.sparkSession._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(p)
-
+def sent_items_sink(leads: str, followups: str, target: str, client_state: str, buckets: int = 256):
+    """A ``foreachBatch`` function that writes the lead changes of each batch to ``target/batch=<id>``.
 
-def sent_items_sink(leads: str, followups: str, target: str, client_state: str):
-    """A ``foreachBatch`` function that writes the lead changes of each batch.
-
-    Leads changed by an earlier batch are no longer waiting and do not change again.
+    Leads changed by an earlier batch are no longer waiting and do not change again. Their ids are kept in
+    buckets, of which a batch reads those of the leads it has found.
     """
+    done = BucketedTable(f"{target}/_changed", "lead_id", "lead_id string", buckets)
 
     def write(items: DataFrame, batch_id: int) -> None:
         spark, out = items.sparkSession, f"{target}/batch={batch_id}"
-        if _exists(items, out):
+        if done.committed(spark, batch_id):
             return
-        changed = None
-        if batch_id > 0:
-            before = spark.read.option("basePath", target).parquet(f"{target}/batch=*")
-            changed = before.where(F.col("batch") < batch_id)
-        changes = mail.reconcile_sent(
-            items, spark.read.parquet(leads), spark.read.parquet(followups), client_state, changed
-        )
-        write_snapshot(changes, out, unfinished=True)
+        if not finished(spark, out):
+            found = f"{target}/_found/v{batch_id}"
+            changes = mail.reconcile_sent(items, spark.read.parquet(leads), spark.read.parquet(followups), client_state)
+            write_snapshot(changes, found, unfinished=True)
+            changes = spark.read.schema(changes.schema).parquet(found)
+            known = done.beside(changes, F.col("lead_id"), batch_id - 1)
+            write_snapshot(changes.join(known, "lead_id", "left_anti"), out, unfinished=True)
+        new = spark.read.schema(done.schema).parquet(out)
+        done.merge(batch_id, new, F.col("lead_id"), DataFrame.unionByName)
 
     return write

@@ -118,6 +118,13 @@ def run_available(stream: DataFrame, output: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], output: str = "append") -> None:
+    """Hands what the source holds now to ``write``, batch after batch."""
+    state = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}/state"
+    query = stream.writeStream.outputMode(output).foreachBatch(write).option("checkpointLocation", state)
+    query.trigger(availableNow=True).start().awaitTermination()
+
+
 def run_closed(flow: Callable[[DataFrame], DataFrame], events: DataFrame, ts: str = "ts", output: str = "append") -> DataFrame:
     """Runs a flow over what its source holds now, then closes it, and returns what it wrote.
 
@@ -145,4 +152,4 @@ def late_events(events: DataFrame, applied: DataFrame, *keys: str) -> DataFrame:
     return events.join(applied.select(*keys).distinct(), list(keys), "left_anti")
 
 
-__all__ = ["is_end", "late_events", "replay", "run_available", "run_closed"]
+__all__ = ["is_end", "late_events", "replay", "run_available", "run_batches", "run_closed"]

@@ -132,6 +132,24 @@ def test_suppression_sink_is_idempotent(spark):
     assert got == {("a@x.com", "manual", None), ("b@x.com", "bounced", "L1"), ("c@x.com", "replied", "L2")}
 
 
+def test_suppression_batches_equal_one(spark):
+    folder = tempfile.mkdtemp(prefix="leadloom-sups-")
+    old = spark.createDataFrame([("A@x.com", "manual", None, BASE)], flows.SUPPRESSION)
+    write_snapshot(old, f"{folder}/old")
+    rnd = random.Random(3)
+    rows = [
+        (f"m{i:03d}", BASE + datetime.timedelta(minutes=i), f"{rnd.choice('abcdefgh')}@x.com", rnd.choice(["replied", "bounced", None]), rnd.choice([None, "L1", "L2"]))
+        for i in range(60)
+    ]
+    schema = "message_id string, received_at timestamp_ntz, inbox string, suppress_as string, lead_id string"
+    sink = flows.suppression_sink(f"{folder}/old", f"{folder}/table", 4)
+    for n in range(4):
+        sink(spark.createDataFrame(rows[n * 15 : n * 15 + 15], schema), n)
+    table = flows.suppression_table(f"{folder}/table", 4)
+    want = {tuple(r) for r in mail.suppress(old, spark.createDataFrame(rows, schema)).collect()}
+    assert table.latest(spark) == 3 and {tuple(r) for r in table.read(spark).collect()} == want
+
+
 def test_sent_items_change_a_lead_once(spark, sf_dir):
     from leadloom.sources.views import view
 
