@@ -2,29 +2,37 @@
 
 A test item may differ in ``k`` characters from a passage and still be a leak. Cut into
 ``k + 1`` pieces, at least one of them then stands in the passage unchanged. All pieces are
-looked for at once by an automaton; each hit says where the item would lie, and the edit
-distance there is computed with bit-parallel columns (Myers 1999).
+looked for at once by an automaton. Each hit says where the item would lie. Neighbouring pieces are
+put together two by two, with a budget of one less than their pieces, and a hit is followed upwards as long as
+the passage around it is within that budget (Navarro, Baeza-Yates 1999): where all edits are
+within the budget of a node, those of one of its halves are within the budget of that half. Edit distances
+are computed with bit-parallel columns (Myers 1999).
+
+An item of which a text holds only the beginning or the end is found by its first and last three quarters.
 """
 
 from __future__ import annotations
 
 import functools
+import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import parked
 
 #: Share of an item's characters that may differ.
-ERROR_RATE = 0.05
-#: Items shorter than this say too little to be told from chance.
+ERROR_RATE = 0.1
+#: Items shorter than this are looked for as they are, between blanks: edited, they say too little to be told from chance.
 MIN_CHARS = 40
+#: Share of an item that is a leak if the rest is cut off, where that leaves ``MIN_CHARS`` and more.
+CUT_SHARE = 0.75
 #: Characters of items that are searched for in one pass over the documents.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def plain(text: str | None) -> str:
@@ -75,79 +83,145 @@ class Pattern:
         return best, place
 
 
+class Needle:
+    """A text that is looked for: an item, or what is left of it when an end is cut off."""
+
+    def __init__(self, item: int, text: str, budget: int, missing: int = 0, between_blanks: bool = False):
+        self.item, self.text, self.budget, self.missing, self.between_blanks = item, text, budget, missing, between_blanks
+        self.leaves = pieces(text, budget + 1)
+        self.patterns: dict[tuple[int, int], Pattern] = {}
+        self.backward: Pattern | None = None
+
+    def pattern(self, lo: int, hi: int) -> Pattern:
+        if (lo, hi) not in self.patterns:
+            self.patterns[lo, hi] = Pattern(self.text[lo:hi])
+        return self.patterns[lo, hi]
+
+    def path(self, leaf: int) -> list[tuple[int, int, int]]:
+        """``begin, end, budget`` in the text of the nodes above a leaf, without the root, upwards."""
+        out, lo, hi = [], 0, len(self.leaves)
+        while hi - lo > 1:
+            if hi - lo < len(self.leaves):
+                first, (at, last) = self.leaves[lo][0], self.leaves[hi - 1]
+                out.append((first, at + len(last), hi - lo - 1))
+            middle = (lo + hi) // 2
+            lo, hi = (lo, middle) if leaf < middle else (middle, hi)
+        return out[::-1]
+
+    def may_hold(self, text: str, leaf: int, start: int, known: dict) -> bool:
+        """Whether every node above a leaf that was hit is within its budget where the needle would begin at ``start``."""
+        for lo, hi, budget in self.path(leaf):
+            key = lo, hi, start
+            if key not in known:
+                begin, end = max(0, start + lo - budget), min(len(text), start + hi + budget)
+                known[key] = self.pattern(lo, hi).best(text, begin, end)[0] <= budget
+            if not known[key]:
+                return False
+        return True
+
+    def verify(self, text: str, lo: int, hi: int) -> tuple[int, int, int] | None:
+        """``distance, start, end`` of the best passage of ``text[lo:hi]``, if it is within the budget."""
+        at = text.find(self.text, lo, hi)
+        if at >= 0:
+            return 0, at, at + len(self.text)
+        distance, end = self.pattern(0, len(self.text)).best(text, lo, hi)
+        if end is None or distance > self.budget:
+            return None
+        self.backward = self.backward or Pattern(self.text[::-1])
+        _, start = self.backward.best(text, max(lo, end + 1 - len(self.text) - self.budget), end + 1, -1, anchored=True)
+        return distance, start, end + 1
+
+
 class Matcher:
     """All items of a block."""
 
-    def __init__(self, items: list[tuple[list, str]], rate: float):
+    def __init__(self, items: list[tuple[list, str]], rate: float, min_chars: int = MIN_CHARS, share: float = CUT_SHARE):
         import ahocorasick
 
-        self.items = [(ids, text, int(len(text) * rate)) for ids, text in items]
-        self.patterns: dict[int, tuple[Pattern, Pattern]] = {}
-        found: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, text, budget) in enumerate(self.items):
-            for at, piece in pieces(text, budget + 1):
-                found.setdefault(piece, []).append((n, at))
+        self.items = items
+        self.needles: list[Needle] = []
+        for n, (_, text) in enumerate(items):
+            if len(text) < min_chars:
+                self.needles.append(Needle(n, text, 0, between_blanks=True))
+                continue
+            self.needles.append(Needle(n, text, int(len(text) * rate)))
+            size = math.ceil(len(text) * share)
+            if size >= min_chars and size < len(text):
+                for part in (text[:size], text[-size:]):
+                    self.needles.append(Needle(n, part, int(size * rate), len(text) - size))
+        found: dict[str, list[tuple[int, int, int]]] = {}
+        for n, needle in enumerate(self.needles):
+            for leaf, (at, piece) in enumerate(needle.leaves):
+                found.setdefault(piece, []).append((n, leaf, at))
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
         if found:
             self.automaton.make_automaton()
 
-    def _verify(self, text: str, n: int, lo: int, hi: int) -> tuple[int, int, int] | None:
-        _, item, budget = self.items[n]
-        at = text.find(item, lo, hi)
-        if at >= 0:
-            return 0, at, at + len(item)
-        if n not in self.patterns:
-            self.patterns[n] = Pattern(item), Pattern(item[::-1])
-        forward, backward = self.patterns[n]
-        distance, end = forward.best(text, lo, hi)
-        if end is None or distance > budget:
-            return None
-        _, start = backward.best(text, max(lo, end + 1 - len(item) - budget), end + 1, -1, anchored=True)
-        return distance, start, end + 1
-
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """``item, distance, start, end`` of the best passage of each item that is there."""
-        if not self.items or not text:
-            return []
+    def _passages(self, text: str) -> Iterator[tuple[int, tuple[int, int, int]]]:
+        """Needles with passages of the text that are within their budget, each the best of its surroundings."""
         places: dict[int, set[int]] = {}
-        for end, (size, of) in self.automaton.iter(text):
-            for n, at in of:
-                places.setdefault(n, set()).add(end + 1 - size - at)
-        out = []
+        known: dict[int, dict] = {}
+        for last, (size, of) in self.automaton.iter(text):
+            for n, leaf, at in of:
+                needle, start = self.needles[n], last + 1 - size - at
+                if needle.between_blanks:
+                    end = last + 1
+                    if (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " "):
+                        yield n, (0, start, end)
+                elif start not in places.setdefault(n, set()) and needle.may_hold(text, leaf, start, known.setdefault(n, {})):
+                    places[n].add(start)
         for n in sorted(places):
-            _, item, budget = self.items[n]
-            best, window = None, None
+            needle, window = self.needles[n], None
             for start in [*sorted(places[n]), None]:
                 # Places whose passages overlap are looked at together.
-                if window and (start is None or start - budget > window[1]):
-                    found = self._verify(text, n, max(0, window[0]), min(len(text), window[1]))
-                    best = min(x for x in (best, found) if x) if best or found else None
+                if window and (start is None or start - needle.budget > window[1]):
+                    found = needle.verify(text, max(0, window[0]), min(len(text), window[1]))
+                    if found:
+                        yield n, found
                     window = None
                 if start is not None:
-                    window = (window[0] if window else start - budget, start + len(item) + budget)
-            if best:
-                out.append((n, *best))
-        return out
+                    window = (window[0] if window else start - needle.budget, start + len(needle.text) + needle.budget)
 
+    def find(self, text: str) -> list[tuple[int, int, int, int]]:
+        """``item, distance, start, end`` of the best passage of each item that is there.
 
-@functools.lru_cache(maxsize=1)
-def _matcher(block: int, rate: float) -> Matcher:
-    return Matcher(_ITEMS[block].value, rate)
+        Of an item cut at an end, the characters cut off count as edits.
+        """
+        if not self.needles or not text:
+            return []
+        best: dict[int, tuple[int, int, int]] = {}
+        for n, (distance, start, end) in self._passages(text):
+            needle = self.needles[n]
+            passage = distance + needle.missing, start, end
+            best[needle.item] = min(best.get(needle.item, passage), passage)
+        return [(n, *best[n]) for n in sorted(best)]
 
 
-_ITEMS: dict[int, Broadcast] = {}
+#: Matchers a worker keeps at a time.
+MATCHERS = 2
+_built: dict[str, Matcher] = {}
 
 
-def _of(block: Broadcast, rate: float) -> Matcher:
-    """The matcher of a block, built once in a worker."""
-    _ITEMS[block._jid if hasattr(block, "_jid") else id(block)] = block
-    return _matcher(block._jid if hasattr(block, "_jid") else id(block), rate)
+class Search:
+    """A block of items as it is sent to the workers."""
+
+    def __init__(self, spark: SparkSession, block: list[tuple[list, str]], rate: float, min_chars: int):
+        self.token, self.rate, self.min_chars = uuid.uuid4().hex, rate, min_chars
+        self.block = spark.sparkContext.broadcast(block)
+
+    def matcher(self) -> Matcher:
+        """The block's matcher, built once in a worker as long as few blocks are in use."""
+        if self.token not in _built:
+            while len(_built) >= MATCHERS:
+                del _built[next(iter(_built))]
+            _built[self.token] = Matcher(self.block.value, self.rate, self.min_chars)
+        return _built[self.token]
 
 
 def item_blocks(
-    items: DataFrame, key: str, text: str, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS
+    items: DataFrame, key: str, text: str, block_chars: int = BLOCK_CHARS
 ) -> Iterator[list[tuple[list, str]]]:
     """The items in blocks of bounded size: their ids and normalised text, equal texts once.
 
@@ -158,7 +232,7 @@ def item_blocks(
     rows = items.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text is not null")
     for row in rows.toLocalIterator():
         body = plain(row["text"])
-        if len(body) < min_chars:
+        if not body:
             continue
         if size and size + len(body) > block_chars:
             yield [(ids, t) for t, ids in sorted(block.items())]
@@ -178,7 +252,9 @@ def find_items(
     Columns ``doc_key, item_key, distance, start, end``: the best passage (least distance, then the
     first), in characters of the document's text in lower case with single blanks. The
     budget is ``rate`` times the item's length, rounded down. Items shorter than
-    ``min_chars`` are left out. Documents are read once for each block of items, whole.
+    ``min_chars`` are found unchanged and between blanks only. An item also counts if its first or last ``CUT_SHARE``
+    is there within the budget of that part; the characters cut off then count as edits in ``distance``. Items without a word
+    are left out. Documents are read once for each block of items, whole.
 
     Null and empty texts hold nothing. Rows with a null or repeated key are searched like any
     other, and repeated items each give their rows. Other columns are not looked at. Empty
@@ -189,11 +265,11 @@ def find_items(
     kind, item_kind = rows.schema["key"].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"doc_key {kind}, item_key {item_kind}, distance int, start int, end int"
     out = []
-    for block in item_blocks(items, item_key, item_text, min_chars, block_chars):
-        sent = spark.sparkContext.broadcast(block)
+    for block in item_blocks(items, item_key, item_text, block_chars):
+        sent = Search(spark, block, rate, min_chars)
 
-        def search(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
-            matcher = _of(sent, rate)
+        def search(batches: Iterator[pa.RecordBatch], sent: Search = sent) -> Iterator[pa.RecordBatch]:
+            matcher = sent.matcher()
             for batch in batches:
                 owner, found = [], []
                 for i, body in enumerate(batch.column(1)):
@@ -216,12 +292,12 @@ def find_items(
     return functools.reduce(DataFrame.unionByName, out)
 
 
-def holds_item(text: Column, block: Broadcast, rate: float = ERROR_RATE) -> Column:
+def holds_item(text: Column, sent: Search) -> Column:
     """Whether a text holds a passage of an item of the block."""
 
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:
-        matcher = _of(block, rate)
+        matcher = sent.matcher()
         return pd.Series([bool(matcher.find(plain(t))) for t in texts], dtype=bool)
 
     return run(text)
@@ -231,8 +307,12 @@ def without_items(
     docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str,
     rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no item; columns as they were. Texts as in ``find_items``."""
-    for block in item_blocks(items, item_key, item_text, min_chars, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        docs = docs.where(~holds_item(F.col(text).cast("string"), sent, rate))
+    """The rows of ``docs`` that hold no item; columns as they were. Texts and items as in ``find_items``.
+
+    What no block so far has found goes on to the next ones; it is written after every few blocks.
+    """
+    for n, block in enumerate(item_blocks(items, item_key, item_text, block_chars)):
+        if n and n % MATCHERS == 0:
+            docs = parked(docs, "clean")
+        docs = docs.where(~holds_item(F.col(text).cast("string"), Search(docs.sparkSession, block, rate, min_chars)))
     return docs

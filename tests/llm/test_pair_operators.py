@@ -116,6 +116,58 @@ def test_edit_distance_and_passages(spark, odd, none):
     assert decontaminate.find_items(docs, "doc_id", "text", items.where("false"), "item_id", "text").count() == 0
 
 
+def _best_distance(item, text):
+    """The least edit distance of ``item`` and a passage of ``text``, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def _leaks(item, text, rate=0.1, share=0.75, least=40):
+    """The least distance at which an item counts as held, by the rule and no index."""
+    if len(item) < least:
+        return 0 if f" {item} " in f" {text} " else None
+    size = -int(-len(item) * share // 1)
+    parts = [(item, 0)] + [(p, len(item) - size) for p in (item[:size], item[-size:]) if size >= least]
+    found = [(_best_distance(p, text), p, cut) for p, cut in parts]
+    return min((d + cut for d, p, cut in found if d <= int(len(p) * rate)), default=None)
+
+
+def test_edited_short_and_cut_items_like_brute_force(spark):
+    draw = random.Random(5)
+    words = [("".join(draw.choice("abcdefgh") for _ in range(draw.randint(1, 7)))) for _ in range(60)]
+    say = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    items = [say(n) for n in (2, 4, 8, 9, 12, 14, 16, 20, 25, 30) for _ in range(2)]
+
+    def edit(text, share):
+        out = list(text)
+        for _ in range(round(len(text) * share)):
+            at = draw.randrange(len(out))
+            out[at : at + 1] = draw.choice([[], ["z"], [out[at], "z"]])
+        return "".join(out)
+
+    texts = [say(40) for _ in range(10)]
+    for item in items:
+        for share in (0, 0.04, 0.08, 0.1, 0.13):
+            texts.append(f"{say(draw.randint(0, 12))} {edit(item, share)} {say(draw.randint(0, 12))}")
+        texts += [f"{say(5)} {edit(item[len(item) // 5 :], 0.03)}", f"{edit(item[: -len(item) // 5], 0.03)} {say(5)}", item[len(item) // 2 :], f"x{item}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.find_items(docs, "doc_id", "text", table, "item_id", "text", block_chars=400)
+    got = {(r.doc_key, r.item_key): r.distance for r in found.collect()}
+    plain = decontaminate.plain
+    want = {(d, i): _leaks(plain(x), plain(t)) for d, t in enumerate(texts) for i, x in enumerate(items)}
+    assert got == {k: v for k, v in want.items() if v is not None}
+    assert {d for d, _ in got} >= {10 + 9 * i for i in range(len(items))}  # every item is there unedited once
+    assert sum(v > 0 for v in got.values()) > 20
+    left = decontaminate.without_items(docs, "text", table, "item_id", "text", block_chars=400)
+    assert {r.doc_id for r in left.collect()} == set(range(len(texts))) - {d for d, _ in got}
+
+
 def test_chains_against_all_predecessors():
     draw = random.Random(6)
     for _ in range(60):
