@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from leadloom.llm import (
     classifier, decontaminate, divergence, embedding_dedup, line_dedup, packing, passages, pii, prefix_trie, quality_rules, secrets, simhash,
     url_rules,
 )
+from leadloom.llm.common import parked
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,8 +87,16 @@ def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of all documents; equal texts are one blob and are scanned once."""
-    found, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    """Secrets of all documents; equal texts are one blob and are scanned once.
+
+    An earlier scan, of the documents with an even hash of their id and with version 0 of the hex rule, has left a ledger. The scan
+    of all documents looks at the blobs that are not in it, and at all blobs with the rule that changed.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    earlier = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    rules = tuple(replace(r, version=0) if r.kind == "hex" else r for r in secrets.RULES)
+    ledger = parked(secrets.scan_unseen(earlier, "text", rules), "earlier-ledger")
+    found, _ = secrets.scan(docs, "text", ledger)
     listed = secrets.listed()
     counts = [F.size(f"spans_{k}").cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))

@@ -49,7 +49,8 @@ def scan_unseen(versions: DataFrame, content: str, rules: tuple[Rule, ...], ledg
     """New rows of the ledger: one for each blob and rule version not in ``ledger``.
 
     Each blob's text moves once, to the task of its address; copies are dropped before
-    that move and again after it. Rules already in the ledger are not run again.
+    that move and again after it, so that none of a blob's copies wait for each other. What is due is found by
+    addresses alone. Rules already in the ledger are not run again.
     """
     rows = versions.select(F.coalesce(F.col(content).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("text", address(F.col("text")).alias("blob"))
@@ -58,10 +59,9 @@ def scan_unseen(versions: DataFrame, content: str, rules: tuple[Rule, ...], ledg
         pairs = rows.select("blob").distinct().select("blob", F.explode(F.array(*wanted)).alias("rule")).select("blob", "rule.*")
         due = pairs.join(ledger.select("blob", "kind", "version").distinct(), ["blob", "kind", "version"], "left_anti")
         due = parked(due.groupBy("blob").agg(F.collect_set("kind").alias("due")), "due-blobs")
-        rows = rows.join(due, "blob")
+        rows = rows.dropDuplicates(["blob"]).join(due, "blob")
     else:
-        rows = rows.withColumn("due", F.array(*(F.lit(r.kind) for r in rules)))
-    rows = rows.dropDuplicates(["blob"])
+        rows = rows.dropDuplicates(["blob"]).withColumn("due", F.array(*(F.lit(r.kind) for r in rules)))
     none = F.array().cast(f"array<{SPAN}>")
     found = [
         F.when(
