@@ -90,6 +90,7 @@ class Needle:
         self.item, self.text, self.budget, self.missing, self.between_blanks = item, text, budget, missing, between_blanks
         self.leaves = pieces(text, budget + 1)
         self.patterns: dict[tuple[int, int], Pattern] = {}
+        self.paths: dict[int, tuple[list[str], list[tuple[int, int, int]]]] = {}
         self.backward: Pattern | None = None
 
     def pattern(self, lo: int, hi: int) -> Pattern:
@@ -97,24 +98,41 @@ class Needle:
             self.patterns[lo, hi] = Pattern(self.text[lo:hi])
         return self.patterns[lo, hi]
 
-    def path(self, leaf: int) -> list[tuple[int, int, int]]:
-        """``begin, end, budget`` in the text of the nodes above a leaf, without the root, upwards."""
-        out, lo, hi = [], 0, len(self.leaves)
-        while hi - lo > 1:
-            if hi - lo < len(self.leaves):
-                first, (at, last) = self.leaves[lo][0], self.leaves[hi - 1]
-                out.append((first, at + len(last), hi - lo - 1))
-            middle = (lo + hi) // 2
-            lo, hi = (lo, middle) if leaf < middle else (middle, hi)
-        return out[::-1]
+    def path(self, leaf: int) -> tuple[list[str], list[tuple[int, int, int]]]:
+        """What must be near a leaf that was hit.
+
+        First parts of the rest of the lowest node above it, one more than the node's budget, of which one is there unchanged;
+        then ``begin, end, budget`` of the nodes above, without the root, upwards.
+        """
+        if leaf not in self.paths:
+            nodes, lo, hi = [], 0, len(self.leaves)
+            while hi - lo > 1:
+                if hi - lo < len(self.leaves):
+                    at, last = self.leaves[hi - 1]
+                    nodes.append((self.leaves[lo][0], at + len(last), hi - lo - 1))
+                middle = (lo + hi) // 2
+                lo, hi = (lo, middle) if leaf < middle else (middle, hi)
+            rest = []
+            if nodes:
+                begin, end, budget = nodes[-1]
+                at, piece = self.leaves[leaf]
+                # The leaf is one side of the node's cut, so the rest is in one piece.
+                other = self.text[at + len(piece) : end] if at == begin else self.text[begin:at]
+                rest = [part for _, part in pieces(other, budget + 1)]
+            self.paths[leaf] = rest, nodes[::-1]
+        return self.paths[leaf]
 
     def may_hold(self, text: str, leaf: int, start: int, known: dict) -> bool:
         """Whether every node above a leaf that was hit is within its budget where the needle would begin at ``start``."""
-        for lo, hi, budget in self.path(leaf):
+        rest, nodes = self.path(leaf)
+        for lo, hi, budget in nodes:
             key = lo, hi, start
             if key not in known:
                 begin, end = max(0, start + lo - budget), min(len(text), start + hi + budget)
+                if rest and all(text.find(part, begin, end) < 0 for part in rest):
+                    return False
                 known[key] = self.pattern(lo, hi).best(text, begin, end)[0] <= budget
+            rest = []
             if not known[key]:
                 return False
         return True
