@@ -146,10 +146,62 @@ def vat_number(html: Column) -> Column:
 # ---- structured data blocks ---------------------------------------------------
 
 
-def ld_nodes(blocks: Column) -> Column:
-    """JSON texts of the typed objects in the blocks of each page, parents first.
+#: JSON as a browser reads it.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
-    The depth of these objects is open, which column expressions cannot follow.
+
+def ld_roots(blocks: Column) -> Column:
+    """Array of (path, text): the JSON objects and lists that are whole blocks; the path is the block's place."""
+
+    def root(block: Column, i: Column) -> Column:
+        # Parsed inside a list, a block with anything behind its value is no JSON, or gives more than two entries.
+        listed = F.from_json(F.concat(F.lit("["), block, F.lit(",0]")), "array<string>", _STRICT)
+        whole = block.rlike(r"^\s*[{\[]") & (F.size(listed) == 2)
+        return F.when(whole, F.struct(F.array(i).alias("path"), listed[0].alias("text")))
+
+    return F.array_compact(F.transform(blocks, root))
+
+
+_OPTIONS = ", ".join(f"'{k}', '{v}'" for k, v in _STRICT.items())
+
+
+def ld_entries(containers: str) -> Column:
+    """What each of the objects and lists directly holds, in the order of the text.
+
+    Array of (path, text, entries, nests): entries are (key, value), with objects and lists as JSON text, and
+    ``nests`` tells for each whether it is one. Text that cannot be followed gives null entries.
+    """
+    return F.expr(f"""transform({containers}, c -> named_struct('path', c.path, 'text', c.text, 'entries',
+      if(startswith(c.text, '{{'), map_entries(from_json(c.text, 'map<string,string>', map({_OPTIONS}))),
+        transform(from_json(c.text, 'array<string>', map({_OPTIONS})), v -> named_struct('key', '', 'value', v))),
+      'nests', transform(if(startswith(c.text, '{{'), map_values(from_json(c.text, 'map<string,variant>', map({_OPTIONS}))),
+        from_json(c.text, 'array<variant>', map({_OPTIONS}))), v -> schema_of_variant(v) rlike '^(OBJECT|ARRAY)<')))""")
+
+
+def ld_inner(read: str) -> Column:
+    """The objects and lists directly inside those of ``ld_entries``, as (path, text)."""
+    return F.expr(f"""flatten(transform({read}, e -> coalesce(array_compact(transform(e.entries, (x, i) -> if(get(e.nests, i),
+      named_struct('path', concat(e.path, array(i)), 'text', x.value), null))),
+      cast(array() AS array<struct<path:array<int>,text:string>>))))""")
+
+
+def ld_typed(read: str) -> Column:
+    """The objects of ``ld_entries`` that name their type, as (path, text)."""
+    return F.expr(f"""transform(filter({read}, e -> startswith(e.text, '{{')
+      AND exists(e.entries, x -> x.key = '@type' AND x.value NOT IN ('', '[]', '{{}}'))),
+      e -> named_struct('path', e.path, 'text', e.text))""")
+
+
+def ld_unread(read: str) -> Column:
+    """Whether one of ``ld_entries`` could not be followed, or names a key twice."""
+    return F.expr(f"""exists({read}, e -> e.entries IS NULL OR e.nests IS NULL OR (startswith(e.text, '{{')
+      AND size(array_distinct(transform(e.entries, x -> x.key))) < size(e.entries)))""")
+
+
+def ld_nodes_of_any_depth(blocks: Column) -> Column:
+    """JSON texts of the typed objects in the blocks of each page, parents first; nothing for null blocks.
+
+    Follows objects of open depth, which column expressions cannot.
     """
 
     def walk(node):
@@ -161,11 +213,14 @@ def ld_nodes(blocks: Column) -> Column:
             for child in node:
                 yield from walk(child)
 
+    def refuse(name):
+        raise ValueError(name)
+
     def nodes(texts) -> list[str]:
         out = []
         for text in () if texts is None else texts:
             try:
-                out.extend(json.dumps(n) for n in walk(json.loads(text.strip())))
+                out.extend([json.dumps(n) for n in walk(json.loads(text.strip(), parse_constant=refuse))])
             except (ValueError, RecursionError):
                 continue
         return out
@@ -201,22 +256,32 @@ def ld_is_person(node: Column) -> Column:
 
 def ld_text(node: Column, field: str) -> Column:
     """The value of a field, null unless it is a JSON string."""
-    value = F.try_variant_get(F.try_parse_json(node), f"$.{field}", "variant")
+    return _parsed_text(F.try_parse_json(node), field)
+
+
+def _parsed_text(parsed: Column, field: str) -> Column:
+    value = F.try_variant_get(parsed, f"$.{field}", "variant")
     return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
 
 
 def ld_address(node: Column) -> Column:
     """The address if it is a text, else its parts, of which a street must be there."""
+    return _parsed_address(F.try_parse_json(node))
+
+
+def _parsed_address(parsed: Column) -> Column:
     parts = ["streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry"]
     joined = F.array_join(
-        F.filter(F.array(*(ld_text(node, f"address.{p}") for p in parts)), lambda p: p.isNotNull() & (p != "")), ", "
+        F.filter(
+            F.array(*(_parsed_text(parsed, f"address.{p}") for p in parts)), lambda p: p.isNotNull() & (p != "")
+        ),
+        ", ",
     )
-    street = F.coalesce(ld_text(node, "address.streetAddress"), F.lit("")) != ""
-    return F.coalesce(ld_text(node, "address"), F.when(street, joined))
-
+    street = F.coalesce(_parsed_text(parsed, "address.streetAddress"), F.lit("")) != ""
+    return F.coalesce(_parsed_text(parsed, "address"), F.when(street, joined))
 
 
-def ld_people(node: Column) -> Column:
+def ld_people(node: Column, organisation: Column) -> Column:
     """Array of (name, role) of founders, employees and persons."""
 
     def entries(path: str, default: str, plain: bool) -> Column:
@@ -229,7 +294,7 @@ def ld_people(node: Column) -> Column:
             return F.struct(name.alias("name"), role.alias("role"))
 
         many = F.coalesce(F.transform(_many(_json(node, path)), entry), empty)
-        return F.when(ld_is_organisation(node), many).otherwise(empty)
+        return F.when(organisation, many).otherwise(empty)
 
     empty = F.array().cast("array<struct<name:string,role:string>>")
     person = F.array(F.struct(_json(node, "name").alias("name"), _json(node, "jobTitle").alias("role")))
@@ -241,13 +306,38 @@ def ld_people(node: Column) -> Column:
     return F.filter(listed, lambda p: p["name"].isNotNull() & (p["name"] != ""))
 
 
-def ld_same_as(node: Column) -> Column:
+def ld_same_as(node: Column, organisation: Column) -> Column:
     return F.coalesce(
-        F.when(ld_is_organisation(node), F.from_json(_json(node, "sameAs"), "array<string>")),
+        F.when(organisation, F.from_json(_json(node, "sameAs"), "array<string>")),
         F.array().cast("array<string>"),
     )
 
 
+def ld_facts(nodes: Column) -> Column:
+    """What each object says: (email, phone, address, same_as, people).
+
+    Each object is parsed once. Only organisations have the first four and founders or employees.
+    """
+    parsed = F.transform(
+        nodes,
+        lambda n: F.struct(
+            n.alias("node"), F.coalesce(ld_is_organisation(n), F.lit(False)).alias("organisation"),
+            F.try_parse_json(n).alias("parsed"),
+        ),
+    )
+
+    def facts(p: Column) -> Column:
+        node, organisation = p["node"], p["organisation"]
+        body = F.when(organisation, p["parsed"])
+        return F.struct(
+            _parsed_text(body, "email").alias("email"), _parsed_text(body, "telephone").alias("phone"),
+            _parsed_address(body).alias("address"), ld_same_as(node, organisation).alias("same_as"),
+            ld_people(node, organisation).alias("people"),
+        )
+
+    return F.transform(parsed, facts)
+
+
 # ---- links ---------------------------------------------------------------------
 
 

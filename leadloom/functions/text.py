@@ -65,6 +65,28 @@ def html_to_text(c: Column | str) -> Column:
     return strip(x)
 
 
+# fixed values: elements whose content is no text
+_HIDDEN = "script|style|noscript|svg"
+
+
+def text_floor(c: Column | str) -> Column:
+    """A number of characters that ``html_to_text`` gives at least, counted in a few passes without extracting them.
+
+    Letters and digits outside of tags, hidden elements and what may be entities: all steps of the extraction keep
+    them where hidden elements are closed and not nested, no tag stands in another, and no link or
+    alternative text holds a ">". Pages of other shapes have a floor of 0, null pages too.
+    """
+    html = col(c)
+    marks = F.regexp_extract_all(html, F.lit(rf"(?i)<(?:{_HIDDEN})|</(?:{_HIDDEN})>"), F.lit(0))
+    paired = F.regexp_replace(F.lower(F.array_join(marks, "")), rf"<({_HIDDEN})</\1>", "") == ""
+    shown = F.regexp_replace(html, rf"(?is)<({_HIDDEN}).*?</\1>", "")
+    plain = paired & ~shown.rlike("<[^<>]*<") & ~shown.rlike(r"""(?i)(?:alt|href)=["'][^"']*>""")
+    kept = F.regexp_replace(
+        shown, r"<[^>]*+>|&(?:[a-zA-Z0-9#;&]++|<[^>]*+>)*+|[^\p{L}\p{N}<&]++|[<&]", ""
+    )
+    return F.coalesce(F.when(plain, F.length(kept)), F.lit(0))
+
+
 def decode_entities(c: Column | str) -> Column:
     x = _chain(col(c), _BASIC_ENTITIES + [("&quot;", '"'), ("&#39;", "'")])
     return decimal_entities(x)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import markup, rules
 from leadloom.functions.keys import phone_e164_site, url_host, with_scheme
-from leadloom.functions.text import html_to_text, visible_text
+from leadloom.functions.text import html_to_text, text_floor, visible_text
 from leadloom.session import cut_lineage
 
 # fixed values: kinds of hits
@@ -70,38 +70,55 @@ def _text_hits(kinds: set[str]) -> list[Column]:
     return [out[k]() for k in KINDS if k in kinds]
 
 
-def _ld_hits(kinds: set[str]) -> list[Column]:
-    """Hits from the structured-data objects in ``_nodes``."""
-    nodes = F.col("_nodes")
+#: Levels of objects and lists in structured data that column expressions follow.
+LD_LEVELS = 6
 
-    def each(fn) -> Column:
-        return F.flatten(F.transform(nodes, fn))
 
-    def of_org(field: str) -> Column:
-        values = F.transform(
-            F.filter(nodes, markup.ld_is_organisation), lambda n: markup.ld_text(n, field)
-        )
-        return F.array_compact(values)
+def with_nodes(pages: DataFrame, levels: int = LD_LEVELS) -> DataFrame:
+    """``pages`` with ``_nodes``: JSON texts of the typed structured-data objects, in the order of the page.
+
+    The objects and lists of each level are read from those above it, and paths bring all levels back into
+    order. Only blocks that go deeper than ``levels``, or name a key of an object twice, go to Python.
+    """
+    kept = pages.columns
+    df = pages.withColumn("_blocks", markup.ld_blocks(F.col("html"))).withColumn("_in0", markup.ld_roots(F.col("_blocks")))
+    for k in range(levels):
+        df = df.withColumn(f"_read{k}", markup.ld_entries(f"_in{k}")).withColumn(f"_in{k + 1}", markup.ld_inner(f"_read{k}"))
+    reads = [f"_read{k}" for k in range(levels)]
+    beyond = F.size(f"_in{levels}") > 0
+    for read in reads:
+        beyond = beyond | markup.ld_unread(read)
+    typed = F.array_sort(F.concat(*(markup.ld_typed(read) for read in reads)))
+    df = df.select(
+        *kept, F.when(beyond, F.col("_blocks")).alias("_deep"), F.transform(typed, lambda t: t["text"]).alias("_near"),
+    ).withColumn("_any", markup.ld_nodes_of_any_depth(F.col("_deep")))
+    return df.select(*kept, F.when(F.col("_deep").isNull(), F.col("_near")).otherwise(F.col("_any")).alias("_nodes"))
+
 
-    same_as = each(markup.ld_same_as)
+def _ld_hits(kinds: set[str]) -> list[Column]:
+    """Hits from what the structured-data objects say, ``_facts``."""
+    facts = F.col("_facts")
+
+    def values(field: str) -> Column:
+        return F.array_compact(F.transform(facts, lambda f: f[field]))
+
+    same_as = F.flatten(F.transform(facts, lambda f: f["same_as"]))
 
     def links(host: str) -> Column:
         return F.filter(same_as, lambda u: u.rlike(rf"(?i){host}\.com/"))
 
     instagram = F.transform(links("instagram"), lambda u: F.lower(F.regexp_extract(u, r"(?i)instagram\.com/([^/?#]+)", 1)))
-    e164 = F.array_compact(F.transform(of_org("telephone"), lambda p: phone_e164_site(p, F.lit(""))))
-    address = F.array_compact(
-        F.transform(F.filter(nodes, markup.ld_is_organisation), markup.ld_address)
-    )
+    e164 = F.array_compact(F.transform(values("phone"), lambda p: phone_e164_site(p, F.lit(""))))
+    people = F.flatten(F.transform(facts, lambda f: f["people"]))
     out = {
-        "email": lambda: _hits("email", F.transform(of_org("email"), F.lower), "json-ld"),
-        "phone": lambda: _hits("phone", of_org("telephone"), "json-ld"),
+        "email": lambda: _hits("email", F.transform(values("email"), F.lower), "json-ld"),
+        "phone": lambda: _hits("phone", values("phone"), "json-ld"),
         "phone_e164": lambda: _hits("phone_e164", e164, "json-ld"),
         "instagram": lambda: _hits("instagram", F.filter(instagram, lambda h: h != ""), "json-ld"),
         "linkedin": lambda: _hits("linkedin", links("linkedin"), "json-ld"),
         "facebook": lambda: _hits("facebook", links("facebook"), "json-ld"),
-        "address": lambda: _hits("address", address, "json-ld"),
-        "person": lambda: _pair_hits("person", each(markup.ld_people), "name", "role", "json-ld"),
+        "address": lambda: _hits("address", values("address"), "json-ld"),
+        "person": lambda: _pair_hits("person", people, "name", "role", "json-ld"),
     }
     return [out[k]() for k in KINDS if k in kinds and k in out]
 
@@ -122,7 +139,9 @@ def page_hits(
             df = df.withColumn("_visible", visible_text("html"))
         arrays += _text_hits(wanted)
     if "json-ld" in sources and wanted & LD_KINDS:
-        df = df.withColumn("_nodes", markup.ld_nodes(markup.ld_blocks(F.col("html"))))
+        if sources == ["json-ld"]:
+            df = df.where(F.col("html").rlike(rules.LD_BLOCK_PATTERN))
+        df = with_nodes(df).withColumn("_facts", markup.ld_facts(F.col("_nodes")))
         arrays += _ld_hits(wanted)
     typed = [a.cast(f"array<{HIT}>") for a in arrays]
     return df.select("page_id", "domain", "page_ord", F.explode(F.concat(*typed)).alias("h")).select(
@@ -275,43 +294,78 @@ def site_contacts(merged: DataFrame, fill: DataFrame, ld_sites: DataFrame) -> Da
 
 
 def ld_sites(pages: DataFrame) -> DataFrame:
-    nodes = markup.ld_nodes(markup.ld_blocks(F.col("html")))
-    return pages.select("domain", nodes.alias("n")).where(F.size("n") > 0).select("domain")
+    """Sites with a structured-data block that is an object or a list of something, with or without a type."""
+    roots = markup.ld_roots(markup.ld_blocks(F.col("html")))
+    said = F.exists(roots, lambda r: ~r["text"].rlike(r"^\[\s*\]$"))
+    return pages.where(said).select("domain")
+
+
+def _before(*by: str) -> Column:
+    """The sum of sizes before a row; all of ``by`` but the last name its group."""
+    w = Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("size").over(w), F.lit(0))
+
+
+def _stretches(sizes: DataFrame) -> DataFrame:
+    """Sums of a thousand pages each, and of what is before them, so that a huge site needs no huge sort."""
+    return (
+        sizes.groupBy("domain", "stretch")
+        .agg(F.sum("size").alias("size"))
+        .withColumn("offset", _before("domain", "stretch"))
+    )
+
+
+def _page_head() -> Column:
+    return F.when(
+        F.col("page_ord") == 0, F.format_string("--- HOMEPAGE: %s ---\n", F.col("url"))
+    ).otherwise(F.format_string("--- PAGE: %s ---\n", F.col("url")))
+
+
+def pages_within(pages: DataFrame, max_chars: int) -> DataFrame:
+    """The pages of each site without those that surely begin beyond a number of characters of its text.
+
+    Floors of text lengths are summed in page order, before any text is extracted. Only sites whose floors reach
+    the limit have a last page, so the table that is joined holds one row for each of these.
+    """
+    size = F.when(F.col("html").isNull(), 0).otherwise(F.length(_page_head()) + text_floor("html") + 2)
+    sizes = pages.select(
+        "domain", "page_ord", F.coalesce(size, F.lit(0)).alias("size"), F.floor(F.col("page_ord") / 1000).alias("stretch")
+    )
+    reached = (
+        _stretches(sizes)
+        .where((F.col("offset") < max_chars) & (F.col("offset") + F.col("size") >= max_chars))
+        .select("domain", "stretch", "offset")
+    )
+    last = (
+        sizes.join(reached, ["domain", "stretch"])
+        .withColumn("start", F.col("offset") + _before("domain", "stretch", "page_ord"))
+        .where(F.col("start") + F.col("size") >= max_chars)
+        .groupBy("domain")
+        .agg(F.min("page_ord").alias("last"))
+    )
+    return (
+        pages.join(last, "domain", "left")
+        .where(F.col("last").isNull() | (F.col("page_ord") <= F.col("last")))
+        .select(*pages.columns)
+    )
 
 
 def page_assembly(pages: DataFrame, max_chars: int = 40_000) -> DataFrame:
     """The readable text of each site, pages in order, up to the size a reader accepts.
 
-    Only lengths are ordered. Pages that begin beyond the limit are dropped before any
+    Pages that surely begin beyond the limit are left out before any markup is parsed. Of the others
+    only lengths are ordered, and those that begin beyond the limit are dropped before any
     text is gathered, so what is gathered per site is bounded by the limit and one page.
     """
-    head = F.when(
-        F.col("page_ord") == 0, F.format_string("--- HOMEPAGE: %s ---\n", F.col("url"))
-    ).otherwise(F.format_string("--- PAGE: %s ---\n", F.col("url")))
-    read = pages.select("domain", "page_ord", "url", "html")
-    texts = read.select("domain", "page_ord", F.concat(head, html_to_text("html")).alias("text"))
+    read = pages_within(pages.select("domain", "page_ord", "url", "html"), max_chars)
+    texts = read.select("domain", "page_ord", F.concat(_page_head(), html_to_text("html")).alias("text"))
     # Written once: the lengths and the texts are read from it, the markup only here.
     texts = cut_lineage(texts.withColumn("size", F.length("text") + 2))
-    # Sums of a thousand pages each show which stretch can hold the limit; only pages of
-    # such stretches are ordered one by one, so a huge site needs no huge sort.
-    sizes = texts.select("domain", "page_ord", "size").withColumn(
-        "stretch", F.floor(F.col("page_ord") / 1000)
-    )
-
-    def before(*by: str) -> Column:
-        w = Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("size").over(w), F.lit(0))
-
-    stretches = (
-        sizes.groupBy("domain", "stretch")
-        .agg(F.sum("size").alias("size"))
-        .withColumn("offset", before("domain", "stretch"))
-        .where(F.col("offset") < max_chars)
-        .drop("size")
-    )
+    sizes = texts.select("domain", "page_ord", "size").withColumn("stretch", F.floor(F.col("page_ord") / 1000))
+    stretches = _stretches(sizes).where(F.col("offset") < max_chars).drop("size")
     kept = (
         sizes.join(stretches, ["domain", "stretch"])
-        .withColumn("start", F.col("offset") + before("domain", "stretch", "page_ord"))
+        .withColumn("start", F.col("offset") + _before("domain", "stretch", "page_ord"))
         .where(F.col("start") < max_chars)
         .select("domain", "page_ord")
     )

@@ -8,7 +8,7 @@ from leadloom.functions import rules
 from leadloom.operators import accounts, tables
 from leadloom.plans.register_queries import quoted
 from leadloom.plans.registry import ORACLES, register
-from leadloom.sources import ingest
+from leadloom.sources import ingest, schemas
 from leadloom.sources.views import EVENTS_AS_OF
 
 register(
@@ -48,6 +48,11 @@ register(
     UNION ALL SELECT 'charges', company_number, status, created_on::varchar, NULL FROM @charges_v@
     UNION ALL SELECT 'persons-with-significant-control', company_number, name, ceased_on::varchar, kind FROM @psc_v@""",
 )
+register(
+    "register_profiles",
+    lambda v: ingest.profile_rows(v.profiles_v),
+    f"SELECT {', '.join(field.split()[0] for field in schemas.COMPANIES.split(','))} FROM @companies_v@",
+)
 PLACES_SQL = f"""WITH p AS (SELECT scan_id, payload_ord, generate_subscripts(ps, 1) AS pos, unnest(ps) AS p FROM
     (SELECT *, payload -> '$.places[*]' AS ps FROM @places_v@)),
   r AS (SELECT scan_id, payload_ord, pos, p ->> '$.id' AS place_id,

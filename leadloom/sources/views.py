@@ -469,6 +469,47 @@ SELECT domain, concat('<urlset><url><loc> https://', domain, '/about-team </loc>
 FROM @site_pages_v@ WHERE page_ord = 0
 """
 
+
+
+def _named(**fields: str) -> str:
+    """SQL of the JSON fields that are known, each with a comma before it; a value is an expression of JSON text."""
+    return ", ".join(
+        f"""CASE WHEN {value} IS NULL THEN '' ELSE concat(',"{name}":', {value}) END""" for name, value in fields.items()
+    )
+
+
+def _text(c: str) -> str:
+    return f"""concat('"', cast({c} AS string), '"')"""
+
+
+def _texts(*names: str) -> dict[str, str]:
+    return {n: f"CASE WHEN {n} IS NOT NULL THEN {_text(n)} END" for n in names}
+
+
+def _flags(**names: str) -> dict[str, str]:
+    return {n: f"cast({c} AS string)" for n, c in names.items()}
+
+
+def _dated(**names: str) -> dict[str, str]:
+    return {n: f"CASE WHEN {c} IS NOT NULL THEN {_text(c)} END" for n, c in names.items()}
+
+
+VIEWS["profiles_v"] = f"""
+SELECT company_number, 'profile' AS resource,
+  concat('{{"company_number":" ', lower(company_number), '"', {_named(
+      **_texts("company_name", "company_status", "date_of_creation"), **_dated(type="company_type"),
+      sic_codes="CASE WHEN sic_csv IS NOT NULL THEN concat('[\"', replace(sic_csv, ',', '\",\"'), '\"]') END",
+      **_flags(has_been_liquidated="has_been_liquidated", has_insolvency_history="has_insolvency_history"))},
+    ',"registered_office_address":{{"x":0', {_named(
+      **_texts("address_line_1", "address_line_2", "locality", "region", "postal_code", "country"))},
+    '}},"accounts":{{"x":0', {_named(
+      **_texts("accounts_category"), **_dated(next_due="accounts_next_due"), **_flags(overdue="accounts_overdue"))},
+    ',"last_accounts":{{"x":0', {_named(**_dated(type="last_accounts_type", made_up_to="last_made_up_to"))},
+    '}}}},"confirmation_statement":{{"x":0', {_named(
+      **_flags(overdue="confirmation_overdue"), **_dated(next_due="confirmation_next_due"))}, '}}}}') AS payload
+FROM @companies_v@
+"""
+
 VIEWS["payloads_v"] = """
 SELECT concat(' ', lower(company_number), ' ') AS company_number, 'officers' AS resource,
   concat('{"items":[', string_agg(concat('{"name":"', name, '","officer_role":"', officer_role, '"',
