@@ -78,8 +78,8 @@ register(
     lambda v: hits(v, *rules.SOCIAL_PATTERNS).select("page_id", "kind", "value", "pos"),
     SOCIAL_SQL,
 )
-NODES_SQL = f"""SELECT page_id, domain, page_ord, b.p AS block, t.id AS nr, t.value AS node, t.value ->> '$."@type"' AS types FROM (
-    SELECT * FROM ({found_sql("<script[^>]*type=[\"']application/ld[+]json[\"'][^>]*>(.*?)</script>", flags="is")}) WHERE json_valid(value)) b,
+BLOCKS_SQL = f"""SELECT * FROM ({found_sql("<script[^>]*type=[\"']application/ld[+]json[\"'][^>]*>(.*?)</script>", flags="is")}) WHERE json_valid(value)"""
+NODES_SQL = f"""SELECT page_id, domain, page_ord, b.p AS block, t.id AS nr, t.value AS node, t.value ->> '$."@type"' AS types FROM ({BLOCKS_SQL}) b,
     json_tree(b.value) t WHERE t.type = 'OBJECT' AND t.value ->> '$."@type"' IS NOT NULL"""
 ORG = "regexp_matches(types, 'Organization|LocalBusiness|Store', 'i')"
 LD_PEOPLE_SQL = f"""SELECT page_id, domain, page_ord, block, nr, 0 AS part, node ->> '$.founder.name' AS value, 'Founder' AS extra FROM nodes WHERE {ORG}
@@ -204,6 +204,7 @@ def contacts(v):
 
 
 CONTACTS_SQL = f"""WITH visible AS MATERIALIZED ({VISIBLE_SQL}), nodes AS MATERIALIZED ({NODES_SQL}),
+  ld AS (SELECT domain FROM ({BLOCKS_SQL}) WHERE CASE WHEN json_valid(value) THEN json_type(value) = 'OBJECT' OR json_array_length(value) > 0 END),
   em AS (SELECT domain, value, min((page_ord, pos)) AS o FROM (SELECT domain, page_ord, value, pos FROM ({EMAIL_SQL})
     UNION ALL SELECT domain, page_ord, lower(node ->> '$.email'), 1000000 + block * 1000 + nr FROM nodes WHERE {ORG} AND node ->> '$.email' IS NOT NULL) GROUP BY domain, value),
   pe AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, lower(value) ORDER BY page_ord, pos) AS n FROM (
@@ -214,7 +215,7 @@ CONTACTS_SQL = f"""WITH visible AS MATERIALIZED ({VISIBLE_SQL}), nodes AS MATERI
     (SELECT arg_min(value, (page_ord, pos)) FROM pe WHERE pe.domain = f.domain AND regexp_matches(extra, 'founder|owner', 'i')) AS text_owner,
     EXISTS (SELECT 1 FROM em WHERE em.domain = f.domain AND em.value = lower(f.email)) AS real,
     EXISTS (SELECT 1 FROM em WHERE em.domain = f.domain) AS has_email, EXISTS (SELECT 1 FROM pe WHERE pe.domain = f.domain) AS has_people,
-    EXISTS (SELECT 1 FROM nodes WHERE nodes.domain = f.domain) AS has_ld FROM @site_fill_v@ f)"""
+    EXISTS (SELECT 1 FROM ld WHERE ld.domain = f.domain) AS has_ld FROM @site_fill_v@ f)"""
 register(
     "owner_pick",
     lambda v: contacts(v).select("domain", "owner_name"),
