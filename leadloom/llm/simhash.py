@@ -292,6 +292,11 @@ def keep_one(docs: DataFrame, key: str, text: str, words: int = WORDS, max_bits:
 #: Words of a shingle and the share of shingles that similar texts have in common; fingerprints
 #: of a text, each from its own hash, and the bits in which one of them may differ.
 SHINGLE, SIMILAR, PRINTS, PRINT_BITS = 5, 0.8, 6, 5
+#: One of how many texts tells which shingles are common, and how many of those are put last. They decide the
+#: order of the shingles only: any order gives the same links.
+COMMON_OF, COMMON = 16, 50_000
+#: Texts of a posting list that are compared in one block.
+LIST = 2048
 
 
 def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
@@ -366,15 +371,169 @@ def _candidates(classes: DataFrame, prints: int, max_bits: int, least: float) ->
     return pairs.join(of[0], "x").join(of[1], "y").where(apart <= most).select("x", "y")
 
 
+def _common_shingles(texts: DataFrame, words: int) -> np.ndarray:
+    """The commonest shingles of a part of the texts, the rarest of them first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                h = np.concatenate([shingles(t, words) for t in batch.column(0).slice(lo, 256).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    part = texts.where(F.pmod("id", F.lit(COMMON_OF)) == 0).dropDuplicates(["id"]).select("text")
+    held = part.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    top = parked(held.orderBy(F.desc("n"), "h").limit(COMMON), "common-shingles").orderBy(F.desc("n"), "h").toArrow()
+    return top.column("h").to_numpy()[::-1].view(np.uint64).copy()
+
+
+def _prefixes(words: int, least: float, common: np.ndarray):
+    """``h, id, at`` of the prefix of each text: its size and the place of the shingle are in ``at``.
+
+    Of two sets with the share ``least`` in common one of the first ``n - ceil(least n) + 1`` members of either,
+    in any one order, is the same (Chaudhuri, Ganti, Kaushik 2006; Bayardo, Ma, Srikant 2007).
+    """
+    by_hash = np.argsort(common)
+    known = common[by_hash]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part, seen, out = batch.slice(lo, 256), set(), []
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if i in seen:
+                        continue
+                    seen.add(i)
+                    h = shingles(text, words)
+                    n = max(1, len(h))
+                    if len(known) and len(h):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        rank = np.where(known[at] == h, by_hash[at], -1)
+                        h = h[np.argsort(rank, kind="stable")]
+                    h = h[: n - int(np.ceil(least * n - 1e-9)) + 1] if len(h) else np.zeros(1, np.uint64)
+                    out.append((h.view(np.int64), np.full(len(h), i), (n << 32) + np.arange(len(h))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["h", "id", "at"])
+
+    return run
+
+
+def _shared_lists(lists: DataFrame) -> DataFrame:
+    """The rows of lists that hold two texts at least, each text once."""
+
+    def solve(rows):
+        h, ids, _ = rows
+        rows = rows[:, np.concatenate([[True], (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])])]
+        same = rows[0][1:] == rows[0][:-1]
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        return pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in rows], names=["h", "id", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((3, 0), np.int64)
+        for batch in batches:
+            kept = np.concatenate([kept, np.stack([batch.column(k).to_numpy() for k in range(3)])], 1)
+            ready = int(np.argmax(kept[0] == kept[0][-1])) if kept.shape[1] else 0
+            if ready:
+                yield solve(kept[:, :ready])
+                kept = kept[:, ready:]
+        if kept.shape[1]:
+            yield solve(kept)
+
+    dealt = lists.repartition(partitions(lists.sparkSession), "h").sortWithinPartitions("h", "id")
+    return parked(dealt.mapInArrow(run, "h long, id long, at long"), "shared-lists")
+
+
+def _list_pairs(least: float, thin: bool):
+    """Pairs of texts of different groups that share a shingle of their prefixes and may be similar.
+
+    Rows are sorted by list, size and text. ``thin`` gives each text only the next one of another group
+    in its list; that joins most groups, so that few pairs are left when all are asked for.
+    """
+    need = least / (1 + least)
+
+    def pairs(x, root, n, at, left):
+        order = [np.zeros(0, np.int64)] * 2
+        i, j = [order[0]], [order[1]]
+        room = n - at
+        # Sizes ascend: what may be similar to a text lies in one run after it.
+        until = np.searchsorted(n, np.floor(n / least + 1e-9), "right")
+        for k in range(len(x) - 1):
+            hi = int(until[k])
+            other = root[k + 1 : hi] != root[k]
+            if thin:
+                to = k + 1 + np.flatnonzero(other)[:1]
+            else:
+                if left is not None:
+                    other &= left[k + 1 : hi] != left[k]
+                to = k + 1 + np.flatnonzero(other)
+                to = to[np.minimum(room[k], room[to]) >= np.ceil(need * (n[k] + n[to]) - 1e-6)]
+            i.append(np.full(len(to), k))
+            j.append(to)
+        i, j = np.concatenate(i), np.concatenate(j)
+        return x[i], x[j]
+
+    def solve(x):
+        key, ids, n, at, root, left = x
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+        a, b = [], []
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
+            if hi - lo > 1 and (root[lo:hi] != root[lo]).any():
+                sides = left[lo:hi]
+                two = sides if sides.any() and not sides.all() else None
+                one, other = pairs(ids[lo:hi], root[lo:hi], n[lo:hi], at[lo:hi], two)
+                a.append(one)
+                b.append(other)
+        a, b = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (a, b))
+        found = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            new = [np.stack(c[:3], 1), c[3], c[4] >> 32, c[4] & 0xFFFFFFFF, c[5], c[6].astype(bool)]
+            kept = new if kept is None else [np.concatenate(p) for p in zip(kept, new)]
+            if not len(kept[1]):
+                continue
+            ready = int(np.argmax((kept[0] == kept[0][-1]).all(1)))
+            if ready:
+                yield solve([k[:ready] for k in kept])
+                kept = [k[ready:] for k in kept]
+        if kept is not None and len(kept[1]):
+            yield solve(kept)
+
+    return run
+
+
+def _more_pairs(lists: DataFrame, roots: DataFrame, least: float, thin: bool) -> DataFrame:
+    """``x, y``: ids of texts that share a list and lie in different groups, lists of one group left out.
+
+    A list of more than ``LIST`` texts is dealt out in parts, and each pair of parts is a task's work.
+    """
+    rows = lists.join(roots.select(F.col("id").alias("of"), "root"), F.col("id") == F.col("of"), "left")
+    rows = parked(rows.select("h", "id", "at", F.coalesce("root", "id").alias("root")), "grouped-lists")
+    mixed = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
+    many = F.lit(1) if thin else F.ceil(F.col("n") / LIST).cast("int")
+    rows = rows.join(parked(mixed.select("h", many.alias("parts")), "mixed-lists"), "h")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("p"), F.greatest("part", j).alias("q"))
+    )
+    rows = rows.select("h", "id", "at", "root", "part", F.explode(blocks).alias("b")).select(
+        "h", F.col("b.p").cast("long").alias("p"), F.col("b.q").cast("long").alias("q"), "id", "at", "root", (F.col("part") == F.col("b.p")).alias("left")
+    )
+    key = ["h", "p", "q"]
+    dealt = rows.repartition(partitions(lists.sparkSession), *key).sortWithinPartitions(*key, "at", "id")
+    return dealt.mapInArrow(_list_pairs(least, thin), "x long, y long").distinct()
+
+
 def keep_one_similar(
     docs: DataFrame, key: str, text: str, words: int = SHINGLE, least: float = SIMILAR, prints: int = PRINTS, max_bits: int = PRINT_BITS
 ) -> DataFrame:
     """The rows of ``docs`` of which one of each group of similar texts stays, all columns as they were.
 
     Texts are similar if ``least`` of the distinct ``words``-word shingles of both are in both; groups are what similar
-    texts connect. Candidates come from the Gray-order index over several fingerprints of each text, and every link is
-    checked on the whole texts. Equal texts are one, and large nodes of the index give a forest of links, so
-    a text of a large group is checked a bounded number of times.
+    texts connect. Candidates come from the Gray-order index over several fingerprints of each text, and from a join over
+    prefixes of the shingle sets that finds all links between the groups of the index. Every link is
+    checked on the whole texts. Equal texts are one, and large nodes of the index give a forest of links.
 
     The row with the least key stays (null keys come last); among rows of the same key, the one with the least hash of
     its text, and one of rows that agree in both. Null and empty texts and those of white space are similar to each
@@ -391,16 +550,32 @@ def keep_one_similar(
     order = F.struct(F.col("key").isNull().alias("none"), "key", F.xxhash64("text").alias("content"))
     rows = parked(texts.select("cls", order.alias("head"), printed(F.col("text")).alias("prints")), "set-fingerprints")
     classes = parked(rows.groupBy("cls").agg(F.first("prints").alias("prints"), F.min("head").alias("head")), "text-classes")
-    near = parked(_candidates(classes, prints, max_bits, least), "candidates")
-    bodies = texts.select("cls", "text").join(
-        near.select(F.col("x").alias("cls")).unionByName(near.select(F.col("y").alias("cls"))).distinct(), "cls", "left_semi"
-    ).dropDuplicates(["cls"])
-    bodies = parked(bodies, "candidate-texts")
-    both = near.join(bodies.select(F.col("cls").alias("x"), F.col("text").alias("text_x")), "x").join(
-        bodies.select(F.col("cls").alias("y"), F.col("text").alias("text_y")), "y"
-    )
-    alike = parked(both.select("x", "y", "text_x", "text_y").mapInArrow(_similar(words, least), "x binary, y binary"), "similar")
-    roots = parked(components(alike.select(F.col("x").alias("a"), F.col("y").alias("b"))), "similar-groups")
+    ids = parked(classes.select("cls", F.xxhash64("cls").alias("id")), "text-ids")
+
+    def checked(near: DataFrame) -> DataFrame:
+        near = parked(near, "candidates")
+        bodies = texts.select("cls", "text").join(
+            near.select(F.col("x").alias("cls")).unionByName(near.select(F.col("y").alias("cls"))).distinct(), "cls", "left_semi"
+        ).dropDuplicates(["cls"])
+        bodies = parked(bodies, "candidate-texts")
+        both = near.join(bodies.select(F.col("cls").alias("x"), F.col("text").alias("text_x")), "x").join(
+            bodies.select(F.col("cls").alias("y"), F.col("text").alias("text_y")), "y"
+        )
+        alike = both.select("x", "y", "text_x", "text_y").mapInArrow(_similar(words, least), "x binary, y binary")
+        return parked(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "similar")
+
+    alike = checked(_candidates(classes, prints, max_bits, least))
+    roots = parked(components(alike), "similar-groups")
+    # The index misses some links: a join over prefixes of all texts finds every one between its groups.
+    named = texts.select(F.xxhash64("cls").alias("id"), "text")
+    lists = named.mapInArrow(_prefixes(words, least, _common_shingles(named, words)), "h long, id long, at long")
+    lists = _shared_lists(lists)
+    for thin in (True, False):
+        of = roots.join(ids, F.col("node") == F.col("cls")).select("id", F.xxhash64("root").alias("root"))
+        more = _more_pairs(lists, of, least, thin)
+        more = more.join(ids.select(F.col("id").alias("x"), F.col("cls").alias("one")), "x").join(ids.select(F.col("id").alias("y"), F.col("cls").alias("other")), "y")
+        alike = parked(alike.unionByName(checked(more.select(F.greatest("one", "other").alias("x"), F.least("one", "other").alias("y")))), "all-similar")
+        roots = parked(components(alike), "similar-groups")
     kept = (
         classes.join(roots, F.col("cls") == F.col("node"), "left")
         .groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("head").alias("head"))

@@ -354,3 +354,31 @@ def test_similar_texts_keep_one(spark):
     assert len(got) == len(set(got)) and not [h for h in heads if h not in [g for g, _ in got]]
     assert len(got) - len(heads) <= 0.05 * (len(rows) - len(heads))
     assert simhash.keep_one_similar(docs.where("false"), "doc_id", "text").count() == 0
+
+
+def test_similar_texts_at_the_threshold(spark):
+    """Pairs with a share of 0.8 to 0.9, and texts that only a common line joins: no link is left out."""
+    draw = random.Random(33)
+    fresh = lambda n: [f"{draw.choice('abcdef')}{draw.randrange(10**7)}" for _ in range(n)]
+    line, texts = fresh(40), []
+    for i in range(80):
+        one = fresh(draw.choice([30, 120, 200]))
+        # An edit inside takes five shingles from either side; words at an end take one each.
+        if i % 2:
+            two = one[: len(one) - 4 - int(0.19 * (len(one) - 4))] if i % 4 == 1 else one
+            two = two if i % 4 == 1 else one + fresh(int(0.24 * (len(one) - 4)))
+        else:
+            two = list(one)
+            for at in draw.sample(range(0, len(one), 5), max(1, int(0.021 * len(one)))):
+                two[at] = fresh(1)[0]
+        texts += [" ".join(one), " ".join(two)]
+    texts += [" ".join(line + fresh(5 + i % 20)) for i in range(100)]
+    rows = list(enumerate(texts))
+    sets = [set(simhash.shingles(t).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    near = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) <= 0.85 * len(sets[i] | sets[j])]
+    assert len(near) > 40
+    root = groups(pairs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in simhash.keep_one_similar(docs, "doc_id", "text").collect()]
+    assert sorted(kept) == sorted({root.get(i, i) for i, _ in rows})
