@@ -259,3 +259,11 @@ def test_cohort_rates(spark):
     stream = run_closed(flows.bounced_sends, arrive(spark, rows, schema))
     rates = [{tuple(r) for r in mail.cohort_bounce_rate(x).collect()} for x in (batch, stream)]
     assert {r[1:] for r in rates[0]} == {r[1:] for r in rates[1]} and sum(r[1] for r in rates[0]) == len(want)
+
+
+def test_breaker_windows_do_not_read_the_rest_again(spark):
+    """A frame that runs from each row to the end of a bucket costs the square of its rows."""
+    rows = [("svc", BASE.replace(microsecond=i), i) for i in range(3)]
+    found = spark.createDataFrame(rows, "label string, ts timestamp_ntz, event_id long").selectExpr("label", "event_id", "unix_micros(cast(ts AS timestamp_ltz)) AS at", "unix_micros(cast(ts AS timestamp_ltz)) AS started")
+    plan = events._next_trips(found, 1, 1_000_000)._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding" in plan.replace(" ", "") and "unboundedfollowing" not in plan.replace(" ", "")
