@@ -280,3 +280,8 @@ def test_structured_values_must_be_texts(spark):
     assert both('{"email": ["x@a.com"], "address": {"streetAddress": "", "postalCode": "LS1"}}') == (None, None)
     assert both('{"email": "x@a.com", "address": "9 Low Rd"}') == ("x@a.com", "9 Low Rd")
     assert both('{"email": 5, "address": {"streetAddress": "1 High St", "postalCode": "LS1"}}') == (None, "1 High St, LS1")
+
+
+def test_draft_body_works_its_text_out_once(spark):
+    plan = spark.range(1).select(text.draft_body(F.col("id").cast("string"), "Acme", "acme.co.uk").alias("body"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[—–]") == 1
