@@ -267,3 +267,15 @@ def test_breaker_windows_do_not_read_the_rest_again(spark):
     found = spark.createDataFrame(rows, "label string, ts timestamp_ntz, event_id long").selectExpr("label", "event_id", "unix_micros(cast(ts AS timestamp_ltz)) AS at", "unix_micros(cast(ts AS timestamp_ltz)) AS started")
     plan = events._next_trips(found, 1, 1_000_000)._jdf.queryExecution().toString().lower()
     assert "unboundedpreceding" in plan.replace(" ", "") and "unboundedfollowing" not in plan.replace(" ", "")
+
+
+def test_stream_spreads_a_busy_label(spark):
+    """A label whose calls fill many buckets is many groups, and the trips are those of one call at a time."""
+    rnd = random.Random(12)
+    calls = [(i, BASE + datetime.timedelta(seconds=rnd.randint(0, 40_000)), rnd.choice(["a|b", "b"]), rnd.random() > 0.9) for i in range(900)]
+    schema = "event_id long, ts timestamp_ntz, label string, ok boolean"
+    tail = (10_000, BASE + datetime.timedelta(days=30), "tail", True)
+    found = run_available(flows.trip_candidates_stream(arrive(spark, calls, schema, last=tail)))
+    assert found.select("part").distinct().count() > 10
+    trips = events.chained_trips(flows.own_candidates(found), 600_000_000, 3_600_000_000)
+    assert {(r.label, r.opened_at) for r in trips.collect()} == breaker(calls, 5, datetime.timedelta(minutes=5), datetime.timedelta(minutes=10))
