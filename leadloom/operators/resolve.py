@@ -101,7 +101,8 @@ def exact_matches(probes: DataFrame, index: DataFrame, earlier_only: bool = Fals
 def dup_layer(leads: DataFrame, layer: str) -> DataFrame:
     """One exact layer on its own."""
     column = dict(EXACT_LAYERS)[layer]
-    keyed = lead_keys(leads).select("id", "age", F.col(column).alias("key")).where(
+    # Written first: conditions on a key, and both sides of the join, would each work it out again.
+    keyed = written(lead_keys(leads).select("id", "age", F.col(column).alias("key")), "layer-keys").where(
         F.col("key").isNotNull() & ((F.lit(layer) != "exact_name") | (F.length("key") >= 2))
     )
     return (

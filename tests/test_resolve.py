@@ -109,3 +109,10 @@ def test_chain_keeps_both_ends(spark):
     ]
     decided = resolve.dedup_resolve(spark.createDataFrame(rows, LEADS)).collect()
     assert {r.id for r in decided if r.kept} == {"A", "C"}
+
+
+def test_a_layer_works_its_keys_out_once(spark, sf_dir):
+    from leadloom.sources.views import view
+
+    plan = resolve.dup_layer(view(spark, sf_dir, "leads_v"), "exact_name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
