@@ -295,8 +295,8 @@ SHINGLE, SIMILAR, PRINTS, PRINT_BITS = 5, 0.8, 6, 5
 #: One of how many texts tells which shingles are common, and how many of those are put last. They decide the
 #: order of the shingles only: any order gives the same links.
 COMMON_OF, COMMON = 16, 50_000
-#: Texts of a posting list that are compared in one block.
-LIST = 2048
+#: Texts of a posting list that are compared in one block; candidates of one text that are checked in one task.
+LIST, TOGETHER = 2048, 512
 
 
 def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
@@ -336,14 +336,16 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _similar(words: int, least: float):
+    """Pairs of similar texts; rows are sorted by ``y, part, x``, and the text of ``y`` itself, without ``x``, comes first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        other = np.zeros(0, np.uint64)
         for batch in batches:
             ok = []
-            for y, one, other in zip(*(batch.column(c).to_pylist() for c in ("y", "text_x", "text_y"))):
-                if last[0] != y:
-                    last = (y, shingles(other, words))
-                ok.append(jaccard(shingles(one, words), last[1]) >= least)
+            for x, one in zip(*(batch.column(c).to_pylist() for c in ("x", "text"))):
+                if x is None:
+                    other = shingles(one, words)
+                ok.append(x is not None and jaccard(shingles(one, words), other) >= least)
             yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -355,7 +357,7 @@ def _candidates(classes: DataFrame, prints: int, max_bits: int, least: float) ->
     Classes of one fingerprint are linked through the least of them.
     """
     of_kind = classes.select("cls", F.posexplode("prints").alias("kind", "fp"))
-    held = parked(of_kind.groupBy("kind", "fp").agg(F.min("cls").alias("head")), "heads-of-prints")
+    held = parked(of_kind.groupBy("kind", "fp").agg(F.min("cls").alias("head")), "heads-of-prints", "zstd")
     links = fingerprint_links(held.select("kind", "fp"), max_bits, choose_blocks(classes.count(), max_bits)).where("a <> b")
     links = parked(links, "links-of-prints")
     one, other = (held.select("kind", F.col("fp").alias(a), F.col("head").alias(x)) for a, x in ("ax", "by"))
@@ -438,7 +440,7 @@ def _shared_lists(lists: DataFrame) -> DataFrame:
             yield solve(kept)
 
     dealt = lists.repartition(partitions(lists.sparkSession), "h").sortWithinPartitions("h", "id")
-    return parked(dealt.mapInArrow(run, "h long, id long, at long"), "shared-lists")
+    return parked(dealt.mapInArrow(run, "h long, id long, at long"), "shared-lists", "zstd")
 
 
 def _list_pairs(least: float, thin: bool):
@@ -509,7 +511,7 @@ def _more_pairs(lists: DataFrame, roots: DataFrame, least: float, thin: bool) ->
     A list of more than ``LIST`` texts is dealt out in parts, and each pair of parts is a task's work.
     """
     rows = lists.join(roots.select(F.col("id").alias("of"), "root"), F.col("id") == F.col("of"), "left")
-    rows = parked(rows.select("h", "id", "at", F.coalesce("root", "id").alias("root")), "grouped-lists")
+    rows = parked(rows.select("h", "id", "at", F.coalesce("root", "id").alias("root")), "grouped-lists", "zstd")
     mixed = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
     many = F.lit(1) if thin else F.ceil(F.col("n") / LIST).cast("int")
     rows = rows.join(parked(mixed.select("h", many.alias("parts")), "mixed-lists"), "h")
@@ -554,14 +556,15 @@ def keep_one_similar(
 
     def checked(near: DataFrame) -> DataFrame:
         near = parked(near, "candidates")
-        bodies = texts.select("cls", "text").join(
-            near.select(F.col("x").alias("cls")).unionByName(near.select(F.col("y").alias("cls"))).distinct(), "cls", "left_semi"
-        ).dropDuplicates(["cls"])
-        bodies = parked(bodies, "candidate-texts")
-        both = near.join(bodies.select(F.col("cls").alias("x"), F.col("text").alias("text_x")), "x").join(
-            bodies.select(F.col("cls").alias("y"), F.col("text").alias("text_y")), "y"
+        # Each text goes to its pairs in one shuffle, that of y ahead of those it is compared with.
+        parts = near.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("long").alias("parts"))
+        dealt = near.join(parts, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("parts")).alias("part"))
+        wanted = dealt.select(F.col("x").alias("cls"), "x", "y", "part").unionByName(
+            dealt.select(F.col("y").alias("cls"), F.lit(None).cast("binary").alias("x"), "y", "part").distinct()
         )
-        alike = both.select("x", "y", "text_x", "text_y").mapInArrow(_similar(words, least), "x binary, y binary")
+        bodies = texts.select("cls", "text").join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+        both = wanted.join(bodies, "cls").select("x", "y", "part", "text").repartition(partitions(docs.sparkSession), "y", "part")
+        alike = both.sortWithinPartitions("y", "part", F.col("x").asc_nulls_first()).mapInArrow(_similar(words, least), "x binary, y binary")
         return parked(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "similar")
 
     alike = checked(_candidates(classes, prints, max_bits, least))
