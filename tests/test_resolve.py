@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+from leadloom.functions import keys
 from leadloom.operators import resolve
 
 
@@ -116,3 +117,19 @@ def test_a_layer_works_its_keys_out_once(spark, sf_dir):
 
     plan = resolve.dup_layer(view(spark, sf_dir, "leads_v"), "exact_name")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_keys_are_worked_out_after_leads_are_dealt(spark, sf_dir):
+    """A small file is one task; the patterns of the keys are not left to it."""
+    from leadloom.sources.views import view
+
+    plan = resolve.lead_keys(view(spark, sf_dir, "leads_v"))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression")
+    assert "regexp_replace" in above and "regexp_replace" not in below
+
+
+def test_a_domain_reads_each_step_once(spark):
+    df = spark.createDataFrame([("shop.a.co.uk/x",), ("a.co.uk.",), ("localhost",), ("HTTP://u@www.b.c.com:1",)], "u string")
+    got = df.select(keys.domain_root("u").alias("d"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_") <= 6
+    assert [r.d for r in got.collect()] == ["a.co.uk", "a.co.uk.", "localhost", "c.com"]
