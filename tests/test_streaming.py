@@ -5,12 +5,13 @@ import random
 import tempfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadloom.operators import events, mail
 from leadloom.sources.files import write_snapshot
 from leadloom.streaming import flows
-from leadloom.streaming.replay import late_events, run_available, run_closed
+from leadloom.streaming.replay import late_events, replay, run_available, run_closed
 
 BASE = datetime.datetime(2024, 1, 1)
 
@@ -279,3 +280,23 @@ def test_stream_spreads_a_busy_label(spark):
     assert found.select("part").distinct().count() > 10
     trips = events.chained_trips(flows.own_candidates(found), 600_000_000, 3_600_000_000)
     assert {(r.label, r.opened_at) for r in trips.collect()} == breaker(calls, 5, datetime.timedelta(minutes=5), datetime.timedelta(minutes=10))
+
+
+def test_keys_share_groups(spark):
+    """Many leads are few calls of Python, and each still has its own events, memo and timer."""
+    rnd = random.Random(13)
+    rows = [(i, BASE + datetime.timedelta(minutes=rnd.randint(0, 3000)), f"L{rnd.randint(0, 150)}", rnd.choice(["lock", "unlock"])) for i in range(900)]
+    plan = flows.lock_expiry_stream(arrive(spark, rows, SCHEMA))._jdf.queryExecution().analyzed().toString()
+    assert "pmod(xxhash64(" in plan
+    step = lambda memo, when, kind: ((memo or 0) + 1, [((memo or 0) + 1, when)])
+    for groups in (1, 7):
+        flow = lambda x: replay(x, "lead_id", step, "lead_id string, n long, at long", groups=groups)  # noqa: B023, E731
+        got = {(r.lead_id, r.n, r.at) for r in run_closed(flow, arrive(spark, rows, SCHEMA)).collect()}
+        df = spark.createDataFrame(rows, SCHEMA).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp_ltz")))
+        n = F.row_number().over(Window.partitionBy("lead_id").orderBy("at", "event_id"))
+        assert got == {(r.lead_id, r.n, r.at) for r in df.withColumn("n", n).collect()}
+    out = run_closed(flows.lock_expiry_stream, arrive(spark, rows, SCHEMA))
+    far = F.lit("2200-01-01").cast("timestamp_ntz")
+    want = events.expired_locks(spark.createDataFrame(rows, SCHEMA), far)
+    got = out.select("lead_id", F.timestamp_micros("locked_at").cast("timestamp_ntz").alias("locked_at"))
+    assert {tuple(r) for r in got.collect()} == {(r.lead_id, r.locked_at) for r in want.collect()}
