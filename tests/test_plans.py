@@ -44,3 +44,17 @@ def test_gate_is_planned_once(spark, sf_dir, name):
     whole = queries()[name](spark, sf_dir)._jdf.queryExecution()
     assert len(whole.executedPlan().toString()) < 100_000 and len(whole.optimizedPlan().toString()) < 100_000
     assert "AA02" not in whole.executedPlan().toString() and whole.executedPlan().toString().count("Scan parquet") <= 10
+
+
+def test_a_small_register_is_dealt_before_its_rules(spark, sf_dir):
+    """One file is one task; the rules, and those who read what they wrote, are not left to it."""
+    from leadloom.operators import qualify
+    from leadloom.sources.views import view
+
+    plan = qualify.registry_gate(view(spark, sf_dir, "companies_v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "AS registry_reason" in plan.split("RepartitionByExpression")[0]
+
+
+def test_seats_are_found_once(spark, sf_dir):
+    plan = queries()["parent_company"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan and "regexp_replace" not in plan
