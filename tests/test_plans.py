@@ -1,6 +1,7 @@
 """Shapes of physical plans that decide whether a job scales."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadloom.plans import queries
 
@@ -58,3 +59,12 @@ def test_a_small_register_is_dealt_before_its_rules(spark, sf_dir):
 def test_seats_are_found_once(spark, sf_dir):
     plan = queries()["parent_company"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_suppkey" not in plan and "regexp_replace" not in plan
+
+
+def test_a_nominee_address_is_read_once(spark):
+    from leadloom.operators import qualify
+
+    rows = [("Kemp House, 152-160 City Road",), ("kemp house. 152-160 city road",), (None,), ("9 Extra (Lane) +x",)]
+    df = spark.createDataFrame(rows, "a string").select(qualify.is_nominee_address(F.trim("a"), [" extra (lane) +", " "]).alias("hit"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1
+    assert [r.hit for r in df.collect()] == [True, False, False, True]
