@@ -28,6 +28,11 @@ MAX_BITS = 4
 LEAF = 32
 #: Fingerprints of an upper node that meet in one task; larger nodes are dealt out in pairs of parts.
 NODE = 4096
+#: Bits of the numbers of two parts of a node, which stand with the choice of blocks and the side in one number.
+PART = 23
+CHOICE = 2 * PART + 1
+#: Fingerprints of an upper node on average, at most. Comparing two costs a hundredth of a further copy in the index.
+CROWD = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -70,12 +75,12 @@ def block_masks(blocks: int, agree: int) -> list[int]:
 
 
 def choose_blocks(fingerprints: int, max_bits: int = MAX_BITS) -> int:
-    """The least number of blocks whose patterns hold four fingerprints or fewer on average.
+    """The least number of blocks whose patterns hold ``CROWD`` fingerprints or fewer on average.
 
     Any number gives the same links; this one balances copies against comparisons.
     """
     for blocks in range(max_bits + 2, 3 * max_bits + 1):
-        if fingerprints <= 4 * 2 ** (64 * (blocks - max_bits) / blocks):
+        if fingerprints <= CROWD * 2 ** (64 * (blocks - max_bits) / blocks):
             return blocks
     return 3 * max_bits + 1
 
@@ -130,7 +135,7 @@ def _leaf_links(x: np.ndarray, left: np.ndarray, max_bits: int) -> np.ndarray:
 
 
 def _links(masks: list[int], max_bits: int):
-    """Links of sorted runs of upper nodes; rows of a node follow each other."""
+    """Links of sorted runs of upper nodes; rows of a node follow each other, each with its place in the Gray order."""
     masks_u = np.array(masks, np.uint64)
 
     def solve(choice, node, x, left):
@@ -167,8 +172,9 @@ def _links(masks: list[int], max_bits: int):
         kept = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                c = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-                new = [c[0].astype(np.int64), np.stack([c[0].astype(np.int64), c[1], c[2].astype(np.int64), c[3].astype(np.int64)], 1), c[4].view(np.uint64), c[5].astype(bool)]
+                pattern, at, rank = (batch.column(i).to_numpy() for i in range(3))
+                x = rank.view(np.uint64)
+                new = [at >> CHOICE, np.stack([pattern, at >> 1], 1), x ^ (x >> np.uint64(1)), (at & 1).astype(bool)]
                 kept = new if kept is None else [np.concatenate([p, q]) for p, q in zip(kept, new)]
                 if not len(kept[0]):
                     continue
@@ -195,27 +201,39 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | No
     kinds may stand in ``fps``, told apart by a column ``kind`` that the links have as well.
     """
     kinds = ["kind"] if "kind" in fps.columns else []
-    n = fps.count() if blocks is None else 0
+    n = fps.count()
     blocks = blocks or choose_blocks(n, max_bits)
     masks = block_masks(blocks, blocks - max_bits)
-    kind = F.col("kind").cast("int") * len(masks) if kinds else F.lit(0)
-    upper = [F.struct((kind + i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for i, m in enumerate(masks)]
-    rows = fps.select("fp", F.explode(F.array(*upper)).alias("at")).select("fp", "at.*")
-    large = rows.groupBy("choice", "pattern").count().where(F.col("count") > node)
-    large = parked(large.select("choice", "pattern", F.ceil(F.col("count") / node).cast("int").alias("parts")), "large-nodes")
-    rows = rows.join(large, ["choice", "pattern"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda j: F.struct(F.least("part", j).alias("p"), F.greatest("part", j).alias("q")),
+    kind = F.col("kind").cast("long") * len(masks) if kinds else F.lit(0).cast("long")
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("mask")
+    mask = F.array(*(F.lit(_signed(m)) for m in masks))
+    key = ["choice", "pattern"]
+    rows = fps.select("fp", kind.alias("kind"), every).select(
+        "fp", (F.col("kind") + F.col("mask")).alias("choice"), F.col("fp").bitwiseAND(mask[F.col("mask")]).alias("pattern")
     )
-    met = rows.select("choice", "pattern", "fp", "part", F.explode(pairs).alias("pair"))
-    met = met.select(
-        "choice", "pattern", F.col("pair.p").alias("p"), F.col("pair.q").alias("q"), "fp",
-        (F.col("part") == F.col("pair.p")).alias("left"),
+    # Few sums of many nodes tell which nodes may be large; only those are counted.
+    sums = max(64, n * len(masks) * 4 // node)
+    hashed = rows.withColumn("sum", F.pmod(F.xxhash64(*key), F.lit(sums)))
+    crowded = parked(hashed.groupBy("sum").count().where(F.col("count") > node).select("sum"), "crowded-nodes")
+    large = hashed.join(crowded, "sum", "left_semi").groupBy(*key).count().where(F.col("count") > node)
+    large = parked(large.select(*key, F.ceil(F.col("count") / node).cast("long").alias("parts")), "large-nodes")
+    rows = rows.join(large, key, "left")
+    part = F.pmod(F.xxhash64("fp"), F.col("parts"))
+
+    def place(p: Column, q: Column, left: Column) -> Column:
+        low = F.shiftleft(p, PART + 1).bitwiseOR(F.shiftleft(q, 1)).bitwiseOR(left.cast("long"))
+        return F.shiftleft("choice", CHOICE).bitwiseOR(low)
+
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: place(F.least(part, j), F.greatest(part, j), part <= j)
     )
-    key = ["choice", "pattern", "p", "q"]
-    met = met.repartition(partitions(fps.sparkSession), *key).sortWithinPartitions(*key, gray_rank(F.col("fp")))
+    alone = F.array(place(F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(True)))
+    met = rows.select("fp", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(pairs)).alias("at"))
+    # Two numbers a row are shuffled; the pattern and the place in the Gray order follow from them.
+    pattern = F.col("fp").bitwiseAND(mask[F.pmod(F.shiftright("at", CHOICE), F.lit(len(masks))).cast("int")])
+    met = met.repartition(partitions(fps.sparkSession), F.shiftright("at", 1), pattern)
+    met = met.select(pattern.alias("pattern"), "at", gray_rank(F.col("fp")).alias("rank"))
+    met = met.sortWithinPartitions("pattern", F.shiftright("at", 1), "rank")
     return met.mapInArrow(_links(masks, max_bits), "kind long, a long, b long").select(*kinds, "a", "b")
 
 
@@ -335,6 +353,41 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parity of the hashes that fall on each bit, a bit or two for each hash, as bytes.
+
+    Two sets differ in at least as many members as their sketches in bits. Halves of a sketch, set against each
+    other, give the sketch of half the size.
+    """
+    bits = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def may_be_similar(a: bytes, n: int, b: bytes, m: int, least: float) -> bool:
+    """Whether sets of ``n`` and ``m`` hashes with these sketches may have the share ``least`` in common."""
+    if min(n, m) < least * max(n, m) - 1e-6:
+        return False
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= (n + m) * (1 - least) / (1 + least) + 1e-6
+
+
+def _possible(least: float):
+    """The pairs ``x, y`` whose sketches do not rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("sketch_x", "size_x", "sketch_y", "size_y"))
+            ok = [may_be_similar(*x, least) for x in zip(*columns)]
+            yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _similar(words: int, least: float):
     """Pairs of similar texts; rows are sorted by ``y, part, x``, and the text of ``y`` itself, without ``x``, comes first."""
 
@@ -543,19 +596,27 @@ def keep_one_similar(
     """
     body = F.col(f"`{text}`").cast("string")
 
-    @F.pandas_udf("array<bigint>")
-    def printed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: set_fingerprints(shingles(t, words), prints))
+    @F.pandas_udf("prints array<bigint>, sketch binary, size int")
+    def printed(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t, words) for t in texts]
+        columns = [set_fingerprints(s, prints) for s in sets], [sketch(s) for s in sets], [len(s) for s in sets]
+        return pd.DataFrame(dict(zip(("prints", "sketch", "size"), columns)))
 
     cls = F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), 1, 16)
     texts = docs.select(F.col(f"`{key}`").alias("key"), body.alias("text")).withColumn("cls", cls)
     order = F.struct(F.col("key").isNull().alias("none"), "key", F.xxhash64("text").alias("content"))
-    rows = parked(texts.select("cls", order.alias("head"), printed(F.col("text")).alias("prints")), "set-fingerprints")
-    classes = parked(rows.groupBy("cls").agg(F.first("prints").alias("prints"), F.min("head").alias("head")), "text-classes")
+    rows = texts.select("cls", order.alias("head"), printed(F.col("text")).alias("of")).select("cls", "head", "of.*")
+    rows = parked(rows, "set-fingerprints")
+    classes = parked(
+        rows.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("prints", "sketch", "size")), F.min("head").alias("head")), "text-classes"
+    )
     ids = parked(classes.select("cls", F.xxhash64("cls").alias("id")), "text-ids")
 
     def checked(near: DataFrame) -> DataFrame:
-        near = parked(near, "candidates")
+        # Most candidates are ruled out by their sketches, so that few texts are sent.
+        for c in "xy":
+            near = near.join(classes.select(F.col("cls").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("size").alias(f"size_{c}")), c)
+        near = parked(near.mapInArrow(_possible(least), "x binary, y binary"), "candidates")
         # Each text goes to its pairs in one shuffle, that of y ahead of those it is compared with.
         parts = near.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("long").alias("parts"))
         dealt = near.join(parts, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("parts")).alias("part"))
