@@ -31,7 +31,7 @@ NODE = 4096
 #: Bits of the numbers of two parts of a node, which stand with the choice of blocks and the side in one number.
 PART = 23
 CHOICE = 2 * PART + 1
-#: Fingerprints of an upper node on average, at most. Comparing two costs a hundredth of a further copy in the index.
+#: Fingerprints of an upper node on average, at most. Fewer would take more blocks, and each multiplies the rows that are shuffled.
 CROWD = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
